@@ -148,13 +148,13 @@ def format_kpi_value(kpi: Column, value: Column) -> Column:
     millions, thousands = value >= 1_000_000, value >= 1_000
     currency = (
         F.when(millions, F.format_string("£%.2fM", value / 1_000_000))
-        .when(thousands, F.format_string("£%,.0f", value))
+        .when(thousands, F.format_string("£%,.0f", F.bround(value, 0)))
         .otherwise(F.format_string("£%.2f", value))
     )
     percent = F.when(value <= 1, F.format_string("%.1f%%", value * 100)).otherwise(F.format_string("%.1f%%", value))
     plain = (
         F.when(millions, F.format_string("%.1fM", value / 1_000_000))
-        .when(thousands, F.format_string("%,.0f", value))
+        .when(thousands, F.format_string("%,.0f", F.bround(value, 0)))
         .otherwise(F.format_string("%.1f", value))
     )
     return F.when(kpi.isin(*cat.CURRENCY_KPIS), currency).when(kpi.isin(*cat.PERCENT_KPIS), percent).otherwise(plain)

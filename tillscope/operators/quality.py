@@ -250,19 +250,19 @@ def iqr_outliers(df: DataFrame, column: str = "Quantity", multiplier: float = ca
     histogram = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    iqr = q3 - q1
-    fences = histogram.agg(F.percentile("v", [0.25, 0.75], F.col("n")).alias("q")).select(
-        F.lit(1).alias("one"), q1.alias("q1"), q3.alias("q3"),
-        (q1 - multiplier * iqr).alias("lower_fence"), (q3 + multiplier * iqr).alias("upper_fence"),
+    # One row of quartiles, read back as a scalar subquery rather than joined.
+    quartiles = histogram.agg(F.percentile("v", [0.25, 0.75], F.col("n"))).scalar()
+    v, n, q1, q3 = F.col("v"), F.col("n"), F.col("q1"), F.col("q3")
+    fenced = (
+        histogram.withColumn("q", quartiles)
+        .withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]})
+        .withColumns({"lower_fence": q1 - multiplier * (q3 - q1), "upper_fence": q3 + multiplier * (q3 - q1)})
     )
-    # The fence row meets the histogram on a constant column; both are aggregates.
-    outside = (F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))
-    return (
-        histogram.withColumn("one", F.lit(1))
-        .join(fences, "one")
-        .groupBy("q1", "q3", "lower_fence", "upper_fence")
-        .agg(F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"), F.sum("n").alias("n_values"))
+    outside = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
+    return fenced.agg(
+        *[F.max(c).alias(c) for c in ("q1", "q3", "lower_fence", "upper_fence")],
+        F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("outliers"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_values"),
     )
 
 
