@@ -62,11 +62,11 @@ def _block_neighbours(n: int, max_distance: float | None, chunk: int = 256):
         corpus = corpus.sort_values("id", ignore_index=True)
         ids = corpus["id"].to_numpy()
         query_ids = queries["query_id"].to_numpy()
-        targets, wanted = unit(corpus["embedding"]).T, unit(queries["embedding"])
+        targets, sought = unit(corpus["vector"]).T, unit(queries["wanted"])
         out = []
         for start in range(0, len(query_ids), chunk):
             mine = query_ids[start : start + chunk]
-            distance = 1.0 - wanted[start : start + chunk] @ targets
+            distance = 1.0 - sought[start : start + chunk] @ targets
             distance[mine[:, None] == ids[None, :]] = np.nan
             if max_distance is not None:
                 distance[distance > max_distance] = np.nan
@@ -99,8 +99,8 @@ def similar_topk(
     query. A KPI that holds a large share of the corpus therefore becomes many blocks.
     """
     group = F.col("kpi_name") if same_kpi_only else F.lit("all")
-    q = queries.select(group.cast("string").alias("grp"), F.col("id").cast("string").alias("query_id"), "embedding")
-    c = corpus.select(group.cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "embedding")
+    q = queries.select(group.cast("string").alias("grp"), F.col("id").cast("string").alias("query_id"), F.col("embedding").alias("wanted"))
+    c = corpus.select(group.cast("string").alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").alias("vector"))
 
     blocks = F.ceil(F.col("rows") / block_rows).cast("int")
     def counted(df, name):
@@ -117,9 +117,9 @@ def similar_topk(
 
     key = ["grp", "query_block", "corpus_block"]
     q = q.join(sizes, "grp").withColumn("query_block", own("query_id", "query_blocks"))
-    q = q.withColumn("corpus_block", every("corpus_blocks")).select(*key, "query_id", "embedding")
+    q = q.withColumn("corpus_block", every("corpus_blocks")).select(*key, "query_id", "wanted")
     c = c.join(sizes, "grp").withColumn("corpus_block", own("id", "corpus_blocks"))
-    c = c.withColumn("query_block", every("query_blocks")).select(*key, "id", "embedding")
+    c = c.withColumn("query_block", every("query_blocks")).select(*key, "id", "vector")
 
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return (

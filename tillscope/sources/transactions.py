@@ -9,27 +9,17 @@ from tillscope.functions import dates
 from tillscope.schemas import SNAKE_NAMES, TRANSACTIONS
 
 
+_CSV = {"header": "true", "encoding": "ISO-8859-1", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+
+
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Latin-1 CSV with a header; ids stay strings, nothing is inferred."""
-    return spark.read.csv(
-        path,
-        schema=TRANSACTIONS,
-        header=True,
-        encoding="ISO-8859-1",
-        enforceSchema=False,
-        escape='"',
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
-    ).select(*TRANSACTIONS.names)
+    reader = spark.read.schema(TRANSACTIONS).options(**_CSV)
+    return reader.csv(path).select(*TRANSACTIONS.names)
 
 
 def write_transactions_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(
-        path,
-        header=True,
-        encoding="ISO-8859-1",
-        escape='"',
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
-    )
+    df.write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_transactions(df: DataFrame, path: str) -> None:
