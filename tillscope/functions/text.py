@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tillscope import catalogue as cat
 from tillscope.functions.literals import label_lookup
+from tillscope.functions.numbers import fixed, half_even
 
 
 def whole_percent(share: Column) -> Column:
     """``0.585`` as ``58%``: half-even, which is what a printed percentage shows."""
-    return F.concat(F.bround(share * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat(fixed(share * 100, 0), F.lit("%"))
 
 
 def direction(deviation: Column) -> Column:
@@ -31,8 +32,8 @@ def iso(date: Column) -> Column:
 def anomaly_sentence(kpi, date, pct, deviation, actual, expected, method, confidence) -> Column:
     # Fixed format.
     return F.concat(
-        kpi, F.format_string(" was %.1f%% ", F.abs(pct)), side(deviation), F.lit(" expected on "), iso(date),
-        F.format_string(" (actual: %,.2f, expected: %,.2f)", actual, expected),
+        kpi, F.lit(" was "), fixed(F.abs(pct), 1), F.lit("% "), side(deviation), F.lit(" expected on "), iso(date),
+        F.lit(" (actual: "), fixed(actual, 2, grouped=True), F.lit(", expected: "), fixed(expected, 2, grouped=True), F.lit(")"),
         F.lit(" — detected by "), method, F.lit(" with "), whole_percent(confidence), F.lit(" confidence"),
     )
 
@@ -44,16 +45,16 @@ def confirmed_suffix(n: Column, methods: Column) -> Column:
 def trend_sentence(kpi, s, p, slope, last, mean) -> Column:
     return F.concat(
         kpi, F.lit(" shows a statistically significant "), F.when(s > 0, "upward").otherwise("downward"),
-        F.format_string(" trend (p=%.3f, slope=%.4f per period).", p, slope),
-        F.format_string(" Current value %,.2f vs series mean %,.2f.", last, mean),
+        F.lit(" trend (p="), fixed(p, 3), F.lit(", slope="), fixed(slope, 4), F.lit(" per period). Current value "),
+        fixed(last, 2, grouped=True), F.lit(" vs series mean "), fixed(mean, 2, grouped=True), F.lit("."),
     )
 
 
 def root_cause_sentence(kpi, date, pct, deviation, status, dimension, segment, contribution) -> Column:
     explained = F.concat(
-        kpi, F.format_string(" was %.1f%% ", F.abs(pct)), side(deviation), F.lit(" expected on "), iso(date),
+        kpi, F.lit(" was "), fixed(F.abs(pct), 1), F.lit("% "), side(deviation), F.lit(" expected on "), iso(date),
         F.lit(". Primary driver: "), dimension, F.lit("="), segment,
-        F.format_string(" accounted for %.1f%% of the deviation.", contribution),
+        F.lit(" accounted for "), fixed(contribution, 1), F.lit("% of the deviation."),
     )
     manual = F.concat(
         kpi, F.lit(" anomaly on "), iso(date),
@@ -82,7 +83,7 @@ def drivers_with_share(empty: str) -> Column:
     text = _drivers(
         lambda i: F.concat(
             F.col(f"driver_{i}_dimension"), F.lit("="), F.col(f"driver_{i}_segment"),
-            F.format_string(" (%.1f%% of deviation)", F.col(f"driver_{i}_contribution_pct")),
+            F.lit(" ("), fixed(F.col(f"driver_{i}_contribution_pct"), 1), F.lit("% of deviation)"),
         )
     )
     return F.when(text == "", empty).otherwise(text)
@@ -107,7 +108,7 @@ def anomaly_document() -> Column:
         F.lit("KPI: "), document_label(F.col("kpi_name")),
         F.lit(". Date: "), month_year(F.col("date")),
         F.lit(". Severity: "), F.coalesce(F.col("anomaly_severity"), F.lit("unknown")),
-        F.format_string(". The metric was %.1f%% ", pct), side(F.col("total_deviation")),
+        F.lit(". The metric was "), fixed(pct, 1), F.lit("% "), side(F.col("total_deviation")),
         F.lit(" expected. Status: "), F.coalesce(F.col("status"), F.lit("unknown")),
         F.lit(". Top drivers: "), drivers_plain("no drivers identified"), F.lit("."),
     )
@@ -118,7 +119,7 @@ def query_document(kpi: Column, severity: Column, pct: Column, side_text: Column
     severity_part = F.when(severity.isNotNull() & (severity != ""), F.concat(F.lit(" Severity: "), severity, F.lit(".")))
     deviation_part = F.when(
         pct.isNotNull() & side_text.isNotNull(),
-        F.concat(F.format_string(" The metric was %.1f%% ", pct), side_text, F.lit(" expected.")),
+        F.concat(F.lit(" The metric was "), fixed(pct, 1), F.lit("% "), side_text, F.lit(" expected.")),
     )
     tail = F.concat(F.coalesce(severity_part, F.lit("")), F.coalesce(deviation_part, F.lit("")))
     return F.concat(
@@ -146,16 +147,17 @@ def key_date(key: Column) -> Column:
 def format_kpi_value(kpi: Column, value: Column) -> Column:
     """Dashboard form: pounds, percent or plain, with millions and thousands scaling."""
     millions, thousands = value >= 1_000_000, value >= 1_000
+    pound = F.lit("£")
     currency = (
-        F.when(millions, F.format_string("£%.2fM", value / 1_000_000))
-        .when(thousands, F.format_string("£%,.0f", F.bround(value, 0)))
-        .otherwise(F.format_string("£%.2f", value))
+        F.when(millions, F.concat(pound, fixed(value / 1_000_000, 2), F.lit("M")))
+        .when(thousands, F.concat(pound, fixed(value, 0, grouped=True)))
+        .otherwise(F.concat(pound, fixed(value, 2)))
     )
-    percent = F.when(value <= 1, F.format_string("%.1f%%", value * 100)).otherwise(F.format_string("%.1f%%", value))
+    percent = F.concat(fixed(F.when(value <= 1, value * 100).otherwise(value), 1), F.lit("%"))
     plain = (
-        F.when(millions, F.format_string("%.1fM", value / 1_000_000))
-        .when(thousands, F.format_string("%,.0f", F.bround(value, 0)))
-        .otherwise(F.format_string("%.1f", value))
+        F.when(millions, F.concat(fixed(value / 1_000_000, 1), F.lit("M")))
+        .when(thousands, fixed(value, 0, grouped=True))
+        .otherwise(fixed(value, 1))
     )
     return F.when(kpi.isin(*cat.CURRENCY_KPIS), currency).when(kpi.isin(*cat.PERCENT_KPIS), percent).otherwise(plain)
 
@@ -164,9 +166,9 @@ def report_kpi_value(kpi: Column, value: Column) -> Column:
     """Owner-report form, chosen by words in the name; rates come before revenue."""
     name = F.lower(kpi)
     return (
-        F.when(name.rlike("rate|share|concentration"), F.format_string("%.2f%%", value * 100))
-        .when(name.rlike("revenue|price"), F.format_string("£%,.2f", value))
-        .otherwise(F.format_string("%,.0f", F.bround(value, 0)))
+        F.when(name.rlike("rate|share|concentration"), F.concat(fixed(value * 100, 2), F.lit("%")))
+        .when(name.rlike("revenue|price"), F.concat(F.lit("£"), fixed(value, 2, grouped=True)))
+        .otherwise(fixed(value, 0, grouped=True))
     )
 
 
@@ -194,4 +196,4 @@ def quality_flags(text: Column) -> Column:
 
 def call_cost(input_tokens: Column, output_tokens: Column) -> Column:
     cost = (input_tokens / 1_000_000) * cat.COST_PER_M_INPUT + (output_tokens / 1_000_000) * cat.COST_PER_M_OUTPUT
-    return F.round(cost, 8)
+    return half_even(cost, 8)

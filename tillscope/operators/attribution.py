@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope import catalogue as cat
 from tillscope.functions import dates, text
+from tillscope.functions.numbers import half_even
 from tillscope.operators.detection import point_anomalies
 from tillscope.operators.kpis import entity_rollup
 from tillscope.session import stage
@@ -219,10 +220,10 @@ def contributions(anomalies: DataFrame, metrics: DataFrame, scale: float, minimu
             "dimension",
             "segment",
             "segment_order",
-            F.round(value, 2).alias("actual"),
-            F.round(expected, 2).alias("expected"),
-            F.round(value - expected, 2).alias("deviation"),
-            F.round("share", 1).alias("contribution_pct"),
+            half_even(value, 2).alias("actual"),
+            half_even(expected, 2).alias("expected"),
+            half_even(value - expected, 2).alias("deviation"),
+            half_even(F.col("share"), 1).alias("contribution_pct"),
         )
     )
 

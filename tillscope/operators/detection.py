@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillscope import catalogue as cat
 from tillscope.functions import text
+from tillscope.functions.numbers import fixed, half_even
 from tillscope.functions.severity import severity_iqr, severity_trend, severity_zscore
 from tillscope.operators.trend import trend_statistics
 from tillscope.schemas import ANOMALIES
@@ -72,8 +73,8 @@ def _anomaly_rows(df: DataFrame, expected: str, method: str, severity: Column, c
         pct.alias("deviation_pct"),
         F.lit(method).alias("method"),
         severity.alias("severity"),
-        F.round(F.least(F.lit(0.99), confidence), 3).alias("confidence"),
-        F.round(stat, 4).alias("stat_value"),
+        half_even(F.least(F.lit(0.99), confidence), 3).alias("confidence"),
+        half_even(stat, 4).alias("stat_value"),
     )
     sentence = text.anomaly_sentence(
         *[F.col(c) for c in ("kpi_name", "date", "deviation_pct", "deviation", "actual_value", "expected_value", "method", "confidence")]
@@ -126,8 +127,8 @@ def detect_trend(series: DataFrame, significance: float = cat.TREND_SIGNIFICANCE
         pct.alias("deviation_pct"),
         F.lit("mann_kendall").alias("method"),
         severity_trend(F.col("p_value"), F.col("slope")).alias("severity"),
-        F.round(F.least(F.lit(0.99), 1 - F.col("p_value")), 3).alias("confidence"),
-        F.round("z", 4).alias("stat_value"),
+        half_even(F.least(F.lit(0.99), 1 - F.col("p_value")), 3).alias("confidence"),
+        half_even(F.col("z"), 4).alias("stat_value"),
         text.trend_sentence(
             *[F.col(c) for c in ("kpi_name", "s", "p_value", "slope", "last_value", "mean")]
         ).alias("description"),
@@ -170,7 +171,7 @@ def merge_detections(detections: DataFrame) -> DataFrame:
         )
     )
     several = F.col("n") > 1
-    confidence = F.round(F.least(F.lit(0.99), F.col("best.confidence") + 0.1 * (F.col("n") - 1)), 3)
+    confidence = half_even(F.least(F.lit(0.99), F.col("best.confidence") + 0.1 * (F.col("n") - 1)), 3)
     suffix = text.confirmed_suffix(F.col("n"), F.array_join("methods", ", "))
     merged = {
         "method": F.array_join("methods", "_and_"),
@@ -236,6 +237,6 @@ def anomaly_display(anomalies: DataFrame) -> DataFrame:
         F.col("kpi_name").alias("KPI"),
         F.upper("severity").alias("Severity"),
         text.whole_percent(F.col("confidence")).alias("Confidence"),
-        F.concat(F.format_string("%.1f", F.col("deviation_pct")), F.lit("%")).alias("Deviation"),
+        F.concat(fixed(F.col("deviation_pct"), 1), F.lit("%")).alias("Deviation"),
         F.col("method").alias("Method"),
     )

@@ -640,7 +640,7 @@ def pairwise_self_join(x):
 
 def _metric(x, **specs):
     weekly = x.derived.withColumn("date", dates.week_end(F.col("InvoiceDate")))
-    return rounded(m.evaluate(weekly, specs, ["date"]))
+    return m.evaluate(weekly, specs, ["date"])
 
 
 @query
