@@ -122,7 +122,7 @@ def latency_series(calls: DataFrame) -> DataFrame:
             _version().alias("prompt_version"),
         )
         .where(F.col("timestamp").isNotNull())
-        .orderBy("timestamp")
+        .orderBy("timestamp", "prompt_version", "latency_ms")
     )
 
 

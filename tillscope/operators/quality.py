@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tillscope import catalogue as cat
 from tillscope.functions import dates
+from tillscope.operators.quantiles import quantiles, value_histogram
 from tillscope.schemas import TRANSACTIONS
 
 _FAMILIES = {
@@ -242,20 +243,14 @@ def zero_price_share(df: DataFrame, limit: float = cat.MAX_ZERO_PRICE_SHARE) ->
 
 
 def iqr_outliers(df: DataFrame, column: str = "Quantity", multiplier: float = cat.IQR_MULTIPLIER) -> DataFrame:
-    """Exact quartile fences and the rows outside them.
-
-    Rows are first counted per distinct value, so the exact percentile sees the value
-    histogram instead of the rows, and the outliers are counted from that histogram too.
-    """
-    histogram = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Exact quartile fences and the rows outside them, from the value histogram."""
+    histogram = value_histogram(df, column)
     # One row of quartiles, read back as a scalar subquery rather than joined.
-    quartiles = histogram.agg(F.percentile("v", [0.25, 0.75], F.col("n"))).scalar()
+    quartiles = quantiles(histogram, [0.25, 0.75]).select(F.struct("q0", "q1")).scalar()
     v, n, q1, q3 = F.col("v"), F.col("n"), F.col("q1"), F.col("q3")
     fenced = (
         histogram.withColumn("q", quartiles)
-        .withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]})
+        .withColumns({"q1": F.col("q")["q0"], "q3": F.col("q")["q1"]})
         .withColumns({"lower_fence": q1 - multiplier * (q3 - q1), "upper_fence": q3 + multiplier * (q3 - q1)})
     )
     outside = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))

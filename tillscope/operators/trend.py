@@ -7,11 +7,16 @@ compared in numpy blocks inside the task that holds the series; none are emitted
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# The helpers below travel to the workers with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BLOCK = 512
 _EXACT_PAIRS = 4_000_000
 _BINS = 4096

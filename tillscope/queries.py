@@ -307,8 +307,11 @@ def append_call_log(x):
 def scan_keyed_json(x):
     path = stage_path(x.spark, "keyed")
     entry = F.struct(*[c for c in x.narratives.columns if c != "key"])
-    whole = x.narratives.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", entry)))).alias("value"))
-    whole.coalesce(1).write.text(path)
+    # One file per KPI, each holding one object of entries.
+    objects = x.narratives.groupBy(F.col("kpi_name").alias("kpi")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("key", entry)))).alias("value")
+    )
+    objects.write.partitionBy("kpi").text(path)
     return files.read_keyed_json(x.spark, path).select("key", "kpi_name", "date", "severity", "prompt_version")
 
 

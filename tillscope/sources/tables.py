@@ -82,20 +82,24 @@ def insert_do_nothing(target: DataFrame, batch: DataFrame, keys: list[str], orde
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """The table after an upsert: listed columns take the batch's value, the rest stay.
 
-    One full outer join on the key; the batch must hold a key at most once.
+    One full outer join on the key; the batch must hold a key at most once. A null key
+    never conflicts, so rows with one stay outside the join and do not pile up in a task.
     """
     t, b, hit = F.col("_t"), F.col("_b"), F.col("_t").isNotNull() & F.col("_b").isNotNull()
-    packed_target = target.select(*keys, F.struct(*target.columns).alias("_t"))
-    packed_batch = batch.select(*keys, F.struct(*batch.columns).alias("_b"))
-    columns = []
+    packed_target = target.where(~_any_null(keys)).select(*keys, F.struct(*target.columns).alias("_t"))
+    packed_batch = batch.where(~_any_null(keys)).select(*keys, F.struct(*batch.columns).alias("_b"))
+    columns, loose = [], []
     for c in target.columns:
-        new = b[c] if c in batch.columns else F.lit(None).cast(target.schema[c].dataType)
+        empty = F.lit(None).cast(target.schema[c].dataType)
+        new = b[c] if c in batch.columns else empty
         if c in update:
             value = F.when(b.isNotNull(), new).otherwise(t[c])
         else:
             value = F.when(hit | b.isNull(), t[c]).otherwise(new)
         columns.append(value.alias(c))
-    return packed_target.join(packed_batch, keys, "full_outer").select(*columns)
+        loose.append((F.col(c) if c in batch.columns else empty).alias(c))
+    merged = packed_target.join(packed_batch, keys, "full_outer").select(*columns)
+    return merged.unionByName(target.where(_any_null(keys))).unionByName(batch.where(_any_null(keys)).select(*loose))
 
 
 def rewrite(df: DataFrame, path: str) -> None:

@@ -25,11 +25,11 @@ def write_transactions_csv(df: DataFrame, path: str) -> None:
 def write_transactions(df: DataFrame, path: str) -> None:
     """Parquet by week: baseline and anomaly-week filters then prune whole folders.
 
-    Rows are spread over several files per week by invoice, so a heavy week is not one task.
+    Rebalancing by week merges small weeks and splits a heavy one by its real size.
     """
     (
         df.withColumn("week_end", dates.week_end(F.col("InvoiceDate")))
-        .repartition("week_end", F.pmod(F.xxhash64("InvoiceNo"), F.lit(16)))
+        .hint("rebalance", F.col("week_end"))
         .write.mode("overwrite")
         .partitionBy("week_end")
         .parquet(path)
