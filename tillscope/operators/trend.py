@@ -48,30 +48,32 @@ def median_slope(values: np.ndarray) -> float:
     low = min((d / s).min() for d, s in _later_differences(values))
     high = max((d / s).max() for d, s in _later_differences(values))
     below, inside = 0, total
-    while inside > _EXACT_PAIRS and low < high:
+    while inside > _EXACT_PAIRS:
         edges = np.linspace(low, high, _BINS + 1)
+        if not (np.diff(edges) > 0).all():
+            break
         counts = np.zeros(_BINS, dtype=np.int64)
         for d, s in _later_differences(values):
             counts += np.histogram(d / s, bins=edges)[0]
         upto = below + np.cumsum(counts)
         first, last = (int(np.searchsorted(upto, r, side="right")) for r in ranks)
-        new_low, new_high = edges[first], edges[last + 1]
-        if (new_low, new_high) == (low, high):
+        if (edges[first], edges[last + 1]) == (low, high):
             break
-        low, high = new_low, new_high
+        low, high = edges[first], edges[last + 1]
         below = inside = 0
         for d, s in _later_differences(values):
             slope = d / s
             below += int((slope < low).sum())
             inside += int(((slope >= low) & (slope <= high)).sum())
-    if low == high:
-        return float(low)
-    kept = []
+    # Many pairs may share a slope, so what is left is kept as distinct values with counts.
+    distinct, counts = np.empty(0), np.empty(0, dtype=np.int64)
     for d, s in _later_differences(values):
         slope = d / s
-        kept.append(slope[(slope >= low) & (slope <= high)])
-    found = np.partition(np.concatenate(kept), [r - below for r in ranks])
-    return float(np.mean([found[r - below] for r in ranks]))
+        found, n_found = np.unique(slope[(slope >= low) & (slope <= high)], return_counts=True)
+        distinct, where = np.unique(np.concatenate([distinct, found]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([counts, n_found])).astype(np.int64)
+    upto = below + np.cumsum(counts)
+    return float(np.mean([distinct[np.searchsorted(upto, r, side="right")] for r in ranks]))
 
 
 def series_statistics(values: np.ndarray) -> dict:

@@ -101,8 +101,9 @@ def rename_snake(df: DataFrame) -> DataFrame:
 
 
 def normalise_customer_id(df: DataFrame, column: str = "customer_id") -> DataFrame:
-    """``'12345.0'`` becomes ``'12345'``; null stays null."""
-    return df.withColumn(column, F.col(column).cast("double").cast("bigint").cast("string"))
+    """``'12345.0'`` becomes ``'12345'``; null stays null and an id that is no number stays as it is."""
+    whole = F.col(column).try_cast("decimal(38,10)").try_cast("bigint").cast("string")
+    return df.withColumn(column, F.coalesce(whole, F.col(column)))
 
 
 def raw_table(df: DataFrame) -> DataFrame:
