@@ -210,7 +210,7 @@ Q["filter_prefix"] = "SELECT Country, count(*) AS n FROM tx WHERE InvoiceNo LIKE
 # --------------------------------------------------------------------------- joins
 
 Q["vw_kpi_with_anomaly_flag"] = """
-SELECT s.kpi_name, s.date AS week_date, round(value, 4) AS value, CAST(NULL AS VARCHAR) AS category, a.id IS NOT NULL AS is_anomaly, severity,
+SELECT s.kpi_name, s.date AS week_date, value, CAST(NULL AS VARCHAR) AS category, a.id IS NOT NULL AS is_anomaly, severity,
        round(confidence, 4) AS confidence, round(deviation_pct, 4) AS deviation_pct, direction
 FROM series s LEFT JOIN anomaly_table a ON s.kpi_name = a.kpi_name AND s.date = a.anomaly_date"""
 SUMMARY = """
@@ -313,7 +313,8 @@ SELECT prompt_version, count(*) AS total_calls, count(*) AS successful_calls, ro
 FROM calls GROUP BY 1"""
 CLUSTERS = """
 SELECT anomaly_date, count(*) AS kpi_count, string_agg(kpi_name, ',' ORDER BY kpi_name) AS kpis_affected, {worst} AS max_severity,
-       round(avg(confidence), 4) AS avg_confidence FROM anomaly_table GROUP BY 1 HAVING count(*) > 1"""
+       (2 * sum(CAST(round(confidence * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) / 10000 AS avg_confidence
+FROM anomaly_table GROUP BY 1 HAVING count(*) > 1"""
 Q["vw_anomaly_clusters"] = CLUSTERS.format(worst="max(severity)")
 Q["vw_anomaly_clusters_ordinal"] = CLUSTERS.format(
     worst="CASE max(list_position(['low', 'medium', 'high', 'critical'], severity)) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
@@ -487,7 +488,7 @@ Q["dq_allowed_values"] = "SELECT Country, count(*) AS n_rows FROM tx WHERE Count
 Q["dedupe_transactions"] = "SELECT DISTINCT InvoiceNo, InvoiceDate, CustomerID, Country FROM tx"
 Q["dq_gate"] = f"SELECT (SELECT count(*) FILTER (passes) / count(*) < 0.95 FROM ({_checks(100000)})) AS stopped, (SELECT count(*) FROM tx) AS passed_on"
 Q["daily_kpis_table"] = """
-SELECT d.date, kpi_name, round(value, 4) AS kpi_value, round(filled, 4) AS data_completeness
+SELECT d.date, kpi_name, value AS kpi_value, round(filled, 4) AS data_completeness
 FROM (SELECT * FROM (UNPIVOT daily ON COLUMNS(* EXCLUDE (date)) INTO NAME kpi_name VALUE value)) d
 JOIN (SELECT day AS date, 1 - sum(CASE WHEN CustomerID IS NULL THEN 1 ELSE 0 END) / (count(*) * 8) AS filled FROM txd GROUP BY 1) USING (date)"""
 Q["insights_table"] = """

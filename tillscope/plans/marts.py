@@ -93,7 +93,7 @@ def anomaly_clusters(anomalies: DataFrame, ordinal: bool = False) -> DataFrame:
             F.count(F.lit(1)).alias("kpi_count"),
             F.array_sort(F.collect_list("kpi_name")).alias("kpis_affected"),
             worst.alias("max_severity"),
-            F.round(F.avg("confidence"), 4).alias("avg_confidence"),
+            F.round(F.avg(F.col("confidence").cast("decimal(5,4)")), 4).cast("double").alias("avg_confidence"),
         )
         .where(F.col("kpi_count") > 1)
         .orderBy("anomaly_date")
