@@ -263,11 +263,11 @@ def root_cause_all(
     """Root causes of every point anomaly at once.
 
     Statuses: ratio KPIs need manual review, an anomaly whose week has no rows has
-    insufficient data, everything else is analysed. ``anomalies`` should be a stored
-    table, so that the planner knows its size. Two passes over the rows: the baseline
-    profile, then all segment metrics.
+    insufficient data, everything else is analysed. Two passes over the rows: the baseline
+    profile, then all segment metrics. The anomalies are staged first, so that the planner
+    knows how small they are when it joins them to the rows.
     """
-    points = point_anomalies(anomalies)
+    points = stage(point_anomalies(anomalies), "point_anomalies")
     is_ratio = F.col("kpi_name").isin(*cat.RATIO_KPIS)
     profile = profile or BaselineProfile(tx, baseline)
     sliceable = points.where(~is_ratio)

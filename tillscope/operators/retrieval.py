@@ -98,16 +98,21 @@ def similar_topk(
     pair of blocks is searched in its own task, which ships only its best ``n`` per
     query. A KPI that holds a large share of the corpus therefore becomes many blocks.
     """
-    group = F.col("kpi_name") if same_kpi_only else F.lit("all")
-    q = queries.select(group.cast("string").alias("grp"), F.col("id").cast("string").alias("query_id"), F.col("embedding").alias("wanted"))
-    c = corpus.select(group.cast("string").alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").alias("vector"))
-
-    blocks = F.ceil(F.col("rows") / block_rows).cast("int")
-    def counted(df, name):
-        return df.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).select("grp", blocks.alias(name))
-
-    # One row per group; staged so that the planner sees its size.
-    sizes = stage(counted(q, "query_blocks").join(counted(c, "corpus_blocks"), "grp"), "block_sizes")
+    group = F.col("kpi_name").cast("string") if same_kpi_only else F.lit("all")
+    q = queries.select(group.alias("grp"), F.col("id").cast("string").alias("query_id"), F.col("embedding").alias("wanted"))
+    c = corpus.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows).cast("int"))
+    if same_kpi_only:
+        # One row per group; staged so that the planner sees its size.
+        per_group = q.groupBy("grp").agg(blocks.alias("query_blocks")).join(
+            c.groupBy("grp").agg(blocks.alias("corpus_blocks")), "grp"
+        )
+        sizes = stage(per_group, "block_sizes")
+        q, c = q.join(sizes, "grp"), c.join(sizes, "grp")
+    else:
+        counts = {"query_blocks": q.agg(blocks).scalar(), "corpus_blocks": c.agg(blocks).scalar()}
+        q, c = q.withColumns(counts), c.withColumns(counts)
 
     def own(column, total):
         return F.pmod(F.xxhash64(column), F.col(total)).cast("int")
@@ -116,9 +121,9 @@ def similar_topk(
         return F.explode(F.sequence(F.lit(0), F.col(total) - 1))
 
     key = ["grp", "query_block", "corpus_block"]
-    q = q.join(sizes, "grp").withColumn("query_block", own("query_id", "query_blocks"))
+    q = q.withColumn("query_block", own("query_id", "query_blocks"))
     q = q.withColumn("corpus_block", every("corpus_blocks")).select(*key, "query_id", "wanted")
-    c = c.join(sizes, "grp").withColumn("corpus_block", own("id", "corpus_blocks"))
+    c = c.withColumn("corpus_block", own("id", "corpus_blocks"))
     c = c.withColumn("query_block", every("query_blocks")).select(*key, "id", "vector")
 
     best = Window.partitionBy("query_id").orderBy("distance", "id")
