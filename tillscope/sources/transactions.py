@@ -40,6 +40,15 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a table that fewer tasks read than there are cores, such as one small file.
+
+    A table with enough splits, so any large one, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The order schema (lineitem, orders, customer, nation, part) seen as transactions.
 
@@ -53,7 +62,7 @@ def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     returned = F.col("l_returnflag") == "R"
     hours = F.make_dt_interval(hours=((F.col("o_orderkey") * 7) % 24).cast("int"))
     return (
-        t["lineitem"]
+        spread(t["lineitem"], "l_orderkey")
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
