@@ -3,14 +3,8 @@
 from __future__ import annotations
 
 from tillscope.oracle.ctes import (
-    BASE_END,
-    BASE_START,
     HOME,
     KPI_NAMES,
-    RATIO_KPIS,
-    SEVERITY_IQR,
-    SEVERITY_TREND,
-    SEVERITY_Z,
     SIDE,
     build,
     iqr_sql,
