@@ -141,3 +141,16 @@ def test_period_residuals(make_tx):
     assert tx.where(att.in_anomaly_week(ts, day)).count() == 2
     assert tx.where(att.in_anomaly_week(ts, day, "D")).count() == 1
     assert tx.where(att.in_anomaly_week(ts, day, full_week=True)).count() == 3
+
+
+def test_stored_weeks_are_pruned_and_agree(spark, tx, tmp_path):
+    from tillscope.sources import transactions as src
+
+    src.write_transactions(tx, str(tmp_path / "tx"))
+    stored = src.read_transactions(spark, str(tmp_path / "tx"))
+    rows = att.baseline_rows(stored, BASELINE)
+    assert "2021-03-14" in rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert rows.count() == att.baseline_rows(tx, BASELINE).count() == 3
+    found = anomaly(spark, ("total_revenue", SUNDAY, 20.0, "zscore"))
+    same = [att.root_cause_all(t, found, BASELINE).first()["drivers"] for t in (tx, stored)]
+    assert same[0] == same[1] and len(same[0]) > 0

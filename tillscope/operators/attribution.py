@@ -43,6 +43,17 @@ def in_baseline_period(ts: Column, baseline) -> Column:
     return ts.between(start, end)
 
 
+def baseline_rows(tx: DataFrame, baseline) -> DataFrame:
+    """Rows of the baseline; on a table stored by week its other folders are not read."""
+    if baseline is None:
+        return tx
+    rows = tx.where(in_baseline_period(F.col("InvoiceDate"), baseline))
+    if "week_end" in tx.columns:
+        first, last = (dates.week_end(F.lit(b).cast("timestamp_ntz")) for b in baseline)
+        rows = rows.where(F.col("week_end").between(first, last))
+    return rows
+
+
 def in_anomaly_week(ts: Column, date: Column, window: str = "W", full_week: bool = False) -> Column:
     """Residual test for a row already in the bucket dated ``date``.
 
@@ -75,7 +86,7 @@ class BaselineProfile:
         self.scale = 7.0 / self.days if self.days > 0 else 1.0
 
     def rows(self, tx: DataFrame) -> DataFrame:
-        return tx if self.baseline is None else tx.where(in_baseline_period(F.col("InvoiceDate"), self.baseline))
+        return baseline_rows(tx, self.baseline)
 
     def _build(self, tx: DataFrame, top_n: int) -> DataFrame:
         by_product = F.grouping("StockCode") == 0
@@ -106,9 +117,9 @@ class BaselineProfile:
 
 def top_products(tx: DataFrame, baseline=None, n: int = cat.TOP_SEGMENT_PRODUCTS) -> DataFrame:
     """The products with the most baseline revenue; ties go to the smaller stock code."""
-    rows = tx if baseline is None else tx.where(in_baseline_period(F.col("InvoiceDate"), baseline))
     return (
-        rows.groupBy("StockCode")
+        baseline_rows(tx, baseline)
+        .groupBy("StockCode")
         .agg(F.sum(F.col("Quantity") * F.col("UnitPrice")).alias("revenue"))
         .orderBy(F.desc("revenue"), "StockCode")
         .limit(n)

@@ -23,7 +23,7 @@ def write_transactions_csv(df: DataFrame, path: str) -> None:
 
 
 def write_transactions(df: DataFrame, path: str) -> None:
-    """Parquet by week: baseline and anomaly-week filters then prune whole folders.
+    """Parquet by week: a baseline or a filter on ``week_end`` then reads only its folders.
 
     Rebalancing by week merges small weeks and splits a heavy one by its real size.
     """
