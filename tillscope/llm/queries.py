@@ -7,12 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import mixing, packing, sharding, simhash
+from tillscope.llm import language_id, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash
 from tillscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(read(spark, sf_dir, "documents"))
+
+
+def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents"))
+
+
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
 def op5_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,6 +46,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_min_bin_slack, op6_multinomial_mix, op9_jump_hash, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ftrl_language, op2_adaptive_rules, op3_byte_cnn, op4_markov_secrets, op5_min_bin_slack, op6_multinomial_mix, op9_jump_hash, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
