@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import language_id, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash
+from tillscope.llm import hamming_topk, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash
 from tillscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.every_hundredth(read(spark, sf_dir, "embeddings"))
+
+
+def op8_nearest_url_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -46,6 +54,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ftrl_language, op2_adaptive_rules, op3_byte_cnn, op4_markov_secrets, op5_min_bin_slack, op6_multinomial_mix, op9_jump_hash, op10_simhash)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_ftrl_language,
+        op2_adaptive_rules,
+        op3_byte_cnn,
+        op4_markov_secrets,
+        op5_min_bin_slack,
+        op6_multinomial_mix,
+        op7_multi_index_hamming,
+        op8_nearest_url_text,
+        op9_jump_hash,
+        op10_simhash,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
