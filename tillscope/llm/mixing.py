@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import WORD, by_batch, n_words, placed
@@ -35,6 +36,10 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
     return made
 
 
+def text_crc(text: Column) -> Column:
+    return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+
+
 @dataclass(frozen=True)
 class Plan:
     """The recipe: per source (by code point, null last) its size, target, blocks and places."""
@@ -172,7 +177,7 @@ def mix(
     no words. Sources are the recipe's entries and are listed on the driver.
     """
     spark = docs.sparkSession
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("crc")), "sized")
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_crc(F.col("text")).alias("crc")), "sized")
     sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     recipe = plan(sizes, weights, share, block, slots, seed)
     ahead = stage(placed(sized, ["source"], ["doc_id", "crc", "size"], "start", size="size"), "places")
@@ -203,17 +208,55 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return met.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The words of ``text`` in the given (first, count) spans, as they stand, joined by a space."""
-    import re
+_WORD = re.compile(WORD)
+
 
-    at = [(m.start(), m.end()) for m in re.finditer(WORD, text)]
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words of ``text`` in the given (first, count) spans, as they stand there; spans that touch are one."""
+    at = [m.span() for m in _WORD.finditer(text)]
     merged: list[list[int]] = []
     for first, count in sorted(spans):
         if merged and merged[-1][1] == first:
             merged[-1][1] = first + count
         else:
             merged.append([first, first + count])
-    if len(merged) == 1 and merged[0] == [0, len(at)]:
+    if merged == [[0, len(at)]]:
         return text
     return " ".join(text[at[a][0] : at[b - 1][1]] for a, b in merged)
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: one row for each pass over a document.
+
+    A row's text is what that pass takes of the document, whole or in part, so a document
+    comes back up to twice, once, or not at all. Of rows that agree in id, source and text the
+    other columns are those of one of them. ``n_chars`` follows the text if it is a column.
+    """
+    ahead, taken, _ = mix(docs, **options)
+    by = ["doc_id", "source", "crc", "size"]
+    spans = taken.groupBy("source_no", "start", "copy").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
+    cuts = spans.join(ahead.where("size > 0").select("source_no", "start", *by), ["source_no", "start"])
+    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in by], "spans")
+    names, fields = docs.columns, docs.schema
+    keyed = docs.select(
+        F.struct(*names).alias("row"), "doc_id", "source", text_crc(F.col("text")).alias("crc"), n_words(F.col("text")).alias("size")
+    ).dropDuplicates(by)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    met = keyed.join(cuts, same).select("row.*", F.col("spans").alias("__spans"))
+
+    def make():
+        def work(batch):
+            made = {c: batch.column(c) for c in names}
+            whole = batch.column("text").to_pylist()
+            made["text"] = [
+                cut_words(t, [(s["first"], s["words"]) for s in spans]) for t, spans in zip(whole, batch.column("__spans").to_pylist())
+            ]
+            if "n_chars" in names:
+                made["n_chars"] = [len(t) for t in made["text"]]
+            return made
+
+        return work
+
+    return by_batch(met, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
