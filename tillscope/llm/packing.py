@@ -38,8 +38,6 @@ class Ids:
 
     def _learn(self, new: list[str]) -> None:
         """Enter ``new`` chunks; those of plain letters and signs are put together from their words."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
         if len(self.words) > REMEMBERED:
             self.words.clear()
         parts, whole = {}, []
@@ -59,10 +57,9 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.chunks
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        if len(known) + len(new) > 2 * REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list({c for chunks in cut for c in chunks})
+        new = list({c for chunks in cut for c in chunks if c not in known})
         if new:
             self._learn(new)
         return [b"".join([known[c] for c in chunks]) for chunks in cut]

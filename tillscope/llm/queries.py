@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import hamming_topk, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, secrets, sharding, simhash
+from tillscope.llm import hamming_topk, html_extract, language_id, mixing, oracle, packing, quality_classifier, quality_rules, secrets, sharding, simhash
 from tillscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,4 +70,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_adaptive_rules": oracle.adaptive_rules(),
+    "op7_multi_index_hamming": oracle.HAMMING,
+}
