@@ -50,7 +50,7 @@ with texts as (
   select row_number() over () as row_no, doc_id, lang, source, coalesce(text, '') as t from documents
 ), words as (
   select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls
   from texts
 ), windows as (
   select row_no, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] as g
@@ -58,10 +58,10 @@ with texts as (
 ), repeats as (
   select row_no, p from (select row_no, p, count(*) over (partition by row_no, g) as c from windows) where c > 1
 ), covered as (
-  select row_no, count(distinct at) as n from (select row_no, unnest([p, p + 1, p + 2]) as at from repeats) group by row_no
+  select row_no, count(distinct word) as n from (select row_no, unnest([p, p + 1, p + 2]) as word from repeats) group by row_no
 ), counted as (
   select w.row_no, doc_id, lang, source, len(ws)::bigint as n_words,
-    coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::bigint as word_chars,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
     len(regexp_extract_all(t, '\\p{{Lu}}'))::bigint as n_upper,
     len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
@@ -93,11 +93,11 @@ from based b left join limits g on g.lang is not distinct from b.lang and g.sour
 
 HAMMING = """
 with codes as (
-  select distinct vec_id, list_transform(range(1, 65), i -> coalesce(embedding[i] > 0, false)) as bits
+  select distinct vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i] > 0, false)) as bits
   from embeddings where vec_id is not null
 ), pairs as (
   select distinct q.vec_id as query_id, c.vec_id as id,
-    list_sum(list_transform(range(1, 65), i -> (q.bits[i] <> c.bits[i])::int))::int as distance
+    list_sum(list_transform(range(1, 65), lambda i: (q.bits[i] <> c.bits[i])::int))::int as distance
   from codes q join codes c on q.vec_id <> c.vec_id
   where q.vec_id % 100 = 0
 )
