@@ -4,11 +4,13 @@ import os
 
 import pytest
 
-from __spark_entry__ import ENTRY_FOLDER, entry, oracle_sql, queries
+from __spark_entry__ import ENTRY_FOLDER, entry
 from compare import compare, connect
+from tillscope.oracle.sql import oracle_queries
+from tillscope.queries import QUERIES
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", ENTRY_FOLDER)
-QUERIES, ORACLE = queries(), oracle_sql()
+ORACLE = oracle_queries()
 
 
 @pytest.fixture(scope="module")

@@ -49,11 +49,24 @@ def baseline_rows(tx: DataFrame, baseline) -> DataFrame:
         return tx
     rows = tx.where(in_baseline_period(F.col("InvoiceDate"), baseline))
     if "week_end" in tx.columns:
-        first, last = (dates.week_end(F.lit(b).cast("timestamp_ntz")) for b in baseline)
-        rows = rows.where(F.col("week_end").between(first, last))
+        rows = rows.where(F.col("week_end").between(*_baseline_weeks(baseline)))
     return rows
 
 
+def _baseline_weeks(baseline) -> list[Column]:
+    return [dates.week_end(F.lit(b).cast("timestamp_ntz")) for b in baseline]
+
+
+def with_week_end(tx: DataFrame) -> DataFrame:
+    """``tx`` with its stored ``week_end``, or one computed where it has none."""
+    return tx if "week_end" in tx.columns else tx.withColumn("week_end", dates.week_end(F.col("InvoiceDate")))
+
+
+def calendar_weeks(anomalies: DataFrame) -> list:
+    """The distinct dates of ``anomalies``: as many as the calendar has weeks, so they may be literals."""
+    return sorted(r["date"] for r in anomalies.where("date is not null").select("date").distinct().collect())
+
+
 def in_anomaly_week(ts: Column, date: Column, window: str = "W", full_week: bool = False) -> Column:
     """Residual test for a row already in the bucket dated ``date``.
 
@@ -142,13 +155,13 @@ def _segment_array(product: Column) -> Column:
 def segment_metrics(rows: DataFrame, keys: list[str], products: DataFrame | None = None) -> DataFrame:
     """All metrics per (keys, dimension, segment) in one grouped pass.
 
-    ``products`` limits the product dimension to a ranked list of at most a few dozen
-    rows, which is why it may be broadcast; without it every product is a segment.
+    ``products`` limits the product dimension to a ranked list, which the planner broadcasts
+    if its size allows; without it every product is a segment.
     """
     if products is None:
         rows = rows.withColumn("product_rank", F.lit(0))
     else:
-        rows = rows.join(F.broadcast(products.select("StockCode", "product_rank")), "StockCode", "left")
+        rows = rows.join(products.select("StockCode", "product_rank"), "StockCode", "left")
     exploded = rows.select(
         *keys,
         F.inline(_segment_array(F.col("product_rank"))),
@@ -183,16 +196,21 @@ def period_and_baseline(tx: DataFrame, anomaly_dates: DataFrame, profile: Baseli
     """Segment metrics of every anomalous week and of the baseline, from one scan.
 
     ``period`` is the week's Sunday, or null for the baseline. A row belongs to at most
-    one week and to the baseline; rows of neither are dropped before anything is shuffled.
+    one week and to the baseline; rows of neither are dropped before anything is shuffled,
+    and on a table stored by week their folders are not read.
     """
-    ts = F.col("InvoiceDate")
-    weeks = anomaly_dates.select(F.col("date").alias("week")).distinct()
-    base = F.lit(True) if profile.baseline is None else in_baseline_period(ts, profile.baseline)
-    tagged = tx.withColumn("week_end", dates.week_end(ts)).join(weeks, F.col("week_end") == F.col("week"), "left")
-    in_week = F.col("week").isNotNull() & in_anomaly_week(ts, F.col("week"), "W", full_week)
+    ts, week = F.col("InvoiceDate"), F.col("week_end")
+    anomalous = week.isin(calendar_weeks(anomaly_dates))
+    tagged = with_week_end(tx)
+    if profile.baseline is None:
+        base = F.lit(True)
+    else:
+        base = in_baseline_period(ts, profile.baseline)
+        tagged = tagged.where(anomalous | week.between(*_baseline_weeks(profile.baseline)))
+    in_week = anomalous & in_anomaly_week(ts, week, "W", full_week)
     periods = F.array_compact(
         F.array(
-            F.when(in_week, F.struct(F.lit(False).alias("is_baseline"), F.col("week").alias("period"))),
+            F.when(in_week, F.struct(F.lit(False).alias("is_baseline"), week.alias("period"))),
             F.when(base, F.struct(F.lit(True).alias("is_baseline"), F.lit(None).cast("date").alias("period"))),
         )
     )
@@ -403,11 +421,28 @@ def top_findings(root_causes: DataFrame, n: int = 10) -> DataFrame:
 
 def anomaly_transactions(tx: DataFrame, anomalies: DataFrame, full_week: bool = False) -> DataFrame:
     """Every anomaly with the transactions of its week: an equi-join on the week plus a residual."""
-    ts = F.col("InvoiceDate")
     wanted = anomalies.select("kpi_name", "date")
-    return (
-        tx.withColumn("week_end", dates.week_end(ts))
-        .join(wanted, F.col("week_end") == F.col("date"))
-        .where(in_anomaly_week(ts, F.col("date"), "W", full_week))
-        .drop("week_end")
+    rows = anomalous_rows(tx, anomalies, full_week)
+    return rows.join(wanted, F.col("week_end") == F.col("date")).drop("week_end")
+
+
+def anomalous_rows(tx: DataFrame, anomalies: DataFrame, full_week: bool = False) -> DataFrame:
+    """The transactions of anomalous weeks, once each, with ``week_end``; other stored weeks are not read."""
+    week = F.col("week_end")
+    rows = with_week_end(tx).where(week.isin(calendar_weeks(anomalies)))
+    return rows.where(in_anomaly_week(F.col("InvoiceDate"), week, "W", full_week))
+
+
+def anomaly_week_totals(tx: DataFrame, anomalies: DataFrame, full_week: bool = False) -> DataFrame:
+    """Rows and revenue of every anomaly's week: summed by week first, so no row is multiplied."""
+    totals = anomalous_rows(tx, anomalies, full_week).groupBy("week_end").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("Quantity") * F.col("UnitPrice")).cast("double").alias("revenue")
     )
+    wanted = anomalies.select("kpi_name", "date")
+    return wanted.join(totals, F.col("date") == F.col("week_end")).drop("week_end")
+
+
+def segment_candidates(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """The segments of ``rows``: countries, the listed products and the hours, each once."""
+    placed = rows.join(products.select("StockCode", "product_rank"), "StockCode", "left")
+    return placed.select(F.inline(_segment_array(F.col("product_rank")))).select("dimension", "segment").distinct()

@@ -11,6 +11,7 @@ from tillscope.functions.numbers import fixed, half_even
 from tillscope.functions.severity import severity_iqr, severity_trend, severity_zscore
 from tillscope.operators.trend import trend_statistics
 from tillscope.schemas import ANOMALIES
+from tillscope.session import stage
 
 Baseline = tuple[str, str] | None
 
@@ -84,8 +85,12 @@ def _anomaly_rows(df: DataFrame, expected: str, method: str, severity: Column, c
 
 def detect_zscore(series: DataFrame, threshold: float = cat.ZSCORE_THRESHOLD, baseline: Baseline = None) -> DataFrame:
     """Points at least ``threshold`` baseline deviations from the baseline mean."""
+    return _by_zscore(_with_statistics(series, baseline), threshold)
+
+
+def _by_zscore(points: DataFrame, threshold: float) -> DataFrame:
     z = F.try_divide(F.col("value") - F.col("mean"), F.col("std"))
-    scored = _with_statistics(series, baseline).where(F.col("std") != 0).withColumn("z", z)
+    scored = points.where(F.col("std") != 0).withColumn("z", z)
     size = F.abs("z")
     return _anomaly_rows(
         scored.where(size >= threshold), "mean", "zscore",
@@ -95,10 +100,13 @@ def detect_zscore(series: DataFrame, threshold: float = cat.ZSCORE_THRESHOLD, ba
 
 def detect_iqr(series: DataFrame, multiplier: float = cat.IQR_MULTIPLIER, baseline: Baseline = None) -> DataFrame:
     """Points strictly outside the quartile fences of the baseline."""
+    return _by_iqr(_with_statistics(series, baseline), multiplier)
+
+
+def _by_iqr(points: DataFrame, multiplier: float) -> DataFrame:
     value, iqr = F.col("value"), F.col("iqr")
     fenced = (
-        _with_statistics(series, baseline)
-        .withColumn("iqr", F.col("q3") - F.col("q1"))
+        points.withColumn("iqr", F.col("q3") - F.col("q1"))
         .where(iqr != 0)
         .withColumns({"lower": F.col("q1") - multiplier * iqr, "upper": F.col("q3") + multiplier * iqr})
         .where((value < F.col("lower")) | (value > F.col("upper")))
@@ -191,13 +199,18 @@ def detect_all(
     iqr_multiplier: float = cat.IQR_MULTIPLIER,
     trend_significance: float = cat.TREND_SIGNIFICANCE,
 ) -> DataFrame:
-    """All three methods over every KPI series that detection does not skip, merged."""
-    watched = series.where(~F.col("kpi_name").isin(*cat.SKIPPED_IN_DETECTION))
+    """All three methods over every KPI series that detection does not skip, merged.
+
+    The points with their baseline statistics are computed once and staged, since both point
+    tests and the trend test read them.
+    """
+    watched = series.where(~F.col("kpi_name").isin(*cat.SKIPPED_IN_DETECTION) & F.col("value").isNotNull())
+    watched = watched.select("kpi_name", "date", "value")
+    points = stage(watched.join(baseline_statistics(watched, baseline), "kpi_name"), "series_points")
+    enough = points.where(F.col("n_points") >= cat.MIN_POINTS)
     return merge_detections(
         union_detections(
-            detect_zscore(watched, zscore_threshold, baseline),
-            detect_iqr(watched, iqr_multiplier, baseline),
-            detect_trend(watched, trend_significance),
+            _by_zscore(enough, zscore_threshold), _by_iqr(enough, iqr_multiplier), detect_trend(points, trend_significance)
         )
     )
 

@@ -57,19 +57,26 @@ def entity_rollup(rows: DataFrame, keys: list[str], sums: list[str], flags: list
     )
 
 
-def _measures(rows: DataFrame, keys: list[str], top_products: int, top_hours: int, repeat_over: int) -> DataFrame:
-    sums = ["revenue", "units", "international_revenue", "weekend_revenue"]
-    entities = entity_rollup(rows, keys, sums, ["is_return", "dated"])
+_SUMS = ["revenue", "units", "international_revenue", "weekend_revenue"]
+_FLAGS = ["is_return", "dated"]
 
-    # Second pass, two columns wide: revenue by product and by hour, then the best of each.
+
+def _facets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Revenue by product and by hour."""
     by_product = F.grouping("hour") == 1
-    ranked = Window.partitionBy(*keys, "by_product").orderBy(F.desc("facet_revenue"), "product", "hour")
-    facets = (
+    return (
         rows.where(F.col("product").isNotNull() | F.col("hour").isNotNull())
         .groupingSets([[*keys, "product"], [*keys, "hour"]], *keys, "product", "hour")
         .agg(by_product.alias("by_product"), F.sum("revenue").alias("facet_revenue"))
         .where(F.when(F.col("by_product"), F.col("product").isNotNull()).otherwise(F.col("hour").isNotNull()))
-        .withColumn("rank", F.row_number().over(ranked))
+    )
+
+
+def _measures(entities: DataFrame, facets: DataFrame, keys: list[str], top_products: int, top_hours: int, repeat_over: int) -> DataFrame:
+    sums = _SUMS
+    ranked = Window.partitionBy(*keys, "by_product").orderBy(F.desc("facet_revenue"), "product", "hour")
+    facets = (
+        facets.withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= max(top_products, top_hours))
         .where(F.col("rank") <= F.when(F.col("by_product"), top_products).otherwise(top_hours))
         .drop("product", "hour", "rank")
@@ -113,13 +120,25 @@ def kpi_measures(
     top_hours: int = cat.TOP_HOURS,
     repeat_over: int = cat.REPEAT_ORDERS,
 ) -> DataFrame:
-    """The additive, distinct and top-n measures the KPIs are made of."""
+    """The additive, distinct and top-n measures the KPIs are made of.
+
+    Two passes over the rows: one for the sums and distinct counts, one, two columns wide, for
+    the top-n facets.
+    """
     keys = ["date"] if window else []
+    rows = _kpi_rows(tx, window, home_country, date_column)
+    if window:
+        rows = rows.where(F.col("date").isNotNull())
+    entities = entity_rollup(rows, keys, _SUMS, _FLAGS)
+    return _measures(entities, _facets(rows, keys), keys, top_products, top_hours, repeat_over)
+
+
+def _kpi_rows(tx: DataFrame, window: str | None, home_country: str, date_column: str) -> DataFrame:
     ts = F.col(date_column)
     value = F.col("Quantity") * F.col("UnitPrice")
     abroad = ~F.col("Country").eqNullSafe(F.lit(home_country))
     weekend = F.dayofweek(ts).isin(1, 7)
-    rows = tx.select(
+    return tx.select(
         *([dates.bucket(ts, window).alias("date")] if window else []),
         "InvoiceNo",
         "CustomerID",
@@ -132,9 +151,37 @@ def kpi_measures(
         (F.col("Quantity") < 0).alias("is_return"),
         ts.isNotNull().alias("dated"),
     )
-    if window:
-        rows = rows.where(F.col("date").isNotNull())
-    return _measures(rows, keys, top_products, top_hours, repeat_over)
+
+
+def kpi_facts(tx: DataFrame, window: str = "W", home_country: str = cat.HOME_COUNTRY, date_column: str = "InvoiceDate") -> DataFrame:
+    """What KPIs per window and over all time have in common, from one pass over the rows.
+
+    Sums per (window, invoice, customer), per (window, product) and per (window, hour); ``kind``
+    tells which. Undated rows have a null window, which only the all-time values count.
+    """
+    rows = _kpi_rows(tx, window, home_country, date_column)
+    kind = F.when(F.grouping("product") == 0, "product").when(F.grouping("hour") == 0, "hour").otherwise("entity")
+    return rows.groupingSets(
+        [["date", "InvoiceNo", "CustomerID"], ["date", "product"], ["date", "hour"]], "date", "InvoiceNo", "CustomerID", "product", "hour"
+    ).agg(kind.alias("kind"), *[F.sum(c).alias(c) for c in _SUMS], *[F.bool_or(c).alias(c) for c in _FLAGS])
+
+
+def kpis_of_facts(
+    facts: DataFrame,
+    windowed: bool,
+    home_country: str = cat.HOME_COUNTRY,
+    top_products: int = cat.TOP_PRODUCTS,
+    top_hours: int = cat.TOP_HOURS,
+    repeat_over: int = cat.REPEAT_ORDERS,
+) -> DataFrame:
+    """The KPIs of ``kpi_facts``, per window or over all time; the same values as from the rows."""
+    keys = ["date"] if windowed else []
+    if windowed:
+        facts = facts.where(F.col("date").isNotNull())
+    entities = entity_rollup(facts.where("kind = 'entity'"), keys, _SUMS, _FLAGS)
+    facets = _facets(facts.where("kind <> 'entity'"), keys)
+    measures = _measures(entities, facets, keys, top_products, top_hours, repeat_over)
+    return measures.select(*keys, *_kpi_columns(home_country))
 
 
 def _kpi_columns(home_country: str) -> list:

@@ -1,13 +1,15 @@
 """Mann-Kendall and Theil-Sen statistics of one series.
 
-A series has one point per window, so its length is bounded by the calendar. Pairs are
-compared in numpy blocks inside the task that holds the series; none are emitted.
+A series has one point per window, so its length is bounded by the calendar. Rises and falls
+are counted against a sorted list; slopes are taken in numpy blocks inside the task that holds
+the series, and no pair is emitted.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BLOCK = 512
-_EXACT_PAIRS = 4_000_000
+#: Slopes held at once while the bracket around the median narrows.
+_HELD = 4_000_000
 _BINS = 4096
 
 STATISTICS = (
@@ -39,16 +42,18 @@ def _later_differences(values: np.ndarray):
 
 
 def median_slope(values: np.ndarray) -> float:
-    """Exact median of all pairwise slopes; long series narrow a bracket instead of storing pairs."""
+    """Exact median of all pairwise slopes.
+
+    A bracket around the middle ranks is narrowed by histograms until the slopes in it can be
+    held, and these are ranked with their counts. Pairs are never stored all at once.
+    """
     n = len(values)
     total = n * (n - 1) // 2
-    if total <= _EXACT_PAIRS:
-        return float(np.median(np.concatenate([d / s for d, s in _later_differences(values)])))
     ranks = [(total - 1) // 2, total // 2]
     low = min((d / s).min() for d, s in _later_differences(values))
     high = max((d / s).max() for d, s in _later_differences(values))
     below, inside = 0, total
-    while inside > _EXACT_PAIRS:
+    while inside > _HELD:
         edges = np.linspace(low, high, _BINS + 1)
         if not (np.diff(edges) > 0).all():
             break
@@ -79,9 +84,12 @@ def median_slope(values: np.ndarray) -> float:
 def series_statistics(values: np.ndarray) -> dict:
     n = len(values)
     up = down = 0
-    for difference, _ in _later_differences(values):
-        up += int((difference > 0).sum())
-        down += int((difference < 0).sum())
+    earlier: list[float] = []
+    for v in values.tolist():
+        below, upto = bisect_left(earlier, v), bisect_right(earlier, v)
+        up += below
+        down += len(earlier) - upto
+        earlier.insert(upto, v)
     s = up - down
     _, ties = np.unique(values, return_counts=True)
     ties = ties.astype(float)

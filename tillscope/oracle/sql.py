@@ -24,7 +24,13 @@ Q: dict[str, str] = {}
 
 # -------------------------------------------------------------- sources and sinks
 
-Q["scan_transactions_csv"] = "SELECT * EXCLUDE (UnitPrice), CAST(UnitPrice AS DOUBLE) AS UnitPrice FROM tx"
+THIRD = "CAST(replace(InvoiceNo, 'C', '') AS BIGINT) % 3"
+Q["scan_transactions_csv"] = f"""
+SELECT * EXCLUDE (UnitPrice, Description), CAST(UnitPrice AS DOUBLE) AS UnitPrice,
+       CASE WHEN {THIRD} = 2 THEN Description || chr(10) || '2nd "line"' ELSE Description END AS Description FROM tx"""
+Q["csv_rejects"] = f"""
+SELECT CASE WHEN CAST(StockCode AS BIGINT) % 2 = 0 THEN 'no valid InvoiceDate' ELSE 'no valid Quantity' END AS reject, count(*) AS n
+FROM tx WHERE {THIRD} = 0 GROUP BY 1"""
 Q["sink_processed_csv"] = f"SELECT Country, count(*) AS n, {REVENUE} AS revenue FROM tx GROUP BY 1"
 Q["transactions_by_week_folder"] = "SELECT week_end, count(*) AS n FROM txd GROUP BY 1"
 COLUMNS = ["InvoiceNo", "InvoiceDate", "StockCode", "Description", "Quantity", "UnitPrice", "CustomerID", "Country"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from tillscope import catalogue as cat
 from tillscope.operators.attribution import flatten_drivers, root_cause_all
 from tillscope.operators.detection import detect_all
-from tillscope.operators.kpis import kpi_all, kpi_windowed, unpivot_kpis
+from tillscope.operators.kpis import kpi_facts, kpi_windowed, kpis_of_facts, unpivot_kpis
 from tillscope.session import stage
 from tillscope.sources.files import write_cache
 
@@ -18,13 +18,15 @@ def weekly_series(tx: DataFrame, home_country: str = cat.HOME_COUNTRY) -> DataFr
 
 
 def precompute_all(tx: DataFrame, path: str, home_country: str = cat.HOME_COUNTRY, baseline=None) -> None:
-    wide = weekly_series(tx, home_country)
+    """Three passes over the rows: the facts of both KPI tables, the baseline profile, the segments."""
+    facts = stage(kpi_facts(tx, "W", home_country), "kpi_facts")
+    wide = stage(kpis_of_facts(facts, True, home_country), "kpi_timeseries")
     anomalies = stage(detect_all(unpivot_kpis(wide), baseline), "anomalies")
     causes = flatten_drivers(root_cause_all(tx, anomalies, baseline))
     write_cache(
         path,
         kpi_timeseries=wide,
-        kpi_latest=kpi_all(tx, home_country=home_country),
+        kpi_latest=kpis_of_facts(facts, False, home_country),
         anomalies=anomalies,
         root_causes=causes,
     )

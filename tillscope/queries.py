@@ -71,7 +71,8 @@ class Inputs:
 
     @cached_property
     def tx(self) -> DataFrame:
-        return self._source("tx", lambda: src.from_order_tables(self.spark, self.folder))
+        """The order tables as transactions, stored once: the mapping is a five-way join."""
+        return self._once("transactions", lambda: src.from_order_tables(self.spark, self.folder).repartition("InvoiceNo"))
 
     @cached_property
     def derived(self) -> DataFrame:
@@ -219,9 +220,39 @@ def query(fn):
 
 @query
 def scan_transactions_csv(x):
+    path = _mixed_csv(x)
+    rows = src.read_transactions_csv(x.spark, path, multiline=True, on_reject="skip")
+    return rows.withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
+
+
+def _mixed_csv(x):
+    """All transactions as CSV: a third with month-first dates, a third with a line break in the text, and bad copies."""
     path = stage_path(x.spark, "transactions_csv")
-    src.write_transactions_csv(x.tx, path)
-    return src.read_transactions_csv(x.spark, path).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
+    kind = F.pmod(F.regexp_replace("InvoiceNo", "^C", "").cast("bigint"), F.lit(3))
+    iso = F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss")
+    good = x.tx.select(
+        "InvoiceNo",
+        F.when(kind == 1, F.date_format("InvoiceDate", "M/d/yyyy H:mm")).otherwise(iso).alias("InvoiceDate"),
+        "StockCode",
+        F.when(kind == 2, F.concat("Description", F.lit("\n2nd \"line\""))).otherwise(F.col("Description")).alias("Description"),
+        F.col("Quantity").cast("string").alias("Quantity"),
+        F.col("UnitPrice").cast("string").alias("UnitPrice"),
+        "CustomerID",
+        "Country",
+    )
+    bad = good.where(kind == 0).withColumns(
+        {
+            "InvoiceDate": F.when(F.col("StockCode") % 2 == 0, "some day").otherwise(F.col("InvoiceDate")),
+            "Quantity": F.when(F.col("StockCode") % 2 == 1, "many").otherwise(F.col("Quantity")),
+        }
+    )
+    src.write_transactions_csv(good.unionByName(bad), path)
+    return path
+
+
+@query
+def csv_rejects(x):
+    return src.read_csv_rejects(x.spark, _mixed_csv(x), multiline=True).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -626,9 +657,7 @@ def prompt_version_stats(x):
 
 @query
 def anomaly_tx_range_join(x):
-    return att.anomaly_transactions(x.tx, x.anomalies).groupBy("kpi_name", "date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("Quantity") * F.col("UnitPrice")).cast("double").alias("revenue")
-    )
+    return att.anomaly_week_totals(x.tx, x.anomalies)
 
 
 @query
@@ -1210,7 +1239,7 @@ def segment_metric(x):
 @query
 def segment_candidates(x):
     in_base = x.tx.where(att.in_baseline_period(F.col("InvoiceDate"), BASELINE))
-    return att.segment_metrics(in_base, [], x.profile.top_products()).select("dimension", "segment")
+    return att.segment_candidates(in_base, x.profile.top_products())
 
 
 def _shares(x):

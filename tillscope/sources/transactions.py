@@ -11,11 +11,60 @@ from tillscope.schemas import SNAKE_NAMES, TRANSACTIONS
 
 _CSV = {"header": "true", "encoding": "ISO-8859-1", "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 
+#: Date formats tried one after the other.
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+
+
+def _csv_fields(spark: SparkSession, path: str, date_formats: tuple[str, ...], multiline: bool) -> DataFrame:
+    """Every CSV row with its typed fields and ``reject``, why it is not a transaction (null: it is one)."""
+    names = TRANSACTIONS.names
+    schema = ", ".join(f"`{n}` string" for n in [*names, "_corrupt"])
+    raw = (
+        spark.read.schema(schema)
+        .options(**_CSV, multiLine=str(multiline).lower(), columnNameOfCorruptRecord="_corrupt")
+        .csv(path)
+    )
+    typed, reasons = {}, [F.when(F.col("_corrupt").isNotNull(), "malformed row")]
+    for field in TRANSACTIONS:
+        text = F.col(field.name)
+        if field.dataType.simpleString() == "timestamp_ntz":
+            tried = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in date_formats]
+            typed[field.name] = F.coalesce(*tried)
+        else:
+            typed[field.name] = text.try_cast(field.dataType)
+        if not field.nullable:
+            reasons.append(F.when(typed[field.name].isNull(), f"no valid {field.name}"))
+    return raw.select(*[c.alias(n) for n, c in typed.items()], F.coalesce(*reasons).alias("reject"), F.to_json(F.struct(*names)).alias("fields"))
+
+
+def read_transactions_csv(
+    spark: SparkSession,
+    path: str,
+    date_formats: tuple[str, ...] = DATE_FORMATS,
+    multiline: bool = False,
+    on_reject: str = "fail",
+) -> DataFrame:
+    """Latin-1 CSV with a header; ids stay strings, nothing is inferred.
+
+    A row whose required fields are missing or do not parse is a reject: it stops the job
+    (``on_reject="fail"``) or is left out (``"skip"``), and ``read_csv_rejects`` lists it.
+    ``multiline`` admits line breaks within quotes, for which Spark reads a file in one task.
+    """
+    if on_reject not in ("fail", "skip"):
+        raise ValueError("on_reject is 'fail' or 'skip'")
+    rows = _csv_fields(spark, path, date_formats, multiline)
+    if on_reject == "skip":
+        return rows.where("reject is null").select(*TRANSACTIONS.names)
+    # The check hangs on a required column, so no projection that counts or sums rows can lose it.
+    stop = F.raise_error(F.concat(F.lit("rejected CSV row, "), F.col("reject"), F.lit(": "), F.col("fields")))
+    return rows.where(F.when(F.col("reject").isNull(), True).otherwise(stop.cast("boolean"))).select(*TRANSACTIONS.names)
 
-def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Latin-1 CSV with a header; ids stay strings, nothing is inferred."""
-    reader = spark.read.schema(TRANSACTIONS).options(**_CSV)
-    return reader.csv(path).select(*TRANSACTIONS.names)
+
+def read_csv_rejects(
+    spark: SparkSession, path: str, date_formats: tuple[str, ...] = DATE_FORMATS, multiline: bool = False
+) -> DataFrame:
+    """The rows that ``read_transactions_csv`` does not take: the reason and the fields as read."""
+    return _csv_fields(spark, path, date_formats, multiline).where("reject is not null").select("reject", "fields")
 
 
 def write_transactions_csv(df: DataFrame, path: str) -> None:
@@ -40,15 +89,6 @@ def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Redistribute a table that fewer tasks read than there are cores, such as one small file.
-
-    A table with enough splits, so any large one, is left as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The order schema (lineitem, orders, customer, nation, part) seen as transactions.
 
@@ -62,7 +102,7 @@ def from_order_tables(spark: SparkSession, folder: str) -> DataFrame:
     returned = F.col("l_returnflag") == "R"
     hours = F.make_dt_interval(hours=((F.col("o_orderkey") * 7) % 24).cast("int"))
     return (
-        spread(t["lineitem"], "l_orderkey")
+        t["lineitem"]
         .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
