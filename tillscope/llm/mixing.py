@@ -190,7 +190,8 @@ def mix(
         .select("source_no", "start", "size", block_no.alias("block"))
         .select("source_no", "start", "block", (low - F.col("start")).alias("first"), (high - low).alias("words"))
     )
-    taken = draws(spark, recipe).join(parts, ["source_no", "block"])
+    # the planner takes the places for as small as the list of shards they come from; both sides grow
+    taken = draws(spark, recipe).hint("merge").join(parts, ["source_no", "block"])
     return ahead, taken.select("shard", "slot", "copy", "source_no", "start", "first", "words"), recipe
 
 
