@@ -112,7 +112,8 @@ def links(fps: DataFrame, most: int = 3, small: int = 32, block: int = 4096) ->
         raise ValueError("two segments with one wildcard find codes at 3 bits or less")
     keyed = variants(fps)
     counts = keyed.groupBy("key").count().where("count > 1")
-    shared = stage(keyed.join(counts, "key"), "simhash-keys")
+    # planned sizes do not count the variants, so the join must not be left to them
+    shared = stage(keyed.join(counts.hint("merge"), "key"), "simhash-keys")
     few = shared.where(F.col("count") <= small).select("key", "fp")
     pairs = (
         few.select("key", F.col("fp").alias("a"))
