@@ -87,7 +87,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, segments: int = 8,
         probes = asked.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
         probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
         bundled = _bundles(probes, ["query_id", "query_code", "bound"], bundle, "asked")
-        met = index.join(bundled, ["seg", "value"]).select("held", "asked").mapInArrow(meet, schema)
+        # planned sizes do not count the probes, so the join must not be left to them
+        met = index.join(bundled.hint("merge"), ["seg", "value"]).select("held", "asked").mapInArrow(meet, schema)
         if best is not None:
             met = met.unionByName(best)
         ranked = active.select("query_id", "query_code").join(nearest(met), ["query_id", "query_code"], "left")
