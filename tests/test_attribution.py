@@ -152,5 +152,9 @@ def test_stored_weeks_are_pruned_and_agree(spark, tx, tmp_path):
     assert "2021-03-14" in rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
     assert rows.count() == att.baseline_rows(tx, BASELINE).count() == 3
     found = anomaly(spark, ("total_revenue", SUNDAY, 20.0, "zscore"))
+    profile = att.BaselineProfile(stored, BASELINE)
+    for pruned in (att.period_and_baseline(stored, found, profile), att.anomaly_transactions(stored, found)):
+        assert str(SUNDAY) in pruned._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert att.anomaly_transactions(stored, found).count() == att.anomaly_transactions(tx, found).count() > 0
     same = [att.root_cause_all(t, found, BASELINE).first()["drivers"] for t in (tx, stored)]
     assert same[0] == same[1] and len(same[0]) > 0

@@ -160,3 +160,16 @@ def test_catalogue():
     assert cat.KPI_NAMES == list(cat.metric_specs())
     assert len(cat.KPI_NAMES) == 16
     assert all(k.owner and k.cadence in ("daily", "weekly") for k in cat.KPIS)
+
+
+def test_facts_give_the_same_kpis_as_the_rows(make_tx):
+    tx = make_tx([*ROWS, ("200001", "2021-04-06 10:00", "A", 2, 5, "c1", "United Kingdom"), ("200001", "2021-04-06 11:00", "D", 2, 7, None, "Peru")])
+    facts = kpis.kpi_facts(tx)
+    assert kpis.kpis_of_facts(facts, False).collect() == kpis.kpi_all(tx).collect()
+    assert sorted(kpis.kpis_of_facts(facts, True).collect()) == sorted(kpis.kpi_windowed(tx).collect())
+
+
+def test_every_kpi_is_watched():
+    assert list(cat.WATCHES) == cat.KPI_NAMES
+    assert all(0 < w.sensitivity < 1 for w in cat.WATCHES.values())
+    assert all(k.owner for k in cat.KPIS) and cat.WATCHES["product_return_rate"].critical_spike == 0.15

@@ -30,6 +30,31 @@ def test_cluster_without_a_shared_folder_is_refused():
         session.shared_dir(Session())
 
 
+@pytest.mark.parametrize("shared", ["false", "true"])
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(shared):
+    class Conf:
+        def get(self, key, default=None):
+            given = {"spark.master": "spark://h:7077", "spark.checkpoint.dir": "file:/mnt/x", "spark.tillscope.sharedMount": shared}
+            return given.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    if shared == "true":
+        assert session.shared_dir(Session()) == "file:/mnt/x"
+    else:
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Session())
+
+
+def test_release_removes_what_was_staged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    assert session.stage(spark.range(3), "t").count() == 3
+    assert list((tmp_path / "tillscope").iterdir())
+    session.release(spark)
+    assert not list((tmp_path / "tillscope").iterdir())
+
+
 def test_staged_result_is_broadcast_by_its_size(spark):
     small = session.stage(spark.range(5), "small")
     plan = spark.range(10_000_000).join(small, "id")._jdf.queryExecution().executedPlan().toString()

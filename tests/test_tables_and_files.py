@@ -60,10 +60,12 @@ def test_load_anomalies_keeps_the_best(spark):
     assert (row["id"], row["detection_methods"], row["direction"], row["actual_value"]) == (1, ["mann_kendall"], "below", None)
 
 
-def test_load_kpi_results_takes_first_date_candidate(spark):
-    df = spark.createDataFrame([("2024-01-01 10:00:00", "2024-01-01", 5.0, None)], "timestamp string, calculation_date string, a double, b double")
-    rows = tables.load_kpi_results(df).collect()
-    assert [(r["kpi_name"], r["week_date"], r["value"]) for r in rows] == [("a", dt.date(2024, 1, 1), 5.0)]
+def test_load_kpi_results_takes_first_date_candidate_and_the_last_row(spark):
+    rows = [("2024-01-01 10:00:00", "2024-01-01", 9.0, None, 1), ("2024-01-01 10:00:00", "2024-01-01", 5.0, None, 2)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "timestamp string, calculation_date string, a double, b double, seq int")
+        rows_ = tables.load_kpi_results(df, "seq").collect()
+        assert [(r["kpi_name"], r["week_date"], r["value"]) for r in rows_] == [("a", dt.date(2024, 1, 1), 5.0)]
 
 
 def test_parameterised_query(spark):
@@ -81,6 +83,30 @@ def test_transactions_csv_round_trip(spark, make_tx, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tx.collect()))
 
 
+def test_csv_dates_breaks_and_rejects(spark, tmp_path):
+    text = (
+        "InvoiceNo,InvoiceDate,StockCode,Description,Quantity,UnitPrice,CustomerID,Country\n"
+        '1,12/1/2010 8:26,A,"two\nlines",3,1.5,,UK\n'
+        "2,2010-12-01 08:26:00,B,x,4,2.5,c,UK\n"
+        "3,someday,B,x,4,2.5,c,UK\n"
+        "4,2010-12-01 08:26:00,B,x,many,2.5,c,UK\n"
+        "5,2010-12-01 08:26:00,B\n"
+    )
+    (tmp_path / "t.csv").write_text(text)
+    path = str(tmp_path / "t.csv")
+    rows = src.read_transactions_csv(spark, path, multiline=True, on_reject="skip").orderBy("InvoiceNo").collect()
+    assert [(r["InvoiceNo"], str(r["InvoiceDate"]), r["Description"], r["Quantity"]) for r in rows] == [
+        ("1", "2010-12-01 08:26:00", "two\nlines", 3),
+        ("2", "2010-12-01 08:26:00", "x", 4),
+    ]
+    rejects = [r["reject"] for r in src.read_csv_rejects(spark, path, multiline=True).collect()]
+    assert sorted(rejects) == ["malformed row", "no valid InvoiceDate", "no valid Quantity"]
+    with pytest.raises(Exception, match="rejected CSV row"):
+        src.read_transactions_csv(spark, path, multiline=True).count()
+    # without the option the broken row is reported, not lost
+    assert src.read_csv_rejects(spark, path).count() == 5
+
+
 def test_week_folders_prune(spark, make_tx, tmp_path):
     rows = [(str(i), f"2021-03-{1 + i:02d} 10:00", "A", 1, 1, "c", "X") for i in range(20)]
     src.write_transactions(make_tx(rows), str(tmp_path / "tx"))
@@ -119,6 +145,7 @@ def test_root_causes_keep_stock_codes_as_text(spark, tmp_path):
 def test_precompute_writes_four_tables(spark, make_tx, tmp_path):
     rows = [(str(i), f"2021-{1 + i // 28:02d}-{1 + i % 28:02d} 10:00", f"p{i % 3}", 1 + (i == 60) * 500, 2, f"c{i % 5}", "X") for i in range(84)]
     precompute.precompute_all(make_tx(rows), str(tmp_path / "cache"))
+    precompute.precompute_all(make_tx(rows), str(tmp_path / "cache"))
     counts = {n: files.read_cache(spark, str(tmp_path / "cache"), n).count() for n in files.CACHE_TABLES}
     assert counts["kpi_timeseries"] == 13 and counts["kpi_latest"] == 1
     assert counts["anomalies"] >= counts["root_causes"] > 0
@@ -175,7 +202,8 @@ def test_duplicates_gaps_and_counts(make_tx):
     assert quality.duplicate_rate(tx).first()["duplicate_rate"] == pytest.approx(1 / 3)
     assert src.dedupe_transactions(tx).count() == 2
     assert [r["gap_days"] for r in quality.temporal_gaps(tx).collect()] == [11]
-    assert {r["n_rows"]: r["status"] for r in quality.daily_row_counts(tx, 2, 5).collect()} == {2: "warn", 1: "fail"}
+    assert {r["n_rows"]: r["status"] for r in quality.daily_row_counts(tx, 2, 5).collect()} == {2: "warn", 1: "fail", 0: "fail"}
+    assert quality.daily_row_counts(tx, 2, 5).count() == 12
     assert quality.freshness(tx, F.lit("2021-03-13 09:00:00")).first()["passes"]
 
 
@@ -369,3 +397,25 @@ def test_half_even_matches_python(spark):
     v = F.col("v")
     for r in df.select("v", half_even(v, 2).alias("two"), fixed(v, 0).alias("none"), fixed(v, 1, grouped=True).alias("one")).collect():
         assert (r["two"], r["none"], r["one"]) == (round(r["v"], 2), f"{r['v']:.0f}", f"{r['v']:,.1f}")
+
+
+def test_a_mark_within_a_value_is_not_filled(spark):
+    df = spark.createDataFrame([("a {b} c {a}.", "{b}!", None)], "t string, a string, b string")
+    filled = retrieval.fill_once(F.col("t"), {"{a}": F.col("a"), "{b}": F.col("b")})
+    assert df.select(filled.alias("x")).first()["x"] == "a  c {b}!."
+
+
+def test_batch_reads_the_rows_three_times(spark, make_tx, tmp_path):
+    rows = [(str(i), f"2021-{1 + i // 28:02d}-{1 + i % 28:02d} 10:00", f"p{i % 3}", 1 + (i == 60) * 500, 2, f"c{i % 5}", "X") for i in range(84)]
+    seen = spark.sparkContext.accumulator(0)
+    src.write_transactions(make_tx(rows), str(tmp_path / "tx"))
+    stored = src.read_transactions(spark, str(tmp_path / "tx"))
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    precompute.precompute_all(stored.mapInArrow(counted, stored.schema), str(tmp_path / "cache"))
+    # the third pass drops nothing without a baseline, so each reads every row once
+    assert seen.value == 3 * 84

@@ -68,6 +68,37 @@ class Kpi:
     category: str | None
 
 
+@dataclass(frozen=True)
+class Watch:
+    """How far a KPI may move before it is worth a look, and the columns it is broken down by."""
+
+    sensitivity: float
+    dimensions: tuple[str, ...] = ()
+    critical_drop: float | None = None
+    critical_spike: float | None = None
+
+
+# Sensitivity, breakdowns and critical moves per KPI.
+WATCHES = {
+    "total_revenue": Watch(0.05, ("Country", "ProductCategory", "CustomerSegment"), critical_drop=0.15),
+    "order_count": Watch(0.07, ("Country", "DayOfWeek", "HourOfDay"), critical_drop=0.20),
+    "units_sold": Watch(0.08, ("StockCode", "ProductCategory")),
+    "active_customers": Watch(0.06, ("Country", "CustomerType"), critical_drop=0.15),
+    "revenue_per_order": Watch(0.08, ("Country", "DayOfWeek"), critical_drop=0.20),
+    "revenue_per_customer": Watch(0.10, ("CustomerTier", "AcquisitionChannel")),
+    "items_per_order": Watch(0.10, ("Country", "CustomerSegment")),
+    "avg_unit_price": Watch(0.08, ("ProductCategory", "Country")),
+    "repeat_customer_rate": Watch(0.10, ("Country", "AcquisitionCohort")),
+    "new_customers": Watch(0.15, ("Country", "AcquisitionChannel")),
+    "product_revenue_concentration": Watch(0.05, ("ProductCategory",)),
+    "product_return_rate": Watch(0.10, ("StockCode", "Country"), critical_spike=0.15),
+    "revenue_by_country": Watch(0.12, ("Country",)),
+    "international_revenue_share": Watch(0.08, ("Region",)),
+    "weekend_revenue_share": Watch(0.10),
+    "peak_hour_concentration": Watch(0.08),
+}
+
+
 # Name, dashboard label, owner, cadence, aggregation level, overview category.
 KPIS = [
     Kpi("total_revenue", "Total Revenue", "Finance", "daily", "transaction", "Finance"),
@@ -156,11 +187,9 @@ MAX_ZERO_PRICE_SHARE = 0.02
 MAX_DUPLICATE_RATE = 0.01
 MAX_GAP_DAYS = 7
 MIN_DAILY_ROWS, WARN_DAILY_ROWS = 100, 500
-MIN_QUALITY_SCORE = 0.95
+MIN_QUALITY_SCORE, WARN_QUALITY_SCORE = 0.95, 0.98
 MAX_DELAY_HOURS = 24
-INSIGHT_TYPES = ("anomaly", "trend_break", "pattern_change")
 SEVERITIES = ("low", "medium", "high", "critical")
-INSIGHT_STATUSES = ("pending", "approved", "rejected", "archived")
 
 
 def kpi_catalogue(spark):
@@ -170,3 +199,12 @@ def kpi_catalogue(spark):
         [(k.name, k.label, k.owner, k.cadence, k.level, k.category) for k in KPIS],
         ["kpi_name", "label", "owner", "cadence", "level", "category"],
     )
+
+
+def kpi_watches(spark):
+    """Sensitivity, critical moves and breakdowns per KPI."""
+    return literal_frame(
+        spark,
+        [(n, w.sensitivity, w.critical_drop, w.critical_spike, ",".join(w.dimensions)) for n, w in WATCHES.items()],
+        ["kpi_name", "sensitivity", "critical_drop", "critical_spike", "dimensions"],
+    )

@@ -93,10 +93,6 @@ def document_label(kpi: Column) -> Column:
     return label_lookup(kpi, cat.DOCUMENT_LABELS)
 
 
-def display_label(kpi: Column) -> Column:
-    return label_lookup(kpi, {k.name: k.label for k in cat.KPIS})
-
-
 def month_year(date: Column) -> Column:
     return F.date_format(date, "MMMM yyyy")
 

@@ -164,8 +164,11 @@ def quality_checks(
     return _rows_of(totals, rows)
 
 
-def quality_report(df: DataFrame, minimum: float = cat.MIN_QUALITY_SCORE, **options) -> DataFrame:
-    """Score, pass and fail counts, and the recommendation, one row."""
+def quality_report(
+    df: DataFrame, minimum: float = cat.MIN_QUALITY_SCORE, warning: float = cat.WARN_QUALITY_SCORE, **options
+) -> DataFrame:
+    """Score, pass and fail counts, the recommendation, and the score's band (fail, warn, ok), one row."""
+    score_ = F.col("overall_quality_score")
     passed = F.count_if("passes")
     score = F.try_divide(passed.cast("double"), F.count(F.lit(1)))
     return quality_checks(df, **options).agg(
@@ -173,7 +176,12 @@ def quality_report(df: DataFrame, minimum: float = cat.MIN_QUALITY_SCORE, **opti
         F.count(F.lit(1)).alias("total_checks"),
         passed.alias("passed_checks"),
         F.count_if(~F.col("passes")).alias("failed_checks"),
-    ).withColumn("recommendation", F.when(F.col("overall_quality_score") >= minimum, "PASS").otherwise("FAIL"))
+    ).withColumns(
+        {
+            "recommendation": F.when(score_ >= minimum, "PASS").otherwise("FAIL"),
+            "band": F.when(score_ < minimum, "fail").when(score_ < warning, "warn").otherwise("ok"),
+        }
+    )
 
 
 def quality_gate(df: DataFrame, on_breach: str = "fail", **options) -> DataFrame:
@@ -261,6 +269,10 @@ def iqr_outliers(df: DataFrame, column: str = "Quantity", multiplier: float = ca
     )
 
 
+#: Spans of at least a million and three levels of them cover all 64-bit positions.
+_LEAST_SPAN, _SEAM_LEVELS = 1_000_000, 3
+
+
 def monotonic_violations(df: DataFrame, order: str, column: str = "InvoiceDate", span: int = 1_000_000) -> DataFrame:
     """Rows dated before the row just ahead of them in load order.
 
@@ -279,11 +291,24 @@ def monotonic_violations(df: DataFrame, order: str, column: str = "InvoiceDate",
     edges = positions.groupBy("span").agg(
         F.min_by("low", "pos").alias("low"), F.max_by("high", "pos").alias("high")
     )
-    across = Window.orderBy("span")  # one row per span of a million positions
-    seams = edges.select(
-        F.when(F.col("low") < F.lag("high").over(across), 1).otherwise(0).alias("bad"), F.lit(1).alias("seams")
-    )
-    return steps.unionByName(seams).agg(F.sum("bad").alias("violations"))
+    return steps.unionByName(_seams(edges, span)).agg(F.sum("bad").alias("violations"))
+
+
+def _seams(edges: DataFrame, span: int) -> DataFrame:
+    """Steps back between the spans of ``edges``: within coarser spans of spans, then between those.
+
+    Every level has ``span`` times fewer groups, so three levels end at one group for any
+    64-bit position and no task orders more than ``span`` rows.
+    """
+    level, found = edges.withColumn("pos", F.col("span")), []
+    for _ in range(_SEAM_LEVELS):
+        level = level.withColumn("span", F.floor(F.col("pos") / max(span, _LEAST_SPAN)))
+        inside = Window.partitionBy("span").orderBy("pos")
+        found.append(level.select(F.when(F.col("low") < F.lag("high").over(inside), 1).otherwise(0).alias("bad"), F.lit(1).alias("seams")))
+        level = level.groupBy("span").agg(F.min_by("low", "pos").alias("low"), F.max_by("high", "pos").alias("high")).withColumn("pos", F.col("span"))
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]
 
 
 def duplicate_rate(df: DataFrame, limit: float = cat.MAX_DUPLICATE_RATE) -> DataFrame:
@@ -309,13 +334,16 @@ def temporal_gaps(df: DataFrame, max_gap_days: int = cat.MAX_GAP_DAYS, column: s
 def daily_row_counts(
     df: DataFrame, minimum: int = cat.MIN_DAILY_ROWS, warning: int = cat.WARN_DAILY_ROWS, column: str = "InvoiceDate"
 ) -> DataFrame:
-    n = F.col("n_rows")
+    """Rows of every calendar day from the first to the last, those without any included, and their band.
+
+    Undated rows are not counted. The calendar is made from the first and last day alone.
+    """
+    n = F.coalesce("n_rows", F.lit(0)).cast("bigint")
     band = F.when(n < minimum, "fail").when(n < warning, "warn").otherwise("ok")
-    return (
-        df.groupBy(dates.day(F.col(column)).alias("day"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("status", band)
-    )
+    counted = df.groupBy(dates.day(F.col(column)).alias("day")).agg(F.count(F.lit(1)).alias("n_rows")).where("day is not null")
+    span = counted.agg(F.min("day").alias("first"), F.max("day").alias("last")).where("first is not null")
+    calendar = span.select(F.explode(F.sequence("first", "last")).alias("day"))
+    return calendar.join(counted, "day", "left").select("day", n.alias("n_rows"), band.alias("status"))
 
 
 def freshness(df: DataFrame, as_of: Column, max_hours: int = cat.MAX_DELAY_HOURS, column: str = "InvoiceDate") -> DataFrame:

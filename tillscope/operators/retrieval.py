@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,6 +144,7 @@ def with_metadata(neighbours: DataFrame, corpus: DataFrame) -> DataFrame:
     return neighbours.join(corpus.select("id", "document", "kpi_name", "date", "severity"), "id")
 
 
+# Fixed formats: the two context lines.
 NO_CONTEXT = "No similar historical anomalies found."
 CONTEXT_HEADING = "Similar historical anomalies for context:"
 
@@ -188,6 +191,28 @@ def latest_prompt(prompts: DataFrame) -> DataFrame:
     return prompts.orderBy(F.desc("position")).limit(1)
 
 
+def fill_once(template: Column, fills: dict[str, Column]) -> Column:
+    """``template`` with its marks replaced by their values; a mark within a value is left as it is."""
+    marks = "|".join(re.escape(m) for m in sorted(fills, key=len, reverse=True))
+    values = F.create_map(*[x for mark, value in fills.items() for x in (F.lit(mark), F.coalesce(value, F.lit("")))])
+    found = F.concat(F.regexp_extract_all(template, F.lit(marks), F.lit(0)), F.array(F.lit("")))
+    parts = F.zip_with(F.split(template, marks, -1), found, lambda text_, m: F.concat(text_, F.coalesce(F.try_element_at(values, m), F.lit(""))))
+    return F.array_join(parts, "")
+
+
+def retrieved_prompts(flat: DataFrame, corpus: DataFrame, vectors: DataFrame, prompts: DataFrame, n: int = NEIGHBOURS, max_distance: float | None = MAX_DISTANCE) -> DataFrame:
+    """The retrieval prompt of every root cause: its nearest stored anomalies of the same KPI as context.
+
+    ``corpus`` holds the stored documents, ``vectors`` (id, kpi_name, embedding) the vectors of
+    documents and causes under the same ids.
+    """
+    near = similar_topk(vectors, vectors, n, max_distance, same_kpi_only=True)
+    context = context_block(corpus, with_metadata(near, corpus))
+    ids = corpus.select(F.col("id").alias("query_id"), "kpi_name", F.to_date("date").alias("date"))
+    placed = flat.join(ids.join(context, "query_id"), ["kpi_name", "date"])
+    return render_prompts(placed, prompts, F.col("context"))
+
+
 def render_prompts(flat: DataFrame, prompts: DataFrame, context: Column | None = None) -> DataFrame:
     """Fill the current template for each root cause.
 
@@ -207,9 +232,7 @@ def render_prompts(flat: DataFrame, prompts: DataFrame, context: Column | None =
     if context is not None:
         fills["{context}"] = context
     current = latest_prompt(prompts).select(F.struct("id", "template")).scalar()
-    prompt = F.col("_prompt")["template"]
-    for mark, value in fills.items():
-        prompt = F.replace(prompt, F.lit(mark), value)
+    prompt = fill_once(F.col("_prompt")["template"], fills)
     return flat.withColumn("_prompt", current).select(
         "kpi_name", "date", F.col("_prompt")["id"].alias("prompt_version"), prompt.alias("prompt")
     )

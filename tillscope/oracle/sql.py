@@ -67,20 +67,23 @@ WHERE NOT EXISTS (SELECT 1 FROM both_points t WHERE t.severity = 'critical' AND
 QUALIFY row_number() OVER (PARTITION BY kpi_name, date ORDER BY method) = 1"""
 
 
-def _customers(year):
+INVOICE = "CAST(replace(InvoiceNo, 'C', '') AS BIGINT)"
+
+
+def _customers(parity):
     return (
-        f"(SELECT CustomerID, CAST(sum(Quantity) AS BIGINT) AS units, count(*) AS lines, {year} AS seen FROM tx "
-        f"WHERE year(InvoiceDate) = {year} GROUP BY 1)"
+        f"(SELECT CustomerID, CAST(sum(Quantity) AS BIGINT) AS units, count(*) AS lines, {parity} AS seen FROM tx "
+        f"WHERE {INVOICE} % 2 = {parity} GROUP BY 1)"
     )
 
 
 Q["upsert_rows"] = f"""
 SELECT coalesce(t.CustomerID, b.CustomerID) AS CustomerID, CASE WHEN b.lines IS NOT NULL THEN b.units ELSE t.units END AS units,
        CASE WHEN t.lines IS NOT NULL THEN t.lines ELSE b.lines END AS lines, CASE WHEN b.lines IS NOT NULL THEN b.seen ELSE t.seen END AS seen
-FROM {_customers(1996)} t FULL JOIN {_customers(1997)} b ON t.CustomerID = b.CustomerID"""
+FROM {_customers(0)} t FULL JOIN {_customers(1)} b ON t.CustomerID = b.CustomerID"""
 Q["table_row_count"] = "SELECT count(*) AS n FROM raw"
 Q["truncate_reload"] = (
-    f"SELECT country, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units FROM raw WHERE quantity > 0 AND country <> '{HOME}' GROUP BY 1"
+    "SELECT country, count(*) AS n, CAST(2 * sum(quantity) AS BIGINT) AS units FROM raw GROUP BY 1"
 )
 OWNERS = """(VALUES ('total_revenue', 'Finance'), ('order_count', 'Operations'), ('units_sold', 'Operations'), ('active_customers', 'Growth'),
   ('revenue_per_order', 'Product'), ('revenue_per_customer', 'Product'), ('items_per_order', 'Product'), ('avg_unit_price', 'Pricing'),
@@ -163,10 +166,6 @@ Q["prompt_render"] = f"""
 SELECT kpi_name, date, 'v2' AS prompt_version, 'Explain in two sentences. ' || label || ' on ' || {LONG_DATE} || ', severity ' || upper(anomaly_severity)
   || ': ' || {PCT} || ' expected. Drivers: ' || coalesce(nullif(concat_ws(', ', {SHARED}), ''), {NO_SEGMENT}) || '.' AS prompt
 FROM {FLAT_LABELLED} WHERE status = 'analysed'"""
-Q["prompt_render_rag"] = f"""
-SELECT kpi_name, date, 'v2-rag' AS prompt_version, 'No similar historical anomalies found.' || chr(10) || 'Now: ' || label || ' on ' || {LONG_DATE}
-  || ' (' || upper(anomaly_severity) || '), ' || {PCT} || '; ' || coalesce(nullif(concat_ws(', ', {PLAIN}), ''), {NO_SEGMENT}) || '.' AS prompt
-FROM {FLAT_LABELLED} WHERE status = 'analysed'"""
 Q["narrative_key"] = "SELECT key FROM keyed"
 TITLED = "array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(replace(kpi_name, '_', ' '), ' ')], ' ')"
 Q["split_key"] = f"SELECT key, {TITLED} AS label, strftime(date, '%Y-%m-%d') AS day FROM keyed"
@@ -194,7 +193,10 @@ UNITS = "count(*) AS n, CAST(sum(Quantity) AS BIGINT) AS units"
 Q["filter_in_list"] = f"SELECT Country, {UNITS} FROM txd WHERE DayOfWeek IN ('Saturday', 'Sunday') GROUP BY 1"
 Q["filter_not_equal"] = "SELECT CustomerID IS NULL AS guest, count(*) AS n FROM tx WHERE CustomerID IS DISTINCT FROM '00001' GROUP BY 1"
 Q["filter_compare"] = f"SELECT Country, {UNITS} FROM tx WHERE Quantity < 0 OR UnitPrice >= 1500 GROUP BY 1"
-Q["filter_baseline_window"] = "SELECT Country, count(*) AS n FROM base_rows GROUP BY 1"
+Q["filter_baseline_window"] = (
+    "SELECT Country, count(*) AS n, 'dated' AS baseline FROM base_rows GROUP BY 1 "
+    "UNION ALL SELECT Country, count(*), 'empty' FROM tx GROUP BY 1"
+)
 Q["filter_anomaly_week"] = (
     "SELECT week_end, count(*) FILTER (InvoiceDate <= CAST(week_end AS TIMESTAMP)) AS in_period, count(*) AS in_week FROM txd GROUP BY 1"
 )
@@ -420,8 +422,8 @@ def _range(c, low, high):
 
 Q["dq_value_ranges"] = _range("Quantity", -40, 40) + " UNION ALL " + _range("UnitPrice", 0, 10000)
 RULE = "SELECT '{name}' AS rule, count(*) FILTER ({bad}) AS violations, count(*) AS total_checked, count(*) FILTER ({bad}) = 0 AS passes FROM tx {where}"
-Q["dq_cancellation_sign"] = RULE.format(name="cancellation_quantity_match", bad="Quantity > 0", where="WHERE InvoiceNo LIKE 'C%'")
-Q["dq_positive_price"] = RULE.format(name="positive_price", bad="UnitPrice < 0", where="")
+Q["dq_cancellation_sign"] = RULE.format(name="cancellation_quantity_match", bad=f"CASE WHEN {INVOICE} % 7 = 0 THEN -Quantity ELSE Quantity END > 0", where="WHERE InvoiceNo LIKE 'C%'")
+Q["dq_positive_price"] = RULE.format(name="positive_price", bad="CASE WHEN CAST(StockCode AS BIGINT) % 11 = 0 THEN -UnitPrice ELSE UnitPrice END < 0", where="")
 Q["dq_transaction_value"] = RULE.format(name="valid_transaction_value", bad="abs(Quantity * UnitPrice) > 40000", where="")
 
 
@@ -438,10 +440,18 @@ def _checks(limit):
 
 
 Q["dq_checks"] = _checks(100000)
-Q["dq_report"] = f"""
-SELECT round(count(*) FILTER (passes) / count(*), 6) AS overall_quality_score, count(*) AS total_checks, count(*) FILTER (passes) AS passed_checks,
-       count(*) FILTER (NOT passes) AS failed_checks, CASE WHEN count(*) FILTER (passes) / count(*) >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS recommendation
-FROM ({_checks(40000)})"""
+
+
+def _report(case, limit, minimum, warning):
+    score = "count(*) FILTER (passes) / count(*)"
+    return f"""
+SELECT round({score}, 6) AS overall_quality_score, count(*) AS total_checks, count(*) FILTER (passes) AS passed_checks,
+       count(*) FILTER (NOT passes) AS failed_checks, CASE WHEN {score} >= {minimum} THEN 'PASS' ELSE 'FAIL' END AS recommendation,
+       CASE WHEN {score} < {minimum} THEN 'fail' WHEN {score} < {warning} THEN 'warn' ELSE 'ok' END AS band, '{case}' AS "case"
+FROM ({_checks(limit)})"""
+
+
+Q["dq_report"] = " UNION ALL ".join([_report("fail", 40000, 0.95, 0.98), _report("warn", 100000, 0.8, 0.98), _report("pass", 100000, 0.5, 0.8)])
 Q["dq_test_not_null"] = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS failures FROM raw" for c in ("invoice_no", "quantity", "unit_price", "customer_id")
 )
@@ -461,31 +471,40 @@ Q["dq_future_date"] = "SELECT count(*) AS violations FROM tx WHERE InvoiceDate >
 Q["dq_zero_price_share"] = """
 SELECT count(*) FILTER (UnitPrice = 0) AS zero_prices, count(*) FILTER (UnitPrice = 0) / count(UnitPrice) AS zero_share,
        count(*) FILTER (UnitPrice = 0) / count(UnitPrice) <= 0.02 AS passes FROM tx"""
-Q["dq_iqr_outliers"] = """
+
+
+def _outliers(column, reach):
+    return f"""
 SELECT round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, round(any_value(lo), 4) AS lower_fence, round(any_value(hi), 4) AS upper_fence,
        count(*) FILTER (p < lo OR p > hi) AS outliers, count(*) AS n_values
-FROM (SELECT *, q1 - 0.25 * (q3 - q1) AS lo, q3 + 0.25 * (q3 - q1) AS hi
-      FROM (SELECT CAST(UnitPrice AS DOUBLE) AS p, quantile_cont(CAST(UnitPrice AS DOUBLE), 0.25) OVER () AS q1,
-                   quantile_cont(CAST(UnitPrice AS DOUBLE), 0.75) OVER () AS q3 FROM tx))"""
+FROM (SELECT *, q1 - {reach} * (q3 - q1) AS lo, q3 + {reach} * (q3 - q1) AS hi
+      FROM (SELECT CAST({column} AS DOUBLE) AS p, quantile_cont(CAST({column} AS DOUBLE), 0.25) OVER () AS q1,
+                   quantile_cont(CAST({column} AS DOUBLE), 0.75) OVER () AS q3 FROM tx))"""
+
+
+Q["dq_iqr_outliers"] = _outliers("Quantity", 1.5)
+Q["dq_iqr_outliers_price"] = _outliers("UnitPrice", 0.25)
 Q["dq_monotonic_dates"] = """
 SELECT CAST(count(*) FILTER (low < before) AS BIGINT) AS violations
 FROM (SELECT low, lag(high) OVER (ORDER BY pos) AS before
       FROM (SELECT CAST(replace(InvoiceNo, 'C', '') AS BIGINT) AS pos, min(InvoiceDate) AS low, max(InvoiceDate) AS high FROM tx GROUP BY 1))"""
-Q["dq_duplicate_rate"] = """
+COPIES = f"(SELECT * FROM tx UNION ALL SELECT * FROM tx WHERE {INVOICE} % 10 = 0)"
+Q["dq_duplicate_rate"] = f"""
 SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS distinct_rows, round((sum(n) - count(*)) / sum(n), 6) AS duplicate_rate,
        (sum(n) - count(*)) / sum(n) <= 0.01 AS passes
-FROM (SELECT count(*) AS n FROM tx GROUP BY InvoiceNo, InvoiceDate, Quantity, CustomerID, Country)"""
+FROM (SELECT count(*) AS n FROM {COPIES} GROUP BY {", ".join(COLUMNS)})"""
 Q["dq_temporal_gaps"] = """
 SELECT day, next_day, CAST(next_day - day AS INTEGER) AS gap_days
 FROM (SELECT day, lead(day) OVER (ORDER BY day) AS next_day FROM (SELECT DISTINCT day FROM txd)) WHERE next_day - day > 0"""
-Q["dq_daily_row_count"] = (
-    "SELECT day, count(*) AS n_rows, CASE WHEN count(*) < 30 THEN 'fail' WHEN count(*) < 45 THEN 'warn' ELSE 'ok' END AS status FROM txd GROUP BY 1"
-)
+Q["dq_daily_row_count"] = """
+SELECT CAST(d.day AS DATE) AS day, count(t.day) AS n_rows, CASE WHEN count(t.day) < 30 THEN 'fail' WHEN count(t.day) < 45 THEN 'warn' ELSE 'ok' END AS status
+FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM txd WHERE dayofweek(day) <> 4) d
+LEFT JOIN (SELECT day FROM txd WHERE dayofweek(day) <> 4) t ON t.day = CAST(d.day AS DATE) GROUP BY 1"""
 Q["dq_freshness"] = """
 SELECT latest, date_diff('second', latest, TIMESTAMP '1999-06-01 12:00:00') // 3600 AS delay_hours,
        date_diff('second', latest, TIMESTAMP '1999-06-01 12:00:00') // 3600 <= 24 AS passes FROM (SELECT max(InvoiceDate) AS latest FROM tx)"""
 Q["dq_allowed_values"] = "SELECT Country, count(*) AS n_rows FROM tx WHERE Country NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 4) GROUP BY 1"
-Q["dedupe_transactions"] = "SELECT DISTINCT InvoiceNo, InvoiceDate, CustomerID, Country FROM tx"
+Q["dedupe_transactions"] = f"SELECT DISTINCT * EXCLUDE (UnitPrice), CAST(UnitPrice AS DOUBLE) AS UnitPrice FROM {COPIES}"
 Q["dq_gate"] = f"SELECT (SELECT count(*) FILTER (passes) / count(*) < 0.95 FROM ({_checks(100000)})) AS stopped, (SELECT count(*) FROM tx) AS passed_on"
 Q["daily_kpis_table"] = """
 SELECT d.date, kpi_name, value AS kpi_value, round(filled, 4) AS data_completeness
@@ -555,16 +574,33 @@ SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(distance, 4) AS distan
 WHERE rank <= {n}"""
 Q["similar_topk"] = NEAREST.format(same="AND q.label = c.label", cut="WHERE distance <= 1.0", n=3)
 Q["similar_topk_any_kpi"] = NEAREST.format(same="", cut="", n=2)
+SIZE = "sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])))"
+CONTEXT_CTES = f"""
+corpus AS ({CORPUS}),
+vectors AS (
+  SELECT corpus.*, embedding FROM (SELECT *, row_number() OVER (ORDER BY date, kpi_name) AS vec_id FROM corpus) corpus JOIN embeddings USING (vec_id)
+), near AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+    SELECT q.id AS query_id, c.id, c.kpi_name, c.date, c.severity, c.document,
+           1 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))
+             / ({SIZE.format("q.embedding")} * {SIZE.format("c.embedding")}) AS distance
+    FROM vectors q JOIN vectors c ON q.kpi_name = c.kpi_name AND q.id <> c.id) WHERE distance <= 1.0
+), contexts AS (
+  SELECT p.id AS query_id, CASE WHEN count(e.id) = 0 THEN 'No similar historical anomalies found.' ELSE
+    'Similar historical anomalies for context:' || chr(10) || string_agg(CAST(e.rank AS VARCHAR) || '. ' || e.kpi_name || ' anomaly in '
+    || strftime(CAST(e.date AS DATE), '%B %Y') || ' (severity: ' || e.severity || '): ' || e.document, chr(10) ORDER BY e.rank) END AS context
+  FROM corpus p LEFT JOIN near e ON e.query_id = p.id AND e.rank <= 3 GROUP BY p.id
+)"""
 Q["query_document"] = f"""
 SELECT kpi_name, date, 'KPI: ' || label || '.' || CASE WHEN tail = '' THEN ' Anomaly detected.' ELSE tail END AS query_text FROM (
   SELECT kpi_name, date, label, CASE WHEN anomaly_severity <> 'low' THEN ' Severity: ' || anomaly_severity || '.' ELSE '' END
     || CASE WHEN anomaly_severity <> 'medium' THEN ' The metric was ' || {PCT} || ' expected.' ELSE '' END AS tail FROM {FLAT_LABELLED})"""
-Q["context_block"] = f"""
-WITH corpus AS ({CORPUS}), placed AS (SELECT *, row_number() OVER (PARTITION BY kpi_name ORDER BY date) AS pos FROM corpus)
-SELECT p.id AS query_id, CASE WHEN count(e.id) = 0 THEN 'No similar historical anomalies found.' ELSE
-  'Similar historical anomalies for context:' || chr(10) || string_agg(CAST(p.pos - e.pos AS VARCHAR) || '. ' || e.kpi_name || ' anomaly in '
-  || strftime(CAST(e.date AS DATE), '%B %Y') || ' (severity: ' || e.severity || '): ' || e.document, chr(10) ORDER BY p.pos - e.pos) END AS context
-FROM placed p LEFT JOIN placed e ON e.kpi_name = p.kpi_name AND p.pos - e.pos BETWEEN 1 AND 3 GROUP BY p.id"""
+Q["context_block"] = f"WITH {CONTEXT_CTES} SELECT query_id, context FROM contexts"
+Q["prompt_render_rag"] = f"""
+WITH {CONTEXT_CTES}
+SELECT kpi_name, date, 'v2-rag' AS prompt_version, context || chr(10) || 'Now: ' || label || ' on ' || {LONG_DATE}
+  || ' (' || upper(anomaly_severity) || '), ' || {PCT} || '; ' || coalesce(nullif(concat_ws(', ', {PLAIN}), ''), {NO_SEGMENT}) || '.' AS prompt
+FROM {FLAT_LABELLED} JOIN contexts ON query_id = kpi_name || '_' || strftime(date, '%Y-%m-%d') WHERE status = 'analysed'"""
 Q["call_cost"] = "SELECT timestamp, input_tokens, output_tokens, estimated_cost_usd FROM calls"
 Q["quality_flags"] = r"""
 SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS output_length_chars, CAST(marks AS INTEGER) AS output_sentence_count,

@@ -121,7 +121,10 @@ class Inputs:
 
     @cached_property
     def kpi_table(self) -> DataFrame:
-        return tables.load_kpi_results(self.weekly)
+        """Every point loaded twice: a first, wrong value and the one that replaces it."""
+        names = [c for c in self.weekly.columns if c != "date"]
+        first = self.weekly.withColumns({c: F.col(c) + 1 for c in names}).withColumn("loaded", F.lit(1))
+        return tables.load_kpi_results(self.weekly.withColumn("loaded", F.lit(2)).unionByName(first), "loaded")
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -180,6 +183,12 @@ class Inputs:
     def rag_narratives(self) -> DataFrame:
         return self._entries("v2-rag").where(F.col("severity") != "high")
 
+    @cached_property
+    def cause_vectors(self) -> DataFrame:
+        """A vector for each stored anomaly: the embedding of its number in the order of dates and KPIs."""
+        placed = retrieval.build_corpus(self.flat).select("id", "kpi_name", F.row_number().over(Window.orderBy("date", "kpi_name")).alias("vec_id"))
+        return placed.join(self.table("embeddings"), "vec_id").select("id", "kpi_name", "embedding")
+
     @cached_property
     def corpus(self) -> DataFrame:
         return self.table("embeddings").select(
@@ -382,17 +391,22 @@ def insert_do_nothing(x):
     return tables.insert_do_nothing(target, batch, ["kpi_name", "date"], ["method"])
 
 
-def _customers(x, year):
+def invoice_number():
+    return F.regexp_replace("InvoiceNo", "^C", "").cast("bigint")
+
+
+def _customers(x, parity):
+    """Customers of the even or of the odd invoices."""
     return (
-        x.tx.where(F.year("InvoiceDate") == year)
+        x.tx.where(invoice_number() % 2 == parity)
         .groupBy("CustomerID")
-        .agg(F.sum("Quantity").alias("units"), F.count(F.lit(1)).alias("lines"), F.lit(year).alias("seen"))
+        .agg(F.sum("Quantity").alias("units"), F.count(F.lit(1)).alias("lines"), F.lit(parity).alias("seen"))
     )
 
 
 @query
 def upsert_rows(x):
-    return tables.upsert(_customers(x, 1996), _customers(x, 1997), ["CustomerID"], ["units", "seen"])
+    return tables.upsert(_customers(x, 0), _customers(x, 1), ["CustomerID"], ["units", "seen"])
 
 
 @query
@@ -403,8 +417,9 @@ def table_row_count(x):
 @query
 def truncate_reload(x):
     path = stage_path(x.spark, "raw_transactions")
-    x.raw.where(F.col("quantity") > 0).write.parquet(path)
-    tables.rewrite(x.spark.read.parquet(path).where(F.col("country") != HOME), path)
+    x.raw.write.parquet(path)
+    stored = x.spark.read.parquet(path)
+    tables.rewrite(stored.withColumn("quantity", F.col("quantity") * 2), path)
     return x.spark.read.parquet(path).groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("units"))
 
 
@@ -519,8 +534,9 @@ def prompt_render(x):
 
 @query
 def prompt_render_rag(x):
-    context = F.lit(retrieval.NO_CONTEXT)
-    return retrieval.render_prompts(att.explained(x.flat), retrieval.prompt_catalogue(x.spark, RAG_PROMPT), context)
+    """Retrieval to prompt: neighbours, their context, the filled template."""
+    prompts = retrieval.prompt_catalogue(x.spark, RAG_PROMPT)
+    return retrieval.retrieved_prompts(att.explained(x.flat), retrieval.build_corpus(x.flat), x.cause_vectors, prompts, 3, 1.0)
 
 
 @query
@@ -573,7 +589,12 @@ def filter_compare(x):
 
 @query
 def filter_baseline_window(x):
-    return x.tx.where(att.in_baseline_period(F.col("InvoiceDate"), BASELINE)).groupBy("Country").agg(F.count(F.lit(1)).alias("n"))
+    """A baseline with rows, and one without any, for which all rows stand in."""
+    counts = []
+    for name, period in (("dated", BASELINE), ("empty", ("2090-01-01", "2090-12-31"))):
+        rows = att.BaselineProfile(x.tx, period).rows(x.tx)
+        counts.append(rows.groupBy("Country").agg(F.count(F.lit(1)).alias("n")).withColumn("baseline", F.lit(name)))
+    return det.union_detections(*counts)
 
 
 @query
@@ -1037,12 +1058,14 @@ def dq_value_ranges(x):
 
 @query
 def dq_cancellation_sign(x):
-    return quality.consistency(x.tx, rules=["cancellation_quantity_match"])
+    flipped = F.when(invoice_number() % 7 == 0, -F.col("Quantity")).otherwise(F.col("Quantity"))
+    return quality.consistency(x.tx.withColumn("Quantity", flipped), rules=["cancellation_quantity_match"])
 
 
 @query
 def dq_positive_price(x):
-    return quality.consistency(x.tx, rules=["positive_price"])
+    flipped = F.when(F.col("StockCode").cast("bigint") % 11 == 0, -F.col("UnitPrice")).otherwise(F.col("UnitPrice"))
+    return quality.consistency(x.tx.withColumn("UnitPrice", flipped), rules=["positive_price"])
 
 
 @query
@@ -1057,7 +1080,10 @@ def dq_checks(x):
 
 @query
 def dq_report(x):
-    return rounded(quality.quality_report(x.tx, value_limit=40000), 6)
+    """Three limits on the transaction value and the score: one report fails, one warns, one passes."""
+    cases = {"fail": {"value_limit": 40000}, "warn": {"minimum": 0.8}, "pass": {"minimum": 0.5, "warning": 0.8}}
+    reports_ = [quality.quality_report(x.tx, **options).withColumn("case", F.lit(n)) for n, options in cases.items()]
+    return rounded(det.union_detections(*reports_), 6)
 
 
 @query
@@ -1097,6 +1123,12 @@ def dq_zero_price_share(x):
 
 @query
 def dq_iqr_outliers(x):
+    """As the contract declares it: quantities, the usual multiplier."""
+    return rounded(quality.iqr_outliers(x.tx, "Quantity"))
+
+
+@query
+def dq_iqr_outliers_price(x):
     return rounded(quality.iqr_outliers(x.tx, "UnitPrice", 0.25))
 
 
@@ -1106,9 +1138,14 @@ def dq_monotonic_dates(x):
     return quality.monotonic_violations(x.tx.withColumn("load_order", order), "load_order", span=1000)
 
 
+def _with_copies(x):
+    """All rows in all columns, those of every tenth invoice twice."""
+    return x.tx.unionByName(x.tx.where(invoice_number() % 10 == 0))
+
+
 @query
 def dq_duplicate_rate(x):
-    return rounded(quality.duplicate_rate(x.tx.select("InvoiceNo", "InvoiceDate", "Quantity", "CustomerID", "Country")), 6)
+    return rounded(quality.duplicate_rate(_with_copies(x)), 6)
 
 
 @query
@@ -1118,7 +1155,8 @@ def dq_temporal_gaps(x):
 
 @query
 def dq_daily_row_count(x):
-    return quality.daily_row_counts(x.tx, 30, 45)
+    """Thursdays are left out, so that there are days without rows."""
+    return quality.daily_row_counts(x.tx.where(F.dayofweek("InvoiceDate") != 5), 30, 45)
 
 
 @query
@@ -1134,7 +1172,7 @@ def dq_allowed_values(x):
 
 @query
 def dedupe_transactions(x):
-    return src.dedupe_transactions(x.tx.select("InvoiceNo", "InvoiceDate", "CustomerID", "Country"))
+    return src.dedupe_transactions(_with_copies(x)).withColumn("UnitPrice", F.col("UnitPrice").cast("double"))
 
 
 @query
@@ -1318,16 +1356,10 @@ def query_document(x):
 
 @query
 def context_block(x):
-    """Neighbours by date: the context of a cause is made of the three before it in its KPI."""
+    """The context of every cause from its nearest stored anomalies of the same KPI."""
     corpus = retrieval.build_corpus(x.flat)
-    order = Window.partitionBy("kpi_name").orderBy("date")
-    placed = corpus.withColumn("pos", F.row_number().over(order))
-    earlier = placed.select("kpi_name", "pos", "id", "document", "date", "severity")
-    wanted = placed.select(
-        F.col("id").alias("query_id"), "kpi_name", F.col("pos").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")
-    ).withColumn("pos", F.col("at") - F.col("rank"))
-    near = wanted.join(earlier, ["kpi_name", "pos"])
-    return retrieval.context_block(corpus, near)
+    near = retrieval.similar_topk(x.cause_vectors, x.cause_vectors, 3, 1.0, same_kpi_only=True)
+    return retrieval.context_block(corpus, retrieval.with_metadata(near, corpus))
 
 
 @query

@@ -100,11 +100,3 @@ NARRATIVE_ENTRY = _s(
     ("prompt_version", STR, True),
     ("generated_at", STR, True),
 )
-
-# Natural keys of the stored tables; raw transactions and the call log have none.
-TABLE_KEYS = {
-    "kpi_results": ["kpi_name", "week_date"],
-    "anomalies": ["kpi_name", "anomaly_date"],
-    "root_causes": ["anomaly_id", "segment_rank"],
-    "narratives": ["kpi_name", "anomaly_date", "narrative_type"],
-}

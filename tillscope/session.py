@@ -29,12 +29,18 @@ def app_id(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only on a local master."""
+    """The folder named by ``spark.checkpoint.dir``; a scratch folder only on a local master.
+
+    On a cluster a ``file:`` folder is refused, for each machine has its own; a mount that all
+    share is allowed by ``spark.tillscope.sharedMount=true``.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.conf.get("spark.master", "local").startswith("local")
     if named:
+        if not local and named.startswith("file:") and spark.conf.get("spark.tillscope.sharedMount", "false") != "true":
+            raise RuntimeError(f"{named} is a folder of one machine; name one every executor can reach")
         return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = app_id(spark)
     if app not in _local_dirs:
@@ -43,7 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tillscope/{uuid.uuid4().hex}/{name}"
+    return f"{_run_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tillscope/{app_id(spark)}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application has staged; frames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,11 +71,20 @@ CACHE_TABLES = ("kpi_timeseries", "kpi_latest", "anomalies", "root_causes")
 
 
 def write_cache(path: str, **tables: DataFrame) -> None:
-    """The four result tables behind the dashboards, replaced as a set."""
+    """The four result tables behind the dashboards, replaced as a set.
+
+    Each call writes a folder of its own and then adds one line to the list of versions, so a
+    reader sees the old four or the new four, and a failed job leaves the old ones in place.
+    """
+    spark = tables[CACHE_TABLES[0]].sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name in CACHE_TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        tables[name].write.parquet(f"{path}/{version}/{name}")
+    spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("append").text(f"{path}/versions")
 
 
 def read_cache(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{path}/{name}")
+    """A table of the version written last."""
+    version = spark.read.text(f"{path}/versions").agg(F.max("value")).first()[0]
+    df = spark.read.parquet(f"{path}/{version}/{name}")
     return df.withColumn("date", F.to_date("date")) if "date" in df.columns else df

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tillscope.functions import text
 from tillscope.operators.attribution import explode_drivers
-from tillscope.operators.kpis import unpivot_kpis
-from tillscope.operators.monitoring import load_calls
 from tillscope.sources.transactions import raw_table
 from tillscope.session import stage_path
 
@@ -68,27 +66,28 @@ def keep_last(df: DataFrame, keys: list[str], sequence: str, ties: list = ()) ->
 # ----------------------------------------------------------------------- writes
 
 
-def insert_do_nothing(target: DataFrame, batch: DataFrame, keys: list[str], order: list = ()) -> DataFrame:
-    """The rows of ``batch`` an insert would add: first per key, keys already stored skipped.
+def insert_do_nothing(target: DataFrame, batch: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The rows of ``batch`` an insert would add: first per key in ``order``, keys already stored skipped.
 
     As in SQL a null key never conflicts, so such rows all go in and never share a group.
     """
     loose = batch.where(_any_null(keys))
     keyed = batch.where(~_any_null(keys))
-    unique = keep_first(keyed, keys, *order) if order else keyed.dropDuplicates(keys)
-    return unique.join(target.select(*keys), keys, "left_anti").unionByName(loose)
+    return keep_first(keyed, keys, *order).join(target.select(*keys), keys, "left_anti").unionByName(loose)
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """The table after an upsert: listed columns take the batch's value, the rest stay.
 
-    One full outer join on the key; the batch must hold a key at most once. A null key
-    never conflicts, so rows with one stay outside the join and do not pile up in a task.
+    One full outer join on the key, which reads each side once; the batch must hold a key at
+    most once. A null key never conflicts: it meets nothing in the join, and a hash of its row
+    as a further key keeps such rows from piling up in a task.
     """
     t, b, hit = F.col("_t"), F.col("_b"), F.col("_t").isNotNull() & F.col("_b").isNotNull()
-    packed_target = target.where(~_any_null(keys)).select(*keys, F.struct(*target.columns).alias("_t"))
-    packed_batch = batch.where(~_any_null(keys)).select(*keys, F.struct(*batch.columns).alias("_b"))
-    columns, loose = [], []
+    apart = F.when(_any_null(keys), F.xxhash64("*")).otherwise(0).alias("_apart")
+    packed_target = target.select(*keys, apart, F.struct(*target.columns).alias("_t"))
+    packed_batch = batch.select(*keys, apart, F.struct(*batch.columns).alias("_b"))
+    columns = []
     for c in target.columns:
         empty = F.lit(None).cast(target.schema[c].dataType)
         new = b[c] if c in batch.columns else empty
@@ -97,16 +96,15 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update: list[st
         else:
             value = F.when(hit | b.isNull(), t[c]).otherwise(new)
         columns.append(value.alias(c))
-        loose.append((F.col(c) if c in batch.columns else empty).alias(c))
-    merged = packed_target.join(packed_batch, keys, "full_outer").select(*columns)
-    return merged.unionByName(target.where(_any_null(keys))).unionByName(batch.where(_any_null(keys)).select(*loose))
+    return packed_target.join(packed_batch, [*keys, "_apart"], "full_outer").select(*columns)
 
 
 def rewrite(df: DataFrame, path: str) -> None:
     """Replace the table at ``path`` by a result that may have been read from it.
 
-    The result is first written to the shared folder, so the old files are not dropped
-    while they are still being read, and a failed job leaves the old table in place.
+    The result is first written to the shared folder, so the old files are not dropped while
+    they are still being read, and a job that fails by then leaves the old table in place. The
+    last step overwrites: if that copy fails, the result is still whole in the shared folder.
     """
     spark = df.sparkSession
     aside = stage_path(spark, "rewrite")
@@ -134,22 +132,20 @@ def load_raw_transactions(tx: DataFrame) -> DataFrame:
     return raw_table(tx)
 
 
+# Date columns in their order of preference.
 DATE_CANDIDATES = ["timestamp", "calculation_date", "date", "week_date", "period", "week"]
 
 
-def load_kpi_results(wide: DataFrame, sequence: str | None = None) -> DataFrame:
-    """Wide KPI rows to the long table, last row per (KPI, date)."""
-    found = next((c for c in DATE_CANDIDATES if c in wide.columns), None)
-    if found is None:
-        raise ValueError(f"none of {DATE_CANDIDATES} among {wide.columns}")
-    meta = [c for c in DATE_CANDIDATES if c in wide.columns]
-    if sequence is None:
-        kpis = wide.drop(*[c for c in meta if c != found])
-        long = unpivot_kpis(kpis, found, "week_date").dropDuplicates(["kpi_name", "week_date"])
-    else:
-        names = [c for c in wide.columns if c not in meta and c != sequence]
-        long = wide.unpivot([found, sequence], names, "kpi_name", "value").where(F.col("value").isNotNull())
-        long = keep_last(long.withColumnRenamed(found, "week_date"), ["kpi_name", "week_date"], sequence).drop(sequence)
+def load_kpi_results(wide: DataFrame, sequence: str) -> DataFrame:
+    """Wide KPI rows to the long table, per (KPI, date) the row that is last by ``sequence``.
+
+    A table has no order of its own, so the column that says which row is later is required;
+    of rows equal in it the greater value stays.
+    """
+    dated = resolve_column(wide, DATE_CANDIDATES, "week_date")
+    names = [c for c in dated.columns if c not in (*DATE_CANDIDATES, "week_date", sequence)]
+    long = dated.unpivot(["week_date", sequence], names, "kpi_name", "value").where(F.col("value").isNotNull())
+    long = keep_last(long, ["kpi_name", "week_date"], sequence, [F.desc("value")])
     return long.select(
         "kpi_name",
         F.to_date("week_date").alias("week_date"),
@@ -169,6 +165,7 @@ def with_serial(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
 
 
 def load_anomalies(anomalies: DataFrame) -> DataFrame:
+    # Date columns in their order of preference.
     df = resolve_column(anomalies, ["anomaly_date", "date", "week_date", "detection_date"], "anomaly_date")
     methods = methods_array(df)
     df = default_missing(
@@ -202,10 +199,6 @@ def load_root_causes(flat: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
-def load_call_table(log: DataFrame) -> DataFrame:
-    return load_calls(log)
-
-
 NARRATIVE_KEYS = ["kpi_name", "anomaly_date", "narrative_type"]
 NARRATIVE_UPDATES = ["narrative_text", "prompt_version", "generated_at"]
 
