@@ -44,14 +44,15 @@ def test_placed_numbers_every_group_without_gaps(spark):
 # packing
 
 
-@pytest.mark.parametrize("text", ["", "It's <|endoftext|> don't x''s", "Ünï—code №5 Σίσυφος İstanbul", "a\tb\x0bc d e", "!!!'ll ...&&& 12ab34", "é ́x ＡＢ ①"])
+@pytest.mark.parametrize("text", ["", "It's <|endoftext|> don't x''s", "Ünï—code №5 Σίσυφος İstanbul", "a\tb\x0bc d e", "!!!'ll ...&&& 12ab34", "é ́x ＡＢ ①", "año ÿŸ ŉa ×÷ ſS ßẞ à\xa0b ¿qué?", "___a_b <b>|<|x don't'S 'TIS", "e\u0301 İI ǅ ﬁ x\u2028y"])
 def test_ids_are_those_of_the_whole_text(text):
     whole = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.Ids(VOCABULARY).of([text, text])[1], "<u4").tolist() == whole
 
 
 def test_ids_after_forgetting(monkeypatch, docs):
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "CHUNKS", 50)
+    monkeypatch.setattr(packing, "WORDS", 70)
     ids, tokenizer = packing.Ids(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     for r in docs.limit(60).collect():
         assert np.frombuffer(ids.of([r["text"]])[0], "<u4").tolist() == tokenizer.encode(r["text"], add_special_tokens=False).ids

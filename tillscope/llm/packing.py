@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -13,16 +15,38 @@ from tillscope.llm.common import by_batch, placed
 from tillscope.session import stage
 
 WINDOW = 4096
-#: Distinct chunks and words that a task remembers before it starts anew; bounds its memory.
-REMEMBERED = 400_000
+#: Distinct chunks and distinct words that a task remembers before it starts anew; bounds its memory.
+CHUNKS, WORDS = 150_000, 400_000
 _LETTERS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Latin text: its lower case and normal form are those of its characters one by one.
+_LATIN = re.compile(r"[\n -~À-įı-ſ]*")
+#: The splitter shows bytes as characters: printable ones as they are, the others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def _plain(text: str) -> bool:
+    return "<|" not in text and _LATIN.fullmatch(text) is not None
+
+
+def _words(chunk: str) -> list[str]:
+    """The words that the vocabulary's splitter makes of a plain chunk."""
+    low = chunk.lower()
+    if low.isalpha():
+        return [low]
+    core = low.rstrip(_SIGNS)
+    if core.isalpha():
+        return [core, low[len(core) :]]
+    return _LETTERS.findall(low)
 
 
 class Ids:
-    """Token ids of whole texts as little-endian bytes, each distinct chunk between spaces encoded once.
+    """Token ids of whole texts as little-endian bytes, each distinct word encoded once.
 
     The vocabulary normalises and cuts within white space, so a text's ids are those of its
-    chunks in order; a chunk that is not plain lower case is left to the tokenizer whole.
+    chunks between spaces, in order. Chunks of Latin letters and signs are put together from
+    their words; any other chunk is left to the tokenizer whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -34,35 +58,41 @@ class Ids:
 
     def _encode(self, items: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+        return [array("I", e.ids).tobytes() for e in made]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """As ``_encode`` for what ``_words`` makes: normalised and split already."""
+        cut = self.tokenizer.model.tokenize
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(_HIDDEN) for w in words)
+        return [array("I", [t.id for t in cut(w)]).tobytes() for w in shown]
 
-    def _learn(self, new: list[str]) -> None:
-        """Enter ``new`` chunks; those of plain letters and signs are put together from their words."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+    def _learn(self, new: list[str], plain: bool) -> None:
+        known = self.words
+        if len(known) > WORDS:
+            known.clear()
         parts, whole = {}, []
         for chunk in new:
-            low = chunk.lower()
-            if "<|" in chunk or "Σ" in chunk or "İ" in chunk or not regex.fullmatch(r"[!-~À-ſ]*", chunk):
-                whole.append(chunk)
+            if plain or _plain(chunk):
+                parts[chunk] = _words(chunk)
             else:
-                parts[chunk] = _LETTERS.findall(low)
-        unknown = list({w for words in parts.values() for w in words if w not in self.words})
-        self.words.update(zip(unknown, self._encode(unknown)))
-        known = self.words
+                whole.append(chunk)
+        unknown = list({w for words in parts.values() for w in words if w not in known})
+        known.update(zip(unknown, self._encode_words(unknown)))
         for chunk, words in parts.items():
-            self.chunks[chunk] = b"".join([known[w] for w in words])
+            self.chunks[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
         self.chunks.update(zip(whole, self._encode(whole)))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.chunks
-        if len(known) > REMEMBERED:
+        if len(known) > CHUNKS:
             known.clear()
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        if new:
-            self._learn(new)
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        plain = [_plain(t) for t in texts]
+        for kind in (True, False):
+            new = set().union(*[c for c, p in zip(cut, plain) if p == kind]).difference(known)
+            if new:
+                self._learn(list(new), kind)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end: int = 2, window: int = WINDOW) -> DataFrame:
