@@ -12,10 +12,14 @@ from pyspark.sql.types import StructType
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that a Python worker is handed at once; it holds some copies of them.
+_BATCH = "4m"
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; from here on tasks take its long texts from Spark in smaller batches than usual."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
