@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,30 @@ def test_similar_topk_does_not_depend_on_blocks(spark):
     assert whole == cut and len(whole) == 120 * 4
 
 
+@pytest.mark.parametrize("max_distance,n", [(None, 3), (0.2, 5), (1.0, 40)])
+def test_similar_topk_is_exact_and_skips_cells(spark, max_distance, n):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(6, 8))
+    points = np.concatenate([c + 0.05 * rng.normal(size=(25, 8)) for c in centres] + [np.zeros((1, 8))])
+    points[3] = points[2]
+    rows = [(f"id{i:03d}", f"k{i % 2}", v.tolist()) for i, v in enumerate(points)] + [("none", "k0", None)]
+    corpus = vectors(spark, rows)
+    visited = []
+    got = {}
+    for r in retrieval.similar_topk(corpus, corpus, n, max_distance, True, block_rows=7, pivots=6, visited=visited).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    unit = np.array([r[2] for r in rows[:-2]], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for i in range(len(unit)):
+        far = np.round(1 - unit @ unit[i], 12)
+        want = sorted((d, rows[j][0]) for j, d in enumerate(far) if j != i and (j - i) % 2 == 0 and (max_distance is None or d <= max_distance))
+        assert got.get(rows[i][0], []) == [x for _, x in want[:n]]
+    first, further = (v.count() for v in visited)
+    assert first == len(unit)
+    if n < 40:
+        assert further < len(unit) * 5 / 2  # of the other cells, more than half are skipped
+
+
 def flat(spark, **values):
     base = {"kpi_name": "avg_unit_price", "date": DAY, "anomaly_severity": "low", "total_deviation": -3.0, "total_deviation_pct": -12.34, "status": "analysed"}
     return spark.createDataFrame([tuple({**base, **values}.get(n) for n in ROOT_CAUSES_FLAT.names)], ROOT_CAUSES_FLAT)

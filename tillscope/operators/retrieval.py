@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,95 +49,160 @@ def missing_documents(existing: DataFrame, flat: DataFrame) -> DataFrame:
 
 
 _PAIRS = "query_id string, id string, distance double"
+#: Rounding allowed for when a bound on an angle decides.
+_SLACK = 1e-6
+
+
+def _placed(pivots: np.ndarray):
+    """Unit vectors, their angles to all pivots, and the nearest pivot; vectors without a direction go."""
+
+    def place(batches):
+        for batch in batches:
+            rows = [(i, v) for i, v in enumerate(batch.column("vector").to_pylist()) if v is not None and None not in v]
+            unit = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1)
+            size = np.linalg.norm(unit, axis=1)
+            ok = np.flatnonzero((size > 0) & np.isfinite(size))
+            unit = unit[ok] / size[ok, None]
+            angles = np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0)) if len(ok) else np.empty((0, len(pivots)))
+            grp, ids = batch.column("grp").to_pylist(), batch.column("id").to_pylist()
+            at = [rows[i][0] for i in ok]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "grp": pa.array([grp[i] for i in at], pa.string()),
+                    "id": pa.array([ids[i] for i in at], pa.string()),
+                    "vector": pa.array(list(unit), pa.list_(pa.float64())),
+                    "angles": pa.array(list(angles), pa.list_(pa.float64())),
+                    "cell": pa.array(angles.argmin(axis=1) if len(ok) else [], pa.int32()),
+                }
+            )
+
+    return place
 
 
 def _block_neighbours(n: int, max_distance: float | None, chunk: int = 256):
     """The n nearest corpus rows of one block for each query row of one block."""
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.vstack(vectors.to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
-
-    def search(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or corpus.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        corpus = corpus.sort_values("id", ignore_index=True)
-        ids = corpus["id"].to_numpy()
-        query_ids = queries["query_id"].to_numpy()
-        targets, sought = unit(corpus["vector"]).T, unit(queries["wanted"])
+    target = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("distance", pa.float64())])
+
+    def matrix(column: pa.ChunkedArray, order: np.ndarray) -> np.ndarray:
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
+        return flat.reshape(len(column), -1)[order]
+
+    def search(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if not queries.num_rows or not corpus.num_rows:
+            return target.empty_table()
+        ids = np.array(corpus.column("id").to_pylist(), dtype=object)
+        query_ids = np.array(queries.column("query_id").to_pylist(), dtype=object)
+        by_id = np.argsort(ids, kind="stable")
+        ids, targets = ids[by_id], matrix(corpus.column("vector"), by_id).T
+        sought = matrix(queries.column("wanted"), np.arange(len(query_ids)))
         out = []
         for start in range(0, len(query_ids), chunk):
             mine = query_ids[start : start + chunk]
-            distance = 1.0 - sought[start : start + chunk] @ targets
-            distance[mine[:, None] == ids[None, :]] = np.nan
+            # equal vectors must tie whatever the shape of the product
+            distance = np.round(1.0 - sought[start : start + chunk] @ targets, 12)
+            distance[mine[:, None] == ids[None, :]] = np.inf
             if max_distance is not None:
-                distance[distance > max_distance] = np.nan
-            order = np.argsort(distance, axis=1, kind="stable")[:, :n]
-            picked = np.take_along_axis(distance, order, axis=1)
-            row, column = np.nonzero(~np.isnan(picked))
-            out.append(
-                pd.DataFrame(
-                    {"query_id": mine[row], "id": ids[order[row, column]], "distance": picked[row, column]}
-                )
-            )
-        return pd.concat(out, ignore_index=True)
+                distance[distance > max_distance] = np.inf
+            if n < len(ids):
+                # all that are not beyond the n-th distance, so that ties still go by id
+                limit = np.partition(distance, n - 1, axis=1)[:, n - 1]
+                row, column = np.nonzero((distance <= limit[:, None]) & np.isfinite(distance))
+            else:
+                row, column = np.nonzero(np.isfinite(distance))
+            near = distance[row, column]
+            # corpus rows are in the order of their ids
+            order = np.lexsort((column, near, row))
+            row, column, near = row[order], column[order], near[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+            out.append((mine[row[kept]], ids[column[kept]], near[kept]))
+        made = map(np.concatenate, zip(*out))
+        return pa.Table.from_arrays([pa.array(list(m), type=f.type) for m, f in zip(made, target)], schema=target)
 
     return search
 
 
+def _search(queries: DataFrame, corpus: DataFrame, cells: DataFrame, n: int, max_distance: float | None, block_rows: int) -> DataFrame:
+    """The n nearest of every (query, cell) in ``queries``: blocks of the cell meet blocks of its queries."""
+    group = ["grp", "cell"]
+    own = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("query_blocks"))
+    sizes = stage(own.join(cells.select(*group, F.ceil(F.col("n") / block_rows).cast("int").alias("corpus_blocks")), group), "block_sizes")
+
+    def block(column, total):
+        return F.pmod(F.xxhash64(column), F.col(total)).cast("int")
+
+    def every(total):
+        return F.explode(F.sequence(F.lit(0), F.col(total) - 1))
+
+    key = [*group, "query_block", "corpus_block"]
+    q = queries.join(sizes, group).withColumn("query_block", block("query_id", "query_blocks"))
+    q = q.withColumn("corpus_block", every("corpus_blocks")).select(*key, "query_id", "wanted")
+    c = corpus.join(sizes, group).withColumn("corpus_block", block("id", "corpus_blocks"))
+    c = c.withColumn("query_block", every("query_blocks")).select(*key, "id", "vector")
+    found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(_block_neighbours(n, max_distance), _PAIRS)
+    return _nearest(found, n)
+
+
+def _nearest(found: DataFrame, n: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
 def similar_topk(
     queries: DataFrame,
     corpus: DataFrame,
     n: int = NEIGHBOURS,
     max_distance: float | None = MAX_DISTANCE,
     same_kpi_only: bool = False,
-    block_rows: int = 2048,
+    block_rows: int = 8192,
+    pivots: int = 16,
+    visited: list | None = None,
 ) -> DataFrame:
     """The ``n`` nearest corpus rows by cosine distance for each query row, exactly.
 
-    Both sides carry ``(id, kpi_name, embedding)``; a row never retrieves itself. Each
-    group of corpus and query rows is cut into blocks of about ``block_rows`` and every
-    pair of blocks is searched in its own task, which ships only its best ``n`` per
-    query. A KPI that holds a large share of the corpus therefore becomes many blocks.
+    Both sides carry ``(id, kpi_name, embedding)``; a row never retrieves itself. Corpus rows
+    belong to the cell of the nearest of a few pivots. A query first visits the cell that may
+    hold the nearest row; of the others it then visits those that can hold a row within
+    ``max_distance`` and within its n-th best so far, by the triangle inequality on angles. The
+    rows of a cell and its queries meet in blocks of about ``block_rows``, each pair of blocks in
+    its own task, which ships only its best ``n`` per query. ``visited`` takes, for inspection,
+    the frames of (query, cell) visits.
     """
     group = F.col("kpi_name").cast("string") if same_kpi_only else F.lit("all")
-    q = queries.select(group.alias("grp"), F.col("id").cast("string").alias("query_id"), F.col("embedding").alias("wanted"))
-    c = corpus.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").alias("vector"))
-
-    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows).cast("int"))
-    if same_kpi_only:
-        # One row per group; staged so that the planner sees its size.
-        per_group = q.groupBy("grp").agg(blocks.alias("query_blocks")).join(
-            c.groupBy("grp").agg(blocks.alias("corpus_blocks")), "grp"
-        )
-        sizes = stage(per_group, "block_sizes")
-        q, c = q.join(sizes, "grp"), c.join(sizes, "grp")
-    else:
-        counts = {"query_blocks": q.agg(blocks).scalar(), "corpus_blocks": c.agg(blocks).scalar()}
-        q, c = q.withColumns(counts), c.withColumns(counts)
-
-    def own(column, total):
-        return F.pmod(F.xxhash64(column), F.col(total)).cast("int")
-
-    def every(total):
-        return F.explode(F.sequence(F.lit(0), F.col(total) - 1))
-
-    key = ["grp", "query_block", "corpus_block"]
-    q = q.withColumn("query_block", own("query_id", "query_blocks"))
-    q = q.withColumn("corpus_block", every("corpus_blocks")).select(*key, "query_id", "wanted")
-    c = c.withColumn("corpus_block", own("id", "corpus_blocks"))
-    c = c.withColumn("query_block", every("query_blocks")).select(*key, "id", "vector")
 
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (
-        q.groupBy(*key)
-        .cogroup(c.groupBy(*key))
-        .applyInPandas(_block_neighbours(n, max_distance), _PAIRS)
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= n)
-        .withColumn("distance", F.round("distance", 4))
+    def rows(df):
+        return df.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+    drawn = rows(corpus).where("vector is not null").select("vector").orderBy(F.xxhash64("id"), "id").limit(pivots)
+    directions = [v for v in (np.array(r["vector"], np.float64) for r in drawn.collect()) if np.isfinite(v).all() and np.linalg.norm(v) > 0]
+    if not directions:
+        return corpus.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int")
+    centres = np.array([v / np.linalg.norm(v) for v in directions])
+    schema = "grp string, id string, vector array<double>, angles array<double>, cell int"
+    c = stage(rows(corpus).mapInArrow(_placed(centres), schema), "placed_corpus")
+    q = stage(rows(queries).mapInArrow(_placed(centres), schema), "placed_queries").withColumnRenamed("id", "query_id")
+    cells = stage(
+        c.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.element_at("angles", F.col("cell") + 1)).alias("radius")), "cells"
+    )
+    listed = cells.groupBy("grp").agg(F.collect_list(F.struct("cell", "radius")).alias("cells"))
+    bounds = F.transform(
+        "cells", lambda x: F.struct((F.element_at("angles", x["cell"] + 1) - x["radius"]).alias("least"), x["cell"].alias("cell"))
     )
+    q = q.join(listed, "grp").select("grp", "query_id", F.col("vector").alias("wanted"), F.sort_array(bounds).alias("bounds"))
+    q = stage(q, "bounded_queries")
+
+    first = q.withColumn("cell", F.col("bounds")[0]["cell"])
+    near = stage(_search(first, c, cells, n, max_distance, block_rows), "first_cells")
+    reach = math.pi if max_distance is None else math.acos(max(-1.0, 1.0 - max_distance))
+    nth = near.where(F.col("rank") == n).select("query_id", F.acos(F.greatest(F.lit(-1.0), 1 - F.col("distance"))).alias("nth"))
+    limit = F.least(F.coalesce("nth", F.lit(reach)), F.lit(reach)) + _SLACK
+    rest = F.filter(F.slice("bounds", 2, pivots), lambda x: x["least"] <= F.col("limit"))
+    more = q.join(nth, "query_id", "left").withColumn("limit", limit).select("grp", "query_id", "wanted", F.explode(rest).alias("b"))
+    more = stage(more.select("grp", "query_id", "wanted", F.col("b.cell").alias("cell")), "further_cells")
+    if visited is not None:
+        visited += [first, more]
+    found = near.drop("rank").unionByName(_search(more, c, cells, n, max_distance, block_rows).drop("rank"))
+    return _nearest(found, n).withColumn("distance", F.round("distance", 4))
 
 
 def with_metadata(neighbours: DataFrame, corpus: DataFrame) -> DataFrame:
