@@ -237,15 +237,14 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     by = ["doc_id", "source", "crc", "size"]
     spans = taken.groupBy("source_no", "start", "copy").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
     cuts = spans.join(ahead.where("size > 0").select("source_no", "start", *by), ["source_no", "start"])
-    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in by], "spans")
+    # one text key on both sides: the texts are dealt and sorted once, for the repeats and the join
+    key = F.to_json(F.struct(*by)).alias("__key")
     names, fields = docs.columns, docs.schema
-    keyed = docs.select(
+    known = docs.select(
         F.struct(*names).alias("row"), "doc_id", "source", text_crc(F.col("text")).alias("crc"), n_words(F.col("text")).alias("size")
-    ).dropDuplicates(by)
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    met = keyed.join(cuts, same).select("row.*", F.col("spans").alias("__spans"))
+    )
+    keyed = known.select(key, "row").dropDuplicates(["__key"])
+    met = keyed.join(cuts.select(key, F.col("spans").alias("__spans")).hint("merge"), "__key").select("row.*", "__spans")
 
     def make():
         def work(batch):
