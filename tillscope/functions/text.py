@@ -38,10 +38,12 @@ def anomaly_sentence(kpi, date, pct, deviation, actual, expected, method, confid
     )
 
 
+# Fixed format.
 def confirmed_suffix(n: Column, methods: Column) -> Column:
     return F.concat(F.lit(" [Confirmed by "), n.cast("string"), F.lit(" methods: "), methods, F.lit("]"))
 
 
+# Fixed format.
 def trend_sentence(kpi, s, p, slope, last, mean) -> Column:
     return F.concat(
         kpi, F.lit(" shows a statistically significant "), F.when(s > 0, "upward").otherwise("downward"),
@@ -50,6 +52,7 @@ def trend_sentence(kpi, s, p, slope, last, mean) -> Column:
     )
 
 
+# Fixed format.
 def root_cause_sentence(kpi, date, pct, deviation, status, dimension, segment, contribution) -> Column:
     explained = F.concat(
         kpi, F.lit(" was "), fixed(F.abs(pct), 1), F.lit("% "), side(deviation), F.lit(" expected on "), iso(date),

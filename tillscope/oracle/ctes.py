@@ -62,6 +62,7 @@ FROM tx
 """,
 )
 
+# Fixed values.
 KPI_NAMES = [
     "total_revenue", "order_count", "units_sold", "active_customers", "revenue_per_order", "revenue_per_customer",
     "items_per_order", "avg_unit_price", "repeat_customer_rate", "new_customers", "product_revenue_concentration",
@@ -150,6 +151,7 @@ FROM (SELECT kpi_name, count(*) AS n_points, count(*) {inside} AS n_baseline, av
     )
 
 
+# Severity steps.
 SEVERITY_Z = "CASE WHEN abs(z) >= 4 THEN 'critical' WHEN abs(z) >= 3 THEN 'high' WHEN abs(z) >= 2.5 THEN 'medium' ELSE 'low' END"
 SEVERITY_IQR = "CASE WHEN reach >= 3 THEN 'critical' WHEN reach >= 2.5 THEN 'high' WHEN reach >= 2 THEN 'medium' ELSE 'low' END"
 SEVERITY_TREND = (

@@ -85,6 +85,7 @@ Q["table_row_count"] = "SELECT count(*) AS n FROM raw"
 Q["truncate_reload"] = (
     "SELECT country, count(*) AS n, CAST(2 * sum(quantity) AS BIGINT) AS units FROM raw GROUP BY 1"
 )
+# Fixed values.
 OWNERS = """(VALUES ('total_revenue', 'Finance'), ('order_count', 'Operations'), ('units_sold', 'Operations'), ('active_customers', 'Growth'),
   ('revenue_per_order', 'Product'), ('revenue_per_customer', 'Product'), ('items_per_order', 'Product'), ('avg_unit_price', 'Pricing'),
   ('repeat_customer_rate', 'Retention'), ('new_customers', 'Growth'), ('product_revenue_concentration', 'Product'),
@@ -140,12 +141,14 @@ RAG_PARSED = PARSED.format(
 Q["parse_narratives"] = RAG_PARSED
 Q["anomaly_description"] = "SELECT kpi_name, date, method, description FROM with_trends"
 Q["root_cause_summary"] = "SELECT kpi_name, date, status, summary FROM causes"
+# Fixed values.
 LABELS = """(VALUES ('total_revenue', 'Total Revenue'), ('order_count', 'Order Count'), ('units_sold', 'Units Sold'),
   ('active_customers', 'Active Customers'), ('revenue_per_order', 'Revenue per Order'), ('revenue_per_customer', 'Revenue per Customer'),
   ('items_per_order', 'Items per Order'), ('avg_unit_price', '{avg}'), ('repeat_customer_rate', 'Repeat Customer Rate'),
   ('product_revenue_concentration', 'Product Revenue Concentration'), ('product_return_rate', 'Product Return Rate'),
   ('international_revenue_share', 'International Revenue Share'), ('weekend_revenue_share', 'Weekend Revenue Share'),
   ('peak_hour_concentration', 'Peak Hour Concentration'){more}) AS labels(kpi_name, label)"""
+# Fixed values.
 DOC_LABELS = LABELS.format(avg="Average Unit Price", more="")
 PLAIN = ", ".join(f"driver_{i}_dimension || ' = ' || driver_{i}_segment" for i in (1, 2, 3))
 SHARED = ", ".join(
@@ -352,6 +355,7 @@ FROM (SELECT kpi_name, count(*) AS n, avg(value) FILTER (back <= 4) AS recent,
              CASE WHEN count(*) >= 8 THEN avg(value) FILTER (back BETWEEN 5 AND 8) ELSE avg(value) FILTER (front <= 4) END AS earlier
       FROM (SELECT *, row_number() OVER (PARTITION BY kpi_name ORDER BY date DESC) AS back,
                    row_number() OVER (PARTITION BY kpi_name ORDER BY date) AS front FROM series) GROUP BY 1)"""
+# Fixed values.
 CATEGORIES = """(VALUES ('Finance', 'total_revenue'), ('Finance', 'revenue_per_order'), ('Finance', 'revenue_per_customer'),
   ('Operations', 'order_count'), ('Operations', 'items_per_order'), ('Operations', 'units_sold'), ('Operations', 'product_return_rate'),
   ('Operations', 'weekend_revenue_share'), ('Operations', 'peak_hour_concentration'), ('Growth', 'active_customers'),

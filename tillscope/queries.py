@@ -359,11 +359,11 @@ def append_call_log(x):
 def scan_keyed_json(x):
     path = stage_path(x.spark, "keyed")
     entry = F.struct(*[c for c in x.narratives.columns if c != "key"])
-    # One file per KPI, each holding one object of entries.
-    objects = x.narratives.groupBy(F.col("kpi_name").alias("kpi")).agg(
+    # One object per KPI and year: the calendar bounds its entries.
+    objects = x.narratives.groupBy(F.col("kpi_name").alias("kpi"), F.substring("date", 1, 4).alias("year")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("key", entry)))).alias("value")
     )
-    objects.write.partitionBy("kpi").text(path)
+    objects.write.partitionBy("kpi", "year").text(path)
     return files.read_keyed_json(x.spark, path).select("key", "kpi_name", "date", "severity", "prompt_version")
 
 
