@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -99,7 +100,7 @@ def variants(fps: DataFrame, segments: int = 2) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(fps: DataFrame, most: int = 3, small: int = 32, block: int = 4096) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, small: int = 32, block: int = 4096, per_task: int = 40_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all that are ``most`` bits apart or less.
 
     Codes meet by an equality join on the variant keys and are verified. A key under ``small``
@@ -110,7 +111,8 @@ def links(fps: DataFrame, most: int = 3, small: int = 32, block: int = 4096) ->
     """
     if most > 3:
         raise ValueError("two segments with one wildcard find codes at 3 bits or less")
-    keyed = variants(fps)
+    # each code becomes 64 rows, so a task is given few
+    keyed = variants(fps.repartition(max(1, math.ceil(fps.count() / per_task)), "fp"))
     counts = keyed.groupBy("key").count().where("count > 1")
     # planned sizes do not count the variants, so the join must not be left to them
     shared = stage(keyed.join(counts.hint("merge"), "key"), "simhash-keys")
