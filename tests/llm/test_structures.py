@@ -264,6 +264,42 @@ def test_one_of_each_group_stays(spark, docs):
     assert kept == {r["component_id"] for r in rows}
 
 
+def _alike(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y) >= 0.8
+
+
+def test_edited_copies_go_beyond_three_bits(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for family in range(6):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 200)]
+        for member in range(1 if family == 5 else 12):
+            own = list(words)
+            for _ in range(rng.integers(0, 12)):
+                own[rng.integers(0, 200)] = f"x{rng.integers(0, 5000)}"
+            texts[len(texts)] = " ".join(own)
+    rows = [*texts.items(), (3, texts[3]), (900, ""), (None, texts[0])]
+    kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), alike=0.8).collect()]
+    stay = [i for i in kept if i in texts]
+    assert sorted(i for i in kept if i is not None) == sorted({*stay, 900}) and kept.count(None) == 1
+    assert not any(_alike(texts[a], texts[b]) for a in stay for b in stay if a < b)
+    # what went has a chain of like texts, or of codes within 3 bits, to one that stays
+    reached, front = set(stay), list(stay)
+    codes = {i: _fingerprint(t) for i, t in texts.items()}
+    while front:
+        a = front.pop()
+        new = [b for b in texts if b not in reached and (_alike(texts[a], texts[b]) or (codes[a] ^ codes[b]).bit_count() <= 3)]
+        reached.update(new)
+        front += new
+    assert reached == set(texts)
+
+
+def test_the_pipeline_leaves_no_like_texts(spark, docs):
+    texts = [r["text"] for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect() if r["text"]]
+    assert not any(_alike(a, b) for i, a in enumerate(texts) for b in texts[:i])
+
+
 # Hamming search
 
 

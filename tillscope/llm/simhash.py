@@ -20,17 +20,11 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
-    """Majority of every bit over the hashes of a text's word shingles, repeats included.
-
-    Fewer words than a shingle: their whole sequence is the one shingle. No word, or null: 0.
-    Counts are summed in blocks, so memory does not grow with the text.
-    """
-    if not text:
-        return 0
-    found = _WORD.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
+def _hashes(text: str | None, words: int, block: int = 1 << 16):
+    """The hashes of a text's word shingles, repeats included, in blocks."""
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not found:
-        return 0
+        return
     line = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(size + 1) - 1
@@ -38,11 +32,21 @@ def fingerprint(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
     n = max(1, len(found) - words + 1)
     first, last = starts[:n].tolist(), ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(_BITS, np.int64)
     for at in range(0, n, block):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + block], last[at : at + block])], "<u8")
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + block], last[at : at + block])], "<u8")
+
+
+def fingerprint(text: str | None, words: int = 3, block: int = 1 << 16) -> int:
+    """Majority of every bit over the hashes of a text's word shingles, repeats included.
+
+    Fewer words than a shingle: their whole sequence is the one shingle. No word, or null: 0.
+    Counts are summed in blocks, so memory does not grow with the text.
+    """
+    counts, n = np.zeros(_BITS, np.int64), 0
+    for hashes in _hashes(text, words, block):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     set_bits = np.flatnonzero(2 * counts > n)
     return int(sum(1 << int(b) for b in set_bits))
 
@@ -194,12 +198,105 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
+#: Words of a shingle where texts are compared by their shingles, and the rows and bands of their sketches.
+_ALIKE_WORDS, _ROWS, _BANDS = 5, 5, 32
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _ROWS * _BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles of five words, in order."""
+    parts = list(_hashes(text, _ALIKE_WORDS))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def bands(text: str | None, block: int = 512) -> np.ndarray:
+    """Keys of a text's MinHash bands; two texts of Jaccard 0.8 share none in 3 of a million cases."""
+    least, some = np.full(_ROWS * _BANDS, np.iinfo(np.uint64).max, np.uint64), False
+    for hashes in _hashes(text, _ALIKE_WORDS, block):
+        least = np.minimum(least, (hashes[:, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0))
+        some = True
+    if not some:
+        return np.zeros(0, np.int64)
+    keys = np.arange(1, _BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(_BANDS, _ROWS).T:
+        keys = (keys ^ (row >> np.uint64(17)) ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view(np.int64)
+
+
+def alike_to_smaller(docs: DataFrame, least: float = 0.8, per_part: int = 256) -> DataFrame:
+    """``doc_id`` of documents that a chain of like texts leads to a smaller id that is not among them.
+
+    Two texts are alike if the Jaccard similarity of their 5-word shingles is ``least`` or more,
+    which is computed for all candidates: ids that share a MinHash band. In every round each
+    band names a few heads (1, 2, 4, ...), which all its ids are compared with; the greater id
+    of an alike pair is done, and so are the heads. So a large family of copies takes about one
+    comparison for each of its members, and no two ids outside the result were left uncompared
+    in a band they share. Rows without an id take no part.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def make_keys():
+        return lambda batch: {"doc_id": batch.column("doc_id"), "keys": [bands(t.as_py()) for t in batch.column("text")]}
+
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    keyed = stage(by_batch(known, make_keys, f"doc_id {kind}, keys array<long>").select("doc_id", F.explode("keys").alias("key")).distinct(), "bands")
+
+    def shared(keyed):
+        # planned sizes do not tell which keys are shared, so the join must not be left to them
+        return keyed.join(keyed.groupBy("key").count().where("count > 1").hint("merge").select("key"), "key").select("doc_id", "key")
+
+    def make_verdicts():
+        held = [None, None]
+
+        def work(batch):
+            likes = []
+            for a, text, other in zip(batch.column("a").to_pylist(), batch.column("text"), batch.column("other")):
+                if held[0] != (a, text):
+                    held[:] = [(a, text), shingles(text.as_py())]
+                likes.append(jaccard(held[1], shingles(other.as_py())) >= least)
+            return {"a": batch.column("a"), "b": batch.column("b"), "alike": likes}
+
+        return work
+
+    live = stage(shared(keyed), "shared-bands")
+    texts = stage(known.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), "band-texts")
+    gone, heads = None, 1
+    while live.head(1):
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(heads))
+        named = live.groupBy("key", part.alias("part")).agg(F.min("doc_id").alias("head")).groupBy("key").agg(F.collect_list("head").alias("heads"))
+        met = stage(live.join(named.hint("merge"), "key"), "heads")
+        pairs = met.select("doc_id", F.explode("heads").alias("head")).where("doc_id <> head")
+        pairs = stage(pairs.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
+        # a head's pairs are cut into parts, so that no task has all of a family
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
+        cut = stage(pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts"), "candidate-parts")
+        left = cut.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
+        right = cut.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        judged = by_batch(left.join(right, ["a", "part"]).select("a", "b", "text", "other"), make_verdicts, f"a {kind}, b {kind}, alike boolean")
+        found = stage(judged.where("alike").select(F.greatest("a", "b").alias("doc_id")).distinct(), "alike")
+        gone = found if gone is None else gone.unionByName(found)
+        rest = met.where(~F.array_contains("heads", F.col("doc_id"))).select("doc_id", "key").join(found, "doc_id", "left_anti")
+        live = stage(shared(stage(rest, "rest")), "shared-bands")
+        heads *= 2
+    return live.select("doc_id").limit(0) if gone is None else gone.distinct()
+
+
+def keep_one(docs: DataFrame, most: int = 3, alike: float | None = None) -> DataFrame:
     """The rows of ``docs`` that lead their component, all columns kept.
 
     Rows that repeat an id are one document, and one of them stays. Rows without an id all
-    stay, for nothing says which of them leads.
+    stay, for nothing says which of them leads. With ``alike``, of those that lead, no two stay
+    whose 5-word shingles have that Jaccard similarity: most copies with edits lie further
+    apart than ``most`` bits.
     """
     lead = near_duplicates(docs, most).where("doc_id = component_id").select("doc_id").distinct()
+    if alike is not None:
+        lead = stage(lead, "leads")
+        lead = lead.join(alike_to_smaller(docs.join(lead, "doc_id", "left_semi"), alike), "doc_id", "left_anti")
     kept = docs.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
