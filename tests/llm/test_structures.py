@@ -318,6 +318,19 @@ def test_top_k_equals_brute_force(spark, segments, k):
         assert got[q] == want
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    centre = int(rng.integers(0, 1 << 62))
+    codes = [centre ^ int(sum(1 << int(b) for b in rng.choice(62, 3, replace=False))) for _ in range(30)]
+    rows = [row for row in enumerate(codes) for _ in range(4)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = defaultdict(list)
+    for r in hamming_topk.top_k(df, df.where("id % 10 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["id"]))
+    for q in range(0, 30, 10):
+        assert got[q] == sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:10]
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style></head><body class="page">

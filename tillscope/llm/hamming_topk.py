@@ -47,10 +47,12 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, segments: int = 8,
     at least r + 1 bits in every segment. A query is done once its k-th distance is below
     ``segments * (r + 1)``, so the result is exact; it only takes codes that can still enter.
     Returns query_id, rank (from 1), id and distance. A query is not its own result; equal codes
-    under other ids are. Fewer than k others give as many rows as there are.
+    under other ids are. Fewer than k others give as many rows as there are. Repeated rows count once.
     """
     width = BITS // segments
-    index = stage(_bundles(_segments(corpus.select("id", "code"), segments, "s"), ["id", "code"], bundle, "held"), "hamming-index")
+    # copies of a row would fill the places that a bundle has for its best k
+    each = stage(corpus.select("id", "code").distinct(), "distinct-codes")
+    index = stage(_bundles(_segments(each, segments, "s"), ["id", "code"], bundle, "held"), "hamming-index")
     active = stage(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(BITS + 1).alias("bound")).distinct(), "queries")
     best = None
     done = []
