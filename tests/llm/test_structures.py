@@ -379,6 +379,20 @@ def test_copies_and_lone_pages_stay_whole(spark):
     assert got == {1: "same\ntext", 2: "same\ntext", 3: "alone"}
 
 
+@pytest.mark.parametrize("per_part", [2, 1000])
+def test_near_copies_keep_their_text(spark, per_part):
+    frame = "<div>Our site</div>{}<div>All rights reserved</div>"
+    story = "<p>Seen {} times<p>A long story that both of the copies tell.<p>It goes on and on, and then it ends."
+    near = [(i, f"http://a/1{i}", frame.format(story.format(i))) for i in range(3)]
+    rows = [*near, (3, "http://a/2", frame.format("<p>Something else that is told here.")), *[(i + 10, f"http://b/{i}", h) for i, _, h in near]]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), per_part).collect()}
+    text = "Seen {} times\nA long story that both of the copies tell.\nIt goes on and on, and then it ends."
+    for i in range(3):
+        assert got[i] == text.format(i)
+        assert got[i + 10] == f"Our site\n{text.format(i)}\nAll rights reserved"
+    assert got[3] == "Something else that is told here."
+
+
 def test_all_pages_are_answered(spark):
     rows = QUERIES["op8_nearest_url_text"](spark, FOLDER).collect()
     pages = {r["page_id"]: r for r in read(spark, FOLDER, "pages").collect()}
