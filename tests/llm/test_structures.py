@@ -347,6 +347,21 @@ def test_an_article_without_its_frame():
     assert html_extract.main_text(lines, None).split("\n") == ["Title of it", "First <b> bold line", "Second one", "item 1", "item 2"]
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<div class="site has-sidebar"><nav>n</nav><article><p>One<p>Two</article></div>', "One\nTwo"),
+        ('<div class="content-with-sidebar"><p>All of the text<p>and more</div><p>x', "All of the text\nand more\nx"),
+        ('<article class="post social-share"><p>One line<div class="share">Like</div></article>', "One line"),
+        ('<div class="row sidebar"><article>One</article></div><div class="row sidebar"><article>Two</article></div>', "One\nTwo"),
+        ('<main><p>Main text stays<article class="card">Card</article></main>', "Main text stays\nCard"),
+        ('<article><p>The text of the page<div class="comments"><article>Nice</article></div></article>', "The text of the page"),
+    ],
+)
+def test_names_of_wrappers_do_not_drop_the_article(html, text):
+    assert html_extract.main_text(html_extract.blocks(html), None) == text
+
+
 def test_shared_lines_are_those_of_a_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(30):
