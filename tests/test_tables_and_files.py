@@ -304,6 +304,14 @@ def test_similar_topk_small(spark):
     assert [r["id"] for r in same] == ["b", "d"]
 
 
+def test_similar_topk_finds_pivots_among_vectors_without_direction(spark):
+    without = [[0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0]]
+    rows = [(f"z{i}", "k", without[i % 4]) for i in range(400)] + [("a", "k", [1.0, 0.0]), ("b", "k", [1.0, 0.1])]
+    corpus = spark.createDataFrame(rows, "id string, kpi_name string, embedding array<double>")
+    found = retrieval.similar_topk(corpus.where("id = 'a'"), corpus, 1).collect()
+    assert [(r["query_id"], r["id"]) for r in found] == [("a", "b")]
+
+
 def test_similar_topk_does_not_depend_on_blocks(spark):
     # One KPI holds most rows, so it is cut into many blocks.
     rows = [(f"id{i:03d}", "hot" if i % 10 else "cold", [float((i * 7) % 11 - 5), float((i * 5) % 13 - 6), 1.0]) for i in range(120)]

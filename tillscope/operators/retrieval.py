@@ -173,7 +173,9 @@ def similar_topk(
     def rows(df):
         return df.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
-    drawn = rows(corpus).where("vector is not null").select("vector").orderBy(F.xxhash64("id"), "id").limit(pivots)
+    # NaN is the greatest number, a null element makes the sum null: neither has a direction
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    drawn = rows(corpus).where((squares > 0) & (squares < float("inf"))).select("vector").orderBy(F.xxhash64("id"), "id").limit(pivots)
     directions = [v for v in (np.array(r["vector"], np.float64) for r in drawn.collect()) if np.isfinite(v).all() and np.linalg.norm(v) > 0]
     if not directions:
         return corpus.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int")
