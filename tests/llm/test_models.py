@@ -182,3 +182,16 @@ def test_equals_sql(spark, name):
     columns = ", ".join(made.columns)
     want = con.sql(f"select {columns} from ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def test_copies_of_a_text_are_thinned_in_the_sample(spark, monkeypatch):
+    drawn, features = [], language_id.features
+
+    def counted(sample):
+        drawn.append(sample.count())
+        return features(sample)
+
+    monkeypatch.setattr(language_id, "features", counted)
+    rows = [(i, "one text all over", "en") for i in range(3000)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100)
+    assert 50 < drawn[0] < 200

@@ -171,7 +171,8 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model:
     """A model from the rows of ``docs`` with a language and an id outside the held-out third.
 
     Document frequencies cover all those rows. The weights are fitted on about ``per_language``
-    rows of each language, chosen by a hash of the text, every fifth of them for the temperature.
+    rows of each language, chosen by a hash of id and text, so that copies of a text under other ids
+    are thinned as other rows are; every fifth of them, by text, is for the temperature.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, per_language: int = 400) -> Model:
     cut = F.lit(0)
     for lang in languages:
         cut = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / sizes[lang]) * (1 << 30)))).otherwise(cut)
-    sample = known.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < cut)
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < cut)
     rows, spare = [], []
     for r in sorted(features(sample).collect(), key=lambda r: (r["key"], r["lang"])):
         at = np.frombuffer(r["at"], "<i4").astype(np.int64)
