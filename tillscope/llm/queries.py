@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import hamming_topk, html_extract, language_id, mixing, oracle, packing, quality_classifier, quality_rules, secrets, sharding, simhash
+from tillscope.llm import (
+    collocations,
+    hamming_topk,
+    html_extract,
+    language_id,
+    manifest,
+    mixing,
+    oracle,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    toxicity,
+)
 from tillscope.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +69,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+def op12_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op13_automata_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -67,10 +95,15 @@ QUERIES: dict[str, Query] = {
         op8_nearest_url_text,
         op9_jump_hash,
         op10_simhash,
+        op11_merkle_manifest,
+        op12_levenshtein_toxicity,
+        op13_automata_collocations,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_adaptive_rules": oracle.adaptive_rules(),
     "op7_multi_index_hamming": oracle.HAMMING,
+    "op11_merkle_manifest": oracle.MANIFEST,
+    "op13_automata_collocations": oracle.COLLOCATIONS,
 }
