@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -11,9 +12,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tillscope.llm.automata import Automaton, summed, united
-from tillscope.llm.common import placed
 from tillscope.session import stage
 
 #: Words of the longest phrase.
@@ -28,7 +30,20 @@ _TABLE[9] = 32
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
     _TABLE[_c] = 10
 _TABLE = bytes(_TABLE)
-_BLOCKS = "lang string, block long, words array<binary>, counts array<long>, ids binary, tail int"
+_BLOCKS = "lang string, block long, words binary, counts binary, n_words long, n long, ids binary, tail int"
+_LISTS = "lang string, bucket int, block long, places binary, words binary, counts binary"
+_TOLD = "lang string, block long, told binary, word binary, label long, f long"
+
+
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2 to the 64, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
 class _Buffer:
@@ -46,9 +61,10 @@ class _Buffer:
 
     def row(self, lang: str, number: int, tail: int) -> dict:
         ids = np.frombuffer(self.ids, np.uint32)
-        counts = np.bincount(ids[: len(ids) - tail], minlength=len(self.words))
-        words = list(self.words)
-        return {"lang": lang, "block": number, "words": words[1:], "counts": counts[1:], "ids": zlib.compress(ids.tobytes(), 1), "tail": tail}
+        counts = np.bincount(ids[: len(ids) - tail], minlength=len(self.words))[1:]
+        words = zlib.compress(b" ".join(list(self.words)[1:]), 1)
+        planes = zlib.compress(ids.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+        return {"lang": lang, "block": number, "words": words, "counts": _pressed(counts), "n_words": len(counts), "n": int(counts.sum()), "ids": planes, "tail": tail}
 
 
 def _tokens(data: bytes) -> list[bytes]:
@@ -62,8 +78,9 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     are there for phrases that begin before them, and begin phrases themselves in the next.
     """
 
+    kind = to_arrow_schema(StructType.fromDDL(_BLOCKS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("tail", pa.int32())])
         held: dict[str, _Buffer] = {}
         number = TaskContext.get().partitionId() << 32
 
@@ -104,24 +121,90 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return texts.mapInArrow(run, _BLOCKS)
 
 
-def _ranges(rows: np.ndarray, f: np.ndarray, before: np.ndarray, label: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+# ------------------------------------------------------------------- the words
+
+
+def _word_lists(buckets: int):
+    """The words of each block and their counts, dealt to buckets by a hash of the word."""
+
+    kind = to_arrow_schema(StructType.fromDDL(_LISTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if not row["n_words"]:
+                    continue
+                words, counts = zlib.decompress(row["words"]).split(b" "), _unpressed(row["counts"])
+                bucket = np.array([zlib.crc32(w) for w in words], np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                made = []
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    part = part[counts[part] > 0]
+                    if len(part):
+                        listed = zlib.compress(b" ".join([words[i] for i in part]), 1)
+                        made.append((row["lang"], int(bucket[part[0]]), row["block"], _pressed(part), listed, _pressed(counts[part])))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made), kind)], schema=kind)
+
+    return run
+
+
+def _frequent_words(least: int, buckets: int):
+    """Of one bucket the frequent words, numbered in order, and for each block which of its words they are.
+
+    A word's place on the line of its language (0 to 1) is its bucket's share of the line and,
+    in it, the share of the occurrences before it.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(_TOLD))
+
+    def run(key, table):
+        lang, bucket = (k.as_py() for k in key)
+        parts = [(r["block"], r["places"], zlib.decompress(r["words"]).split(b" "), _unpressed(r["counts"])) for r in table.select(["block", "places", "words", "counts"]).to_pylist()]
+        total: dict[bytes, int] = {}
+        for _, _, words, counts in parts:
+            for word, n in zip(words, counts.tolist()):
+                total[word] = total.get(word, 0) + n
+        kept = sorted(w for w, n in total.items() if n >= least)
+        f = np.array([total[w] for w in kept], np.int64)
+        number = {w: i for i, w in enumerate(kept)}
+        line = (bucket + (np.cumsum(f) - f) / max(1, f.sum())) / buckets
+        label = (bucket << 32) + 1 + np.arange(len(kept))
+        rows = [(lang, None, None, w, int(i), int(n)) for w, i, n in zip(kept, label, f)]
+        for block, places, words, _ in parts:
+            at = np.array([number.get(w, -1) for w in words], np.int64)
+            there = np.flatnonzero(at >= 0)
+            if len(there):
+                at = at[there]
+                told = pickle.dumps((_pressed(_unpressed(places)[there]), _pressed(label[at]), _pressed(f[at]), line[at].astype(np.float64).tobytes()), 5)
+                rows.append((lang, block, zlib.compress(told, 1), None, None, None))
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
+
+    return run
+
+
+# ----------------------------------------------------------------- the phrases
+
+
+def _ranges(rows: np.ndarray, f: np.ndarray, line: np.ndarray, label: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The prefix range of every path (local word numbers) and the depth at which ranges are cut there.
 
-    All words of a language laid end to end, each as long as its count, make the line that ranges
-    of ``size`` are cut from. A first word longer than a range gets ranges of its own, cut by the
-    second word on the same line, as many as its count needs; and so on for the words after it.
-    The result depends on a path alone, so all shards agree without a list of bounds.
+    The words of a language lie on a line from 0 to 1, each over its share of the occurrences,
+    and ranges of about ``size`` occurrences are cut from it. A first word with more than that
+    gets ranges of its own, cut by the second word on the same line, as many as its count needs;
+    and so on for the words after it. The result depends on a path alone, so all shards agree
+    without a list of bounds.
     """
-    key, depth = np.zeros(len(rows), np.uint64), np.full(len(rows), LONGEST, np.int64)
+    width = rows.shape[1]
+    key, depth = np.zeros(len(rows), np.uint64), np.full(len(rows), width, np.int64)
     own = np.zeros(len(rows), np.uint64)
     expected, splits = np.full(len(rows), float(n)), np.full(len(rows), max(1.0, np.ceil(n / size)))
     open_ = np.ones(len(rows), bool)
     step = np.uint64(0x9E3779B97F4A7C15)
-    for d in range(LONGEST):
+    for d in range(width):
         w = rows[:, d]
-        part = np.floor(before[w] / n * splits).astype(np.uint64)
+        part = np.floor(line[w] * splits).astype(np.uint64)
         expected = expected * f[w] / n
-        done = open_ & ((expected <= size) | (w == 0) | (d == LONGEST - 1))
+        done = open_ & ((expected <= size) | (w == 0) | (d == width - 1))
         # a word that fills a range is told from its neighbours on the line
         key[done] = (own[done] * step ^ (part[done] + np.uint64(1))) * step + np.uint64(d)
         depth[done] = d + 1
@@ -131,60 +214,108 @@ def _ranges(rows: np.ndarray, f: np.ndarray, before: np.ndarray, label: np.ndarr
     return (key >> np.uint64(1)).astype(np.int64), depth
 
 
-def _grams(row: dict, size: int) -> list[tuple[int, int, bytes]]:
-    """The transducers of one block: for each prefix range the phrases of frequent words that begin there."""
-    ids = np.frombuffer(zlib.decompress(row["ids"]), np.uint32)
-    place, label = np.array(row["place"], np.int64), np.array(row["label"], np.int64)
-    order = np.argsort(label)
-    place, label = place[order], np.concatenate([[0], label[order]])
-    f = np.concatenate([[0], np.array(row["f"], np.float64)[order]])
-    before = np.concatenate([[0], np.array(row["before"], np.float64)[order]])
-    local = np.zeros(int(ids.max(initial=0)) + 2 + len(place), np.int64)
-    local[place + 1] = np.arange(1, len(place) + 1)
-    words = np.concatenate([local[ids], np.zeros(LONGEST, np.int64)])
-    starts = len(ids) - row["tail"]
-    start = np.flatnonzero((words[:starts] > 0) & (words[1 : starts + 1] > 0))
-    if not len(start):
-        return []
-    rows = words[start[:, None] + np.arange(LONGEST)]
-    rows *= np.logical_and.accumulate(rows > 0, axis=1)
-    # two numbers hold a path, for a block has fewer words than 2 to the 21
-    head, rest = (rows[:, 0] << 42) | (rows[:, 1] << 21) | rows[:, 2], (rows[:, 3] << 21) | rows[:, 4]
-    order = np.lexsort((rest, head))
-    head, rest = head[order], rest[order]
-    new = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (rest[1:] != rest[:-1])))
-    rows, counts = rows[order[new]], np.diff(np.append(new, len(head)))
-    key, depth = _ranges(rows, f, before, label, row["n"], size)
-    order = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    made = []
-    for part in np.split(order, cuts[1:]):
-        made.append((int(key[part[0]]), int(depth[part[0]]), Automaton.of(label[rows[part]], counts[part]).dump()))
-    return made
-
-
-def _shard_grams(size: int):
+class _Block:
+    """A block's words as numbers of the frequent ones (0: any other, or the end of a piece), and its pairs of such words."""
+
+    def __init__(self, row: dict):
+        ids = np.frombuffer(zlib.decompress(row["ids"]), np.uint8).reshape(4, -1)
+        ids = np.ascontiguousarray(ids.T).view(np.uint32).ravel()
+        parts = [pickle.loads(zlib.decompress(t)) for t in row["told"]]
+        place, label, f = (np.concatenate([_unpressed(p[i]) for p in parts]) for i in range(3))
+        line = np.concatenate([np.frombuffer(p[3], np.float64) for p in parts])
+        order = np.argsort(label)
+        first = np.zeros(1)
+        self.n = row["n_all"]
+        self.label, self.f, self.line = np.append(first, label[order]).astype(np.int64), np.append(first, f[order]), np.append(first, line[order])
+        local = np.zeros(max(int(ids.max(initial=0)), int(place.max()) + 1) + 1, np.int64)
+        local[place[order] + 1] = np.arange(1, len(order) + 1)
+        self.words = np.append(local[ids], np.zeros(LONGEST, np.int64))
+        starts = len(ids) - row["tail"]
+        # pairs that begin in the tail are needed to go on from the pairs before them
+        self.start = np.flatnonzero((self.words[: len(ids)] > 0) & (self.words[1 : len(ids) + 1] > 0))
+        self.counted = self.start < starts
+        packed = (self.words[self.start] << 32) | self.words[self.start + 1]
+        pairs, self.pair_of = np.unique(packed, return_inverse=True)
+        self.pairs = np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF])
+
+    def cut(self, rows: np.ndarray, size: int) -> list[tuple[int, int, np.ndarray]]:
+        """The rows (ascending) by prefix range: its key, its depth, the rows' numbers."""
+        key, depth = _ranges(rows, self.f, self.line, self.label, self.n, size)
+        order = np.argsort(key, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
+        return [(int(key[p[0]]), int(depth[p[0]]), p) for p in parts]
+
+    def pair_transducers(self, size: int) -> list[tuple]:
+        counts = np.bincount(self.pair_of[self.counted], minlength=len(self.pairs))
+        return [(key, depth, Automaton.of(self.label[self.pairs[p]], counts[p]).dump()) for key, depth, p in self.cut(self.pairs, size)]
+
+    def long_transducers(self, size: int, masks: dict[int, bytes]) -> list[tuple]:
+        """Phrases of three words and more of which every two neighbours are a frequent pair."""
+        frequent = np.zeros(len(self.pairs), bool)
+        for key, _, part in self.cut(self.pairs, size):
+            if key in masks:
+                frequent[part] = np.unpackbits(np.frombuffer(zlib.decompress(masks[key]), np.uint8), count=len(part)).astype(bool)
+        goes_on = np.zeros(len(self.words), bool)
+        goes_on[self.start] = frequent[self.pair_of]
+        first = self.start[self.counted]
+        first = first[goes_on[first] & goes_on[first + 1]]
+        if not len(first):
+            return []
+        rows = self.words[first[:, None] + np.arange(LONGEST)]
+        rows[:, 1:] *= np.logical_and.accumulate(goes_on[first[:, None] + np.arange(LONGEST - 1)], axis=1)
+        rows, counts = summed(rows, np.ones(len(rows), np.int64))
+        return [(key, depth, Automaton.of(self.label[rows[p]], counts[p]).dump()) for key, depth, p in self.cut(rows, size)]
+
+
+def _shard(make, schema: str):
+    """``make(row) -> list of tuples`` for every block, as rows behind its language and number."""
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("depth", pa.int32()), ("grams", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
-                made = _grams(row, size)
+                made = [(row["lang"], row["block"], *m) for m in make(row)]
                 if made:
-                    key, depth, data = zip(*made)
-                    yield pa.RecordBatch.from_pydict({"lang": [row["lang"]] * len(made), "key": key, "depth": depth, "grams": data}, schema=kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made), kind)], schema=kind)
+
+    return run
+
+
+_GRAMS = "lang string, block long, key long, depth int, grams binary"
+_PHRASES = "lang string, labels array<long>, f long, whole boolean"
+_PAIRS = "lang string, block long, key long, mask binary, labels array<long>, f long"
+
+
+def _frequent_pairs(least: int):
+    """The frequent pairs of one prefix range, and for each block a bit for each of its pairs there."""
+    kind = to_arrow_schema(StructType.fromDDL(_PAIRS))
+
+    def run(key, table):
+        lang, key, _ = (k.as_py() for k in key)
+        parts = [Automaton.load(d.as_py()).paths() for d in table.column("grams")]
+        paths, counts = summed(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]))
+        frequent = np.flatnonzero(counts >= least)
+        rows = [(lang, None, None, None, labels, f) for labels, f in zip(paths[frequent].tolist(), counts[frequent].tolist())]
+        held = Automaton.of(paths[frequent], counts[frequent]) if len(frequent) else None
+        for block, (own, _) in zip(table.column("block").to_pylist(), parts):
+            bits = held.look_up(own) > 0 if held else np.zeros(len(own), bool)
+            if bits.any():
+                rows.append((lang, block, key, zlib.compress(np.packbits(bits).tobytes(), 1), None, None))
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
 
     return run
 
 
 def _united(least: int):
-    """Phrases of one prefix range with their counts: all from the depth of its cuts on, and parts of the shorter ones."""
-    kind = pa.schema([("lang", pa.string()), ("labels", pa.list_(pa.int64())), ("f", pa.int64()), ("whole", pa.bool_())])
+    """Phrases of three words and more of one prefix range: whole counts from the depth of its cuts on, parts of the shorter ones'."""
+    kind = to_arrow_schema(StructType.fromDDL(_PHRASES))
 
     def run(key, table):
         lang, _, depth = (k.as_py() for k in key)
         rows, counts = united([Automaton.load(d.as_py()) for d in table.column("grams")])
         labels, f, whole = [], [], []
-        for words in range(2, LONGEST + 1):
+        for words in range(3, LONGEST + 1):
             there = np.flatnonzero(rows[:, words - 1] > 0)
             part = rows[there][:, :words]
             if not len(part):
@@ -200,30 +331,39 @@ def _united(least: int):
     return run
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, block: int = BLOCK, size: int = RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, block: int = BLOCK, size: int = RANGE, per_bucket: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, label, f) and phrases (lang, labels, f) with ``least`` or more occurrences, and n of each language.
 
-    A phrase that is so frequent has only such words, so shards leave out all others. Counts are
-    exact: every shard's transducers are cut into prefix ranges, and each range's are united.
+    A phrase is so frequent only if its words and its pairs of neighbours are, so shards leave
+    out all others: words are counted first, then pairs, then longer phrases. Each time the
+    shards' lists or transducers are cut into ranges, those of a range are united in a task of
+    its own, and every shard is told which of its entries are frequent. Counts are exact.
     """
     shards = stage(blocks(docs, block), "blocks")
-    listed = shards.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    listed = listed.select("lang", "block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("m"))
-    totals = stage(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = stage(listed.groupBy("lang", "word").agg(F.sum("m").alias("f")).where(F.col("f") >= least), "frequent-words")
-    words = placed(words, ["lang"], ["word"], "label")
-    words = stage(words.withColumn("label", F.col("label") + 1), "labels")
-    words = stage(placed(words, ["lang"], ["word"], "before", size="f"), "alphabet")
-    told = words.select(F.col("lang").alias("l"), F.col("word").alias("w"), "label", "f", "before")
-    met = listed.join(told, (F.col("lang") == F.col("l")) & (F.col("word") == F.col("w")))
-    met = met.groupBy("lang", "block").agg(*[F.collect_list(c).alias(c) for c in ("place", "label", "f", "before")])
-    known = met.join(totals, "lang").join(shards.select("lang", "block", "ids", "tail").hint("merge"), ["lang", "block"])
-    grams = known.mapInArrow(_shard_grams(size), "lang string, key long, depth int, grams binary")
-    made = grams.groupBy("lang", "key", "depth").applyInArrow(_united(least), "lang string, labels array<long>, f long, whole boolean")
-    made = stage(made, "range-phrases")
+    totals = stage(shards.groupBy("lang").agg(F.sum("n").alias("n_all")), "totals")
+    listed = shards.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(1, -(-listed // per_bucket))
+    lists = shards.select("lang", "block", "words", "counts", "n_words").mapInArrow(_word_lists(buckets), _LISTS)
+    answers = stage(lists.groupBy("lang", "bucket").applyInArrow(_frequent_words(least, buckets), _TOLD), "words")
+    told = answers.where("block is not null").groupBy("lang", "block").agg(F.collect_list("told").alias("told"))
+    words = answers.where("label is not null").select("lang", "word", "label", "f")
+    known = stage(shards.select("lang", "block", "ids", "tail").join(told.hint("merge"), ["lang", "block"]).join(totals, "lang"), "known")
+
+    pairs = known.mapInArrow(_shard(lambda row: _Block(row).pair_transducers(size), _GRAMS), _GRAMS)
+    pairs = stage(pairs.groupBy("lang", "key", "depth").applyInArrow(_frequent_pairs(least), _PAIRS), "pairs")
+    masks = pairs.where("block is not null").groupBy("lang", "block").agg(F.collect_list(F.struct("key", "mask")).alias("masks"))
+    # a shard without a frequent pair holds no longer phrase
+    met = known.join(masks.hint("merge"), ["lang", "block"])
+
+    def longer(row: dict) -> list[tuple]:
+        return _Block(row).long_transducers(size, {m["key"]: m["mask"] for m in row["masks"]})
+
+    grams = met.mapInArrow(_shard(longer, _GRAMS), _GRAMS)
+    made = stage(grams.groupBy("lang", "key", "depth").applyInArrow(_united(least), _PHRASES), "range-phrases")
     parts = made.where("not whole").groupBy("lang", "labels").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    phrases = stage(made.where("whole").select("lang", "labels", "f").unionByName(parts), "phrases")
-    return words.select("lang", "word", "label", "f"), phrases, totals
+    phrases = pairs.where("labels is not null").select("lang", "labels", "f")
+    phrases = phrases.unionByName(made.where("whole").select("lang", "labels", "f")).unionByName(parts)
+    return words, stage(phrases, "phrases"), totals.withColumnRenamed("n_all", "n")
 
 
 def _filled(column, width: int = LONGEST) -> np.ndarray:
@@ -240,7 +380,7 @@ def runs_within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def part_counts(words: DataFrame, phrases: DataFrame, per_task: int = 100_000) -> DataFrame:
+def part_counts(words: DataFrame, phrases: DataFrame, per_task: int = 20_000) -> DataFrame:
     """(lang, labels, k, l, r) for every phrase and cut: how often its first k words and the rest occur.
 
     All frequent words and phrases are compiled into transducers by prefix, and the parts asked
