@@ -23,6 +23,8 @@ LONGEST = 5
 #: Words of a shard's block, and word occurrences that a prefix range stands for; both bound a task's memory.
 BLOCK, RANGE = 1 << 20, 1 << 19
 _SLICE = 1 << 20
+#: Steps of a bucket's share of the line, and of a doubling of a count, where shards are told them.
+_STEPS, _FINE = 1 << 16, 8
 _MARK = b"A"
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = range(97, 123)
@@ -153,7 +155,8 @@ def _frequent_words(least: int, buckets: int):
     """Of one bucket the frequent words, numbered in order, and for each block which of its words they are.
 
     A word's place on the line of its language (0 to 1) is its bucket's share of the line and,
-    in it, the share of the occurrences before it.
+    in it, the share of the occurrences before it. Ranges need it and the count roughly only,
+    but the same in all shards: they are told in steps.
     """
     kind = to_arrow_schema(StructType.fromDDL(_TOLD))
 
@@ -167,16 +170,16 @@ def _frequent_words(least: int, buckets: int):
         kept = sorted(w for w, n in total.items() if n >= least)
         f = np.array([total[w] for w in kept], np.int64)
         number = {w: i for i, w in enumerate(kept)}
-        line = (bucket + (np.cumsum(f) - f) / max(1, f.sum())) / buckets
-        label = (bucket << 32) + 1 + np.arange(len(kept))
-        rows = [(lang, None, None, w, int(i), int(n)) for w, i, n in zip(kept, label, f)]
+        line = (np.cumsum(f) - f) * _STEPS // max(1, f.sum())
+        size = np.ceil(_FINE * np.log2(np.maximum(f, 1))).astype(np.int64)
+        rows = [(lang, None, None, w, (bucket << 32) + 1 + i, n) for i, (w, n) in enumerate(zip(kept, f.tolist()))]
         for block, places, words, _ in parts:
             at = np.array([number.get(w, -1) for w in words], np.int64)
             there = np.flatnonzero(at >= 0)
             if len(there):
-                at = at[there]
-                told = pickle.dumps((_pressed(_unpressed(places)[there]), _pressed(label[at]), _pressed(f[at]), line[at].astype(np.float64).tobytes()), 5)
-                rows.append((lang, block, zlib.compress(told, 1), None, None, None))
+                at, place = at[there], _unpressed(places)[there]
+                told = (bucket, buckets, *[_pressed(c) for c in (np.diff(place, prepend=0), at, size[at], line[at])])
+                rows.append((lang, block, pickle.dumps(told, 5), None, None, None))
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), kind)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
 
     return run
@@ -220,9 +223,11 @@ class _Block:
     def __init__(self, row: dict):
         ids = np.frombuffer(zlib.decompress(row["ids"]), np.uint8).reshape(4, -1)
         ids = np.ascontiguousarray(ids.T).view(np.uint32).ravel()
-        parts = [pickle.loads(zlib.decompress(t)) for t in row["told"]]
-        place, label, f = (np.concatenate([_unpressed(p[i]) for p in parts]) for i in range(3))
-        line = np.concatenate([np.frombuffer(p[3], np.float64) for p in parts])
+        parts = [(bucket, buckets, *map(_unpressed, rest)) for bucket, buckets, *rest in map(pickle.loads, row["told"])]
+        place = np.concatenate([np.cumsum(p[2]) for p in parts])
+        label = np.concatenate([(p[0] << 32) + 1 + p[3] for p in parts])
+        f = np.concatenate([2.0 ** (p[4] / _FINE) for p in parts])
+        line = np.concatenate([(p[0] + p[5] / _STEPS) / p[1] for p in parts])
         order = np.argsort(label)
         first = np.zeros(1)
         self.n = row["n_all"]
@@ -380,7 +385,7 @@ def runs_within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def part_counts(words: DataFrame, phrases: DataFrame, per_task: int = 20_000) -> DataFrame:
+def part_counts(words: DataFrame, phrases: DataFrame, per_task: int = 5_000) -> DataFrame:
     """(lang, labels, k, l, r) for every phrase and cut: how often its first k words and the rest occur.
 
     All frequent words and phrases are compiled into transducers by prefix, and the parts asked
