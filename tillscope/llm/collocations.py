@@ -141,12 +141,10 @@ def _word_lists(buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 made = []
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    part = part[counts[part] > 0]
-                    if len(part):
-                        listed = zlib.compress(b" ".join([words[i] for i in part]), 1)
-                        made.append((row["lang"], int(bucket[part[0]]), row["block"], _pressed(part), listed, _pressed(counts[part])))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made), kind)], schema=kind)
+                    # words of the tail alone count 0 times, but phrases go on into it
+                    listed = zlib.compress(b" ".join([words[i] for i in part]), 1)
+                    made.append((row["lang"], int(bucket[part[0]]), row["block"], _pressed(part), listed, _pressed(counts[part])))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made), kind)], schema=kind)
 
     return run
 

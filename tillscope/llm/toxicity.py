@@ -8,6 +8,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -411,7 +412,7 @@ def hits(docs: DataFrame, model: Model) -> DataFrame:
                 found = model.hits(text.as_py(), matcher)
                 of += [i] * len(found)
                 made += found
-            return {"doc_id": batch.column("doc_id").take(of)} | {c: [h[c] for h in made] for c in ("at", "word", "term", "wrong", "weight")}
+            return {"doc_id": batch.column("doc_id").take(pa.array(of, pa.int64()))} | {c: [h[c] for h in made] for c in ("at", "word", "term", "wrong", "weight")}
 
         return work
 
