@@ -47,15 +47,15 @@ def test_placed_numbers_every_group_without_gaps(spark):
 @pytest.mark.parametrize("text", ["", "It's <|endoftext|> don't x''s", "Ünï—code №5 Σίσυφος İstanbul", "a\tb\x0bc d e", "!!!'ll ...&&& 12ab34", "é ́x ＡＢ ①", "año ÿŸ ŉa ×÷ ſS ßẞ à\xa0b ¿qué?", "___a_b <b>|<|x don't'S 'TIS", "e\u0301 İI ǅ ﬁ x\u2028y"])
 def test_ids_are_those_of_the_whole_text(text):
     whole = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(packing.Ids(VOCABULARY).of([text, text])[1], "<u4").tolist() == whole
+    assert np.frombuffer(packing.Ids(VOCABULARY).of(text), "<u4").tolist() == whole
 
 
 def test_ids_after_forgetting(monkeypatch, docs):
-    monkeypatch.setattr(packing, "CHUNKS", 50)
     monkeypatch.setattr(packing, "WORDS", 70)
+    monkeypatch.setattr(packing, "SLICE", 300)
     ids, tokenizer = packing.Ids(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     for r in docs.limit(60).collect():
-        assert np.frombuffer(ids.of([r["text"]])[0], "<u4").tolist() == tokenizer.encode(r["text"], add_special_tokens=False).ids
+        assert np.frombuffer(ids.of(r["text"]), "<u4").tolist() == tokenizer.encode(r["text"], add_special_tokens=False).ids
 
 
 def test_packing_holds_every_id_once(spark, docs):
@@ -258,6 +258,16 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 103: 100}
 
 
+@pytest.mark.parametrize("alike", [None, 0.8])
+def test_one_row_of_each_text_stays_where_ids_repeat(spark, alike):
+    rng = np.random.default_rng(8)
+    first, other = (" ".join("".join(rng.choice(list(letters), 4)) for _ in range(80)) for letters in ("abcdefg", "hijklmn"))
+    rows = [(1, first), (5, first), (5, other), (5, other), (7, first + " more"), (None, first), (9, None), (9, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), alike=alike).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept if r["doc_id"] != 9), key=repr) == sorted([(1, first), (5, other), (None, first)], key=repr)
+    assert sum(r["doc_id"] == 9 for r in kept) == 1
+
+
 def test_one_of_each_group_stays(spark, docs):
     kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
     rows = simhash.near_duplicates(docs).collect()

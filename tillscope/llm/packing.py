@@ -8,91 +8,87 @@ from array import array
 from collections import Counter
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 
 from tillscope.llm.common import by_batch, placed
 from tillscope.session import stage
 
 WINDOW = 4096
-#: Distinct chunks and distinct words that a task remembers before it starts anew; bounds its memory.
-CHUNKS, WORDS = 150_000, 400_000
-_LETTERS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Distinct words that a task remembers before it starts anew, and characters it cuts at once; both bound its memory.
+WORDS, SLICE = 250_000, 1 << 18
 #: Latin text: its lower case and normal form are those of its characters one by one.
 _LATIN = re.compile(r"[\n -~À-įı-ſ]*")
+_SMALL = "a-zß-öø-ÿā-ſ"
+#: The words of Latin text in small letters as the vocabulary's splitter cuts them.
+_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_SMALL}]+|[0-9]|[^\s{_SMALL}0-9]+")
 #: The splitter shows bytes as characters: printable ones as they are, the others from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def _plain(text: str) -> bool:
     return "<|" not in text and _LATIN.fullmatch(text) is not None
 
 
-def _words(chunk: str) -> list[str]:
-    """The words that the vocabulary's splitter makes of a plain chunk."""
-    low = chunk.lower()
-    if low.isalpha():
-        return [low]
-    core = low.rstrip(_SIGNS)
-    if core.isalpha():
-        return [core, low[len(core) :]]
-    return _LETTERS.findall(low)
+def _slices(text: str):
+    """A text cut at spaces, so that no part but a run without any is much longer than a slice."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = text.find(" ", at + SLICE)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 class Ids:
     """Token ids of whole texts as little-endian bytes, each distinct word encoded once.
 
     The vocabulary normalises and cuts within white space, so a text's ids are those of its
-    chunks between spaces, in order. Chunks of Latin letters and signs are put together from
-    their words; any other chunk is left to the tokenizer whole.
+    parts between spaces, in order. Latin text is put together from its words; in other text
+    the parts that are not Latin are left to the tokenizer whole.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, items: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in made]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """As ``_encode`` for what ``_words`` makes: normalised and split already."""
-        cut = self.tokenizer.model.tokenize
-        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(_HIDDEN) for w in words)
-        return [array("I", [t.id for t in cut(w)]).tobytes() for w in shown]
-
-    def _learn(self, new: list[str], plain: bool) -> None:
+    def _of_words(self, words: list[str]) -> bytes:
         known = self.words
-        if len(known) > WORDS:
+        new = set(words).difference(known)
+        if len(known) + len(new) > WORDS:
             known.clear()
-        parts, whole = {}, []
-        for chunk in new:
-            if plain or _plain(chunk):
-                parts[chunk] = _words(chunk)
+            new = set(words)
+        cut = self.tokenizer.model.tokenize
+        for word in new:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_HIDDEN)
+            known[word] = array("I", [t.id for t in cut(shown)]).tobytes()
+        return b"".join(map(known.__getitem__, words))
+
+    def _of_mixed(self, text: str) -> bytes:
+        made, latin = [], []
+
+        def put():
+            if latin:
+                made.append(self._of_words(_WORD.findall(" ".join(latin).lower())))
+                latin.clear()
+
+        for part in text.replace("\n", " ").split(" "):
+            if _plain(part):
+                latin.append(part)
             else:
-                whole.append(chunk)
-        unknown = list({w for words in parts.values() for w in words if w not in known})
-        known.update(zip(unknown, self._encode_words(unknown)))
-        for chunk, words in parts.items():
-            self.chunks[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-        self.chunks.update(zip(whole, self._encode(whole)))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        known = self.chunks
-        if len(known) > CHUNKS:
-            known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        plain = [_plain(t) for t in texts]
-        for kind in (True, False):
-            new = set().union(*[c for c, p in zip(cut, plain) if p == kind]).difference(known)
-            if new:
-                self._learn(list(new), kind)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+                put()
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+                made.append(array("I", ids).tobytes())
+        put()
+        return b"".join(made)
+
+    def of(self, text: str) -> bytes:
+        parts = [self._of_words(_WORD.findall(s.lower())) if _plain(s) else self._of_mixed(s) for s in _slices(text)]
+        return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
 def pieces(docs: DataFrame, vocabulary: str, end: int = 2, window: int = WINDOW) -> DataFrame:
@@ -110,18 +106,16 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 2, window: int = WINDOW)
             keys = batch.column("doc_id")
             texts = batch.column("text")
             of, start, length, crc, total = [], [], [], [], []
-            for at in range(0, len(texts), 64):
-                rows = texts.slice(at, 64).to_pylist()
-                for k, data in enumerate(ids.of([t or "" for t in rows])):
-                    data += tail
-                    n = len(data) // 4
-                    for first in range(0, n, window):
-                        part = data[4 * first : 4 * (first + window)]
-                        of.append(at + k)
-                        start.append(first)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        total.append(n)
+            for at, text in enumerate(texts):
+                data = ids.of(text.as_py() or "") + tail
+                n = len(data) // 4
+                for first in range(0, n, window):
+                    part = data[4 * first : 4 * (first + window)]
+                    of.append(at)
+                    start.append(first)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    total.append(n)
             return {"doc_id": keys.take(of), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total}
 
         return work

@@ -179,6 +179,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _roots(codes: DataFrame, most: int) -> DataFrame:
+    """``fp`` and ``root``, one code of its component, for the distinct ``fp`` of ``codes``."""
+    roots = components(links(codes.select("fp"), most))
+    return codes.join(roots, codes["fp"] == roots["node"], "left").select(codes["*"], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable.
 
@@ -188,9 +194,7 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     """
     prints = stage(fingerprints(docs), "fingerprints")
     codes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    roots = components(links(codes.select("fp"), most))
-    rooted = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stage(rooted, "rooted")
+    rooted = stage(_roots(codes, most), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp", "left").select(
@@ -286,17 +290,33 @@ def alike_to_smaller(docs: DataFrame, least: float = 0.8, per_part: int = 256) -
     return live.select("doc_id").limit(0) if gone is None else gone.distinct()
 
 
+def _document(docs: DataFrame):
+    """A row's id and a hash of its text: what tells documents apart where an id comes twice."""
+    return F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+
+
 def keep_one(docs: DataFrame, most: int = 3, alike: float | None = None) -> DataFrame:
     """The rows of ``docs`` that lead their component, all columns kept.
 
-    Rows that repeat an id are one document, and one of them stays. Rows without an id all
-    stay, for nothing says which of them leads. With ``alike``, of those that lead, no two stay
+    A component's lead is its smallest id, of rows that share the id the one whose text has the
+    smallest hash; rows equal in id and text are one document, and one of them stays. So a text
+    goes only where one like it stays, whatever ids come twice. Rows without an id all stay,
+    for nothing says which of them leads. With ``alike``, of those that lead, no two stay
     whose 5-word shingles have that Jaccard similarity: most copies with edits lie further
-    apart than ``most`` bits.
+    apart than ``most`` bits. An empty table gives an empty result.
     """
-    lead = near_duplicates(docs, most).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null")
+    prints = stage(fingerprints(known.select(_document(docs).alias("doc_id"), "text")), "fingerprints")
+    codes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    lead = stage(_roots(codes, most).groupBy("root").agg(F.min("least").alias("lead")).select("lead"), "leads")
+
+    def led(lead: DataFrame) -> DataFrame:
+        named = lead.select(F.col("lead.doc_id").alias("__id"), F.col("lead.h").alias("__h"))
+        rows = known.withColumn("__own", _document(docs)["h"])
+        return rows.join(named, (rows["doc_id"] == named["__id"]) & (rows["__own"] == named["__h"]), "left_semi")
+
     if alike is not None:
-        lead = stage(lead, "leads")
-        lead = lead.join(alike_to_smaller(docs.join(lead, "doc_id", "left_semi"), alike), "doc_id", "left_anti")
-    kept = docs.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        gone = alike_to_smaller(led(lead).select(_document(docs).alias("doc_id"), "text").dropDuplicates(["doc_id"]), alike)
+        lead = lead.join(gone.withColumnRenamed("doc_id", "lead"), "lead", "left_anti")
+    kept = led(lead).dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
