@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -339,10 +340,52 @@ def test_similar_topk_is_exact_and_skips_cells(spark, max_distance, n):
         far = np.round(1 - unit @ unit[i], 12)
         want = sorted((d, rows[j][0]) for j, d in enumerate(far) if j != i and (j - i) % 2 == 0 and (max_distance is None or d <= max_distance))
         assert got.get(rows[i][0], []) == [x for _, x in want[:n]]
-    first, further = (v.count() for v in visited)
-    assert first == len(unit)
+    cells = {tuple(r) for r in visited[0].select("query_id", "grp", "cell").collect()}
     if n < 40:
-        assert further < len(unit) * 5 / 2  # of the other cells, more than half are skipped
+        assert len(cells) < len(unit) * (1 + 5 / 2)  # of the other cells, more than half are skipped
+
+
+def test_similar_topk_visits_grow_slower_than_the_corpus(spark):
+    rng = np.random.default_rng(4)
+    rates = []
+    for each in (20, 80):
+        # as many clusters as rows in each
+        points = np.concatenate([c + 0.02 * rng.normal(size=(each, 8)) for c in rng.normal(size=(each, 8))])
+        corpus = vectors(spark, [(f"id{i:05d}", "k", v.tolist()) for i, v in enumerate(points)])
+        queries, visited = corpus.where("crc32(cast(id as binary)) % 8 = 0"), []
+        got = {}
+        for r in retrieval.similar_topk(queries, corpus, 2, None, visited=visited).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        unit = points.astype(np.float32).astype(float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for query, found in got.items():
+            far = np.round(1 - unit @ unit[int(query[2:])], 12)
+            far[int(query[2:])] = np.inf
+            assert found == [f"id{j:05d}" for j in np.lexsort((np.arange(len(far)), far))[:2]]
+        index, width, *_ = retrieval._index(corpus.selectExpr("'all' as grp", "id", "cast(embedding as array<double>) as vector"), 8192, None)
+        place = retrieval._stored(index, width, 1)
+        rows = corpus.selectExpr("'all' as grp", "id", "cast(embedding as array<double>) as vector").mapInArrow(place, "grp string, id string, vector array<double>, cell long, block long")
+        sizes = rows.groupBy("grp", "cell").count()
+        met = visited[0].join(sizes, ["grp", "cell"]).selectExpr("sum(count) as n").first()["n"]
+        rates.append(met / len(got))
+        assert 1 <= len(index["all"].pivots) / math.sqrt(len(points)) <= 3
+    # sixteen times the rows
+    assert rates[1] < 6 * rates[0] and rates[1] < 0.05 * 6400, rates  # sixteen times the rows
+
+
+def test_vectors_of_another_length_count_as_filled_with_zeros(spark):
+    corpus = vectors(spark, [("a", "k", [1.0, 0.0]), ("b", "k", [1.0]), ("c", "k", [1.0, 0.0, 1.0]), ("e", "k", []), (None, "k", [0.5, 0.1])])
+    got = retrieval.similar_topk(corpus.where("id in ('a', 'c')"), corpus.where("id <> 'c'"), 3, None).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"], r["distance"]) for r in got] == [("a", "b", 0.0), ("c", "a", 0.2929), ("c", "b", 0.2929)]
+    assert retrieval.similar_topk(corpus, corpus.limit(0)).collect() == []
+    assert retrieval.similar_topk(corpus.limit(0), corpus).collect() == []
+
+
+def test_many_queries_are_cut_into_parts(spark):
+    rng = np.random.default_rng(9)
+    corpus = vectors(spark, [(f"id{i}", "k", [1.0, 0.5]) for i in range(50)] + [(f"x{i}", "k", rng.normal(size=2).tolist()) for i in range(30)])
+    whole = sorted(map(tuple, retrieval.similar_topk(corpus, corpus, 3, None).collect()))
+    assert sorted(map(tuple, retrieval.similar_topk(corpus, corpus, 3, None, block_rows=6, pivots=4).collect())) == whole and len(whole) == 240
 
 
 def flat(spark, **values):

@@ -9,7 +9,7 @@ def literal_frame(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def label_lookup(key, labels: dict):
-    """The label of ``key``; the key itself when it has none."""
+def label_lookup(key, labels: dict, other=None):
+    """The label of ``key``; when it has none, ``other`` or else the key itself."""
     pairs = [F.lit(x) for item in labels.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), key)
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), key if other is None else other)

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscope.functions import text
-from tillscope.functions.literals import literal_frame
+from tillscope.functions.literals import label_lookup, literal_frame
 from tillscope.operators.attribution import explained
 from tillscope.session import stage
 
+# The helpers below travel to the workers with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # How many neighbours, and the distance beyond which none is useful.
 NEIGHBOURS = 3
 MAX_DISTANCE = 0.6
@@ -51,30 +57,194 @@ def missing_documents(existing: DataFrame, flat: DataFrame) -> DataFrame:
 _PAIRS = "query_id string, id string, distance double"
 #: Rounding allowed for when a bound on an angle decides.
 _SLACK = 1e-6
+#: Groups that get cells of their own, and numbers that all their pivots may hold: the bound of the index.
+_GROUPS, _INDEX = 10_000, 1 << 22
+
+
+def _angles(unit: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ to.T, -1.0, 1.0))
+
+
+def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the rows with a direction, and these as unit vectors of ``width`` numbers.
+
+    A vector of another length counts as filled with zeros, so numbers beyond ``width``, which no
+    stored vector has, matter for the length alone. Null and zero vectors, and such with null,
+    NaN or infinite numbers have no direction.
+    """
+    sizes = column.value_lengths()
+    if column.null_count == 0 and column.flatten().null_count == 0 and len(column) and (sizes.to_numpy(zero_copy_only=False) == width).all():
+        at, unit = np.arange(len(column)), column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        size = np.linalg.norm(unit, axis=1)
+    else:
+        rows = [(i, np.array(v, np.float64)) for i, v in enumerate(column.to_pylist()) if v is not None and None not in v]
+        at, unit, size = np.array([i for i, _ in rows], np.int64), np.zeros((len(rows), width)), np.array([np.linalg.norm(v) for _, v in rows])
+        for k, (_, v) in enumerate(rows):
+            unit[k, : min(width, len(v))] = v[:width]
+    ok = np.flatnonzero((size > 0) & np.isfinite(size))
+    return at[ok], unit[ok] / size[ok, None]
+
+
+def _spread(unit: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of ``n`` rows far from each other: each is the farthest from those before it."""
+    chosen, nearest = [0], 1.0 - unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, 1.0 - unit @ unit[chosen[-1]])
+    return np.array(chosen)
+
+
+class _Cells:
+    """The cells of one group in two levels: rows under the nearest top pivot, there in the cell of the nearest pivot.
+
+    Pivots are stored rows. With every cell, and everything under a top pivot, goes the greatest
+    angle of a row to its pivot: rows within an angle of a query lie only where the query's angle
+    to the pivot is no more than both together.
+    """
+
+    def __init__(self, ids: list[str], unit: np.ndarray, most: int):
+        """From drawn rows: top pivots spread among all, and under each its share of ``most`` spread among its rows."""
+        tops = _spread(unit, max(1, math.ceil(math.sqrt(min(most, len(unit))))))
+        nearest = _angles(unit, unit[tops]).argmin(axis=1)
+        # every top pivot holds itself, so none is without cells
+        nearest[tops] = np.arange(len(tops))
+        chosen, self.under = [], []
+        for t, top in enumerate(tops):
+            own = np.append(top, np.setdiff1d(np.flatnonzero(nearest == t), tops))
+            picked = own[_spread(unit[own], max(1, round(most * len(own) / len(unit))))]
+            self.under.append(len(chosen) + np.arange(len(picked)))
+            chosen += picked.tolist()
+        self.ids, self.pivots, self.tops = np.array(ids, dtype=object)[chosen], unit[chosen], unit[tops]
+        pivots, tops = self.pivots, len(tops)
+        self.radius, self.top_radius, self.blocks = np.full(len(pivots), -1.0), np.full(tops, -1.0), np.ones(len(pivots), np.int64)
+        self.held, self.top_held = np.zeros(len(pivots), np.uint64), np.zeros(tops, np.uint64)
+
+    def tell(self, cell: int, top: int, n: int, radius: float, top_radius: float, held: int, block_rows: int) -> None:
+        """What was measured of a cell; ``held`` has a bit for every remainder of its ids' hashes."""
+        bits = np.uint64(held & 0xFFFFFFFFFFFFFFFF)
+        self.radius[cell], self.blocks[cell], self.held[cell] = radius, -(-n // block_rows), bits
+        self.top_radius[top] = max(self.top_radius[top], top_radius)
+        self.top_held[top] |= bits
+
+    def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every row its cell, its angle to the pivot, and the same of the top pivot."""
+        to_tops = _angles(unit, self.tops)
+        top = to_tops.argmin(axis=1)
+        cell, angle = np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        for t in np.unique(top):
+            rows, own = np.flatnonzero(top == t), self.under[t]
+            near = _angles(unit[rows], self.pivots[own])
+            best = near.argmin(axis=1)
+            cell[rows], angle[rows] = own[best], near[np.arange(len(rows)), best]
+        return cell, angle, top, to_tops[np.arange(len(unit)), top]
+
+    def visits(self, unit: np.ndarray, ids: np.ndarray, n: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of every cell that can hold one of the ``n`` nearest of a row within ``reach``.
+
+        The n-th nearest pivot is no nearer than the n-th nearest row, and the farthest place in a
+        cell with n other ids is no nearer either. Both are sought under the nearest top pivot,
+        and pivots among all where that has too few.
+        """
+        to_tops = _angles(unit, self.tops)
+        full, top_full = np.bitwise_count(self.held) > n, np.bitwise_count(self.top_held) > n
+        limit = (to_tops + np.where(top_full, self.top_radius, np.inf)).min(axis=1)
+        nearest = to_tops.argmin(axis=1)
+        for t in np.unique(nearest):
+            rows, own = np.flatnonzero(nearest == t), self.under[t]
+            if len(own) <= n:
+                own = np.arange(len(self.pivots))
+            near = _angles(unit[rows], self.pivots[own])
+            limit[rows] = np.minimum(limit[rows], (near + np.where(full[own], self.radius[own], np.inf)).min(axis=1))
+            near[ids[rows][:, None] == self.ids[own][None, :]] = np.inf
+            if len(own) >= n:
+                limit[rows] = np.minimum(limit[rows], np.partition(near, n - 1, axis=1)[:, n - 1])
+        limit = np.minimum(limit, reach) + _SLACK
+        found = []
+        for t, own in enumerate(self.under):
+            rows = np.flatnonzero(to_tops[:, t] - self.top_radius[t] <= limit) if self.top_radius[t] >= 0 else []
+            if len(rows):
+                near = _angles(unit[rows], self.pivots[own])
+                row, cell = np.nonzero((near - self.radius[own] <= limit[rows, None]) & (self.radius[own] >= 0))
+                found.append((rows[row], own[cell]))
+        return tuple(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+
+
+def _by_group(batch, width: int):
+    """(grp, ids, unit vectors) of every group in a batch."""
+    at, unit = _unit(batch.column("vector"), width)
+    grp = np.array(batch.column("grp").to_pylist(), dtype=object)[at]
+    ids = np.array(batch.column("id").to_pylist(), dtype=object)[at]
+    for g in set(grp.tolist()):
+        rows = np.flatnonzero(grp == g)
+        yield g, ids[rows], unit[rows]
+
+
+def _batch(columns: dict) -> pa.RecordBatch:
+    kinds = {"vector": pa.list_(pa.float64()), "wanted": pa.list_(pa.float64()), "cell": pa.int64(), "block": pa.int64(), "n": pa.int64(), "top": pa.int64(), "held": pa.int64(), "radius": pa.float64(), "top_radius": pa.float64()}
+    arrays = {}
+    for name, values in columns.items():
+        kind = kinds.get(name, pa.string())
+        if isinstance(values, np.ndarray) and values.ndim == 2:
+            ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+            arrays[name] = pa.ListArray.from_arrays(ends, np.ascontiguousarray(values).ravel())
+        else:
+            arrays[name] = pa.array(values, kind)
+    return pa.RecordBatch.from_pydict(arrays)
+
+
+def _cut(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The block of its cell that a row is in."""
+    return np.array([zlib.crc32(i.encode()) for i in ids], np.int64) % blocks
+
+
+def _measured(index: dict[str, _Cells], width: int):
+    """Rows, radius and top radius of every cell, batch by batch."""
+
+    def measure(batches):
+        for batch in batches:
+            for grp, ids, unit in _by_group(batch, width):
+                if grp in index:
+                    cell, angle, top, top_angle = index[grp].place(unit)
+                    found, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+                    radius, top_radius, tops = np.zeros(len(found)), np.zeros(len(found)), np.zeros(len(found), np.int64)
+                    np.maximum.at(radius, at, angle)
+                    np.maximum.at(top_radius, at, top_angle)
+                    tops[at] = top
+                    held = np.zeros(len(found), np.uint64)
+                    np.bitwise_or.at(held, at, np.uint64(1) << np.array([zlib.crc32(i.encode()) & 63 for i in ids], np.uint64))
+                    yield _batch({"grp": [grp] * len(found), "cell": found, "n": n, "radius": radius, "top": tops, "top_radius": top_radius, "held": held.view(np.int64)})
+
+    return measure
+
+
+def _stored(index: dict[str, _Cells], width: int, other_blocks: int):
+    """Stored rows with their cell and block; groups without cells are one cell, -1."""
+
+    def place(batches):
+        for batch in batches:
+            for grp, ids, unit in _by_group(batch, width):
+                cells = index.get(grp)
+                cell = cells.place(unit)[0] if cells else np.full(len(ids), -1)
+                block = _cut(ids, cells.blocks[cell] if cells else other_blocks)
+                yield _batch({"grp": [grp] * len(ids), "id": ids, "vector": unit, "cell": cell, "block": block})
+
+    return place
 
 
-def _placed(pivots: np.ndarray):
-    """Unit vectors, their angles to all pivots, and the nearest pivot; vectors without a direction go."""
+def _asked(index: dict[str, _Cells], width: int, other_blocks: int, n: int, reach: float, vectors: bool = True):
+    """Query rows once for every block that they visit."""
 
     def place(batches):
         for batch in batches:
-            rows = [(i, v) for i, v in enumerate(batch.column("vector").to_pylist()) if v is not None and None not in v]
-            unit = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1)
-            size = np.linalg.norm(unit, axis=1)
-            ok = np.flatnonzero((size > 0) & np.isfinite(size))
-            unit = unit[ok] / size[ok, None]
-            angles = np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0)) if len(ok) else np.empty((0, len(pivots)))
-            grp, ids = batch.column("grp").to_pylist(), batch.column("id").to_pylist()
-            at = [rows[i][0] for i in ok]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "grp": pa.array([grp[i] for i in at], pa.string()),
-                    "id": pa.array([ids[i] for i in at], pa.string()),
-                    "vector": pa.array(list(unit), pa.list_(pa.float64())),
-                    "angles": pa.array(list(angles), pa.list_(pa.float64())),
-                    "cell": pa.array(angles.argmin(axis=1) if len(ok) else [], pa.int32()),
-                }
-            )
+            for grp, ids, unit in _by_group(batch, width):
+                cells = index.get(grp)
+                row, cell = cells.visits(unit, ids, n, reach) if cells else (np.arange(len(ids)), np.full(len(ids), -1))
+                blocks = cells.blocks[cell] if cells else np.full(len(row), other_blocks)
+                block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                row, cell = np.repeat(row, blocks), np.repeat(cell, blocks)
+                made = {"grp": [grp] * len(row), "query_id": ids[row], "cell": cell, "block": block}
+                if len(row):
+                    yield _batch(made | {"wanted": unit[row]} if vectors else made)
 
     return place
 
@@ -122,32 +292,65 @@ def _block_neighbours(n: int, max_distance: float | None, chunk: int = 256):
     return search
 
 
-def _search(queries: DataFrame, corpus: DataFrame, cells: DataFrame, n: int, max_distance: float | None, block_rows: int) -> DataFrame:
-    """The n nearest of every (query, cell) in ``queries``: blocks of the cell meet blocks of its queries."""
-    group = ["grp", "cell"]
-    own = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("query_blocks"))
-    sizes = stage(own.join(cells.select(*group, F.ceil(F.col("n") / block_rows).cast("int").alias("corpus_blocks")), group), "block_sizes")
-
-    def block(column, total):
-        return F.pmod(F.xxhash64(column), F.col(total)).cast("int")
-
-    def every(total):
-        return F.explode(F.sequence(F.lit(0), F.col(total) - 1))
-
-    key = [*group, "query_block", "corpus_block"]
-    q = queries.join(sizes, group).withColumn("query_block", block("query_id", "query_blocks"))
-    q = q.withColumn("corpus_block", every("corpus_blocks")).select(*key, "query_id", "wanted")
-    c = corpus.join(sizes, group).withColumn("corpus_block", block("id", "corpus_blocks"))
-    c = c.withColumn("query_block", every("query_blocks")).select(*key, "id", "vector")
-    found = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(_block_neighbours(n, max_distance), _PAIRS)
-    return _nearest(found, n)
-
-
 def _nearest(found: DataFrame, n: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def _index(corpus: DataFrame, block_rows: int, pivots: int | None) -> tuple[dict[str, _Cells], int, int, int]:
+    """The cells of each group, the width of the vectors, the blocks of a group without cells, and the rows.
+
+    A group of n rows gets about 2 sqrt(n) pivots, spread among four times as many rows drawn by
+    a hash of the id, and their number is cut only where all would pass the index's bound; groups of few rows, and
+    those beyond the largest 10,000, are one cell each.
+    """
+    sizes = corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
+    largest = sizes.orderBy(F.desc("n"), "grp").limit(_GROUPS).collect()
+    width = max((r["width"] for r in largest), default=0)
+    if len(largest) == _GROUPS:
+        width = sizes.agg(F.max("width")).first()[0]
+    if width < 1:
+        return {}, 0, 1, 0
+    quota = {r["grp"]: pivots or math.ceil(2 * math.sqrt(r["n"])) for r in largest if pivots or r["n"] >= 64}
+    share = min(1.0, _INDEX / width / max(1, sum(quota.values())))
+    quota = {g: max(1, int(q * share)) for g, q in quota.items()}
+    # squares of finite numbers above zero: NaN is the greatest number, a null makes the sum null
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    able = corpus.where((squares > 0) & (squares < float("inf")))
+    draw = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 30))
+    counts = {r["grp"]: r["n"] for r in largest}
+    rows = []
+    if quota:
+        # rows without a direction leave the draw, so it is wider than needed
+        below = {g: min(1 << 30, int(8 * q / counts[g] * (1 << 30)) + 1) for g, q in quota.items()}
+        if len(below) <= 100:
+            drawn = able.withColumn("draw", draw).where(F.col("draw") < label_lookup(F.col("grp"), below, F.lit(0)))
+        else:
+            wide = corpus.sparkSession.createDataFrame(list(below.items()), "of string, below long")
+            drawn = able.withColumn("draw", draw).join(wide, F.col("grp") == F.col("of")).where("draw < below")
+        rows = drawn.select("grp", "id", "vector", "draw").orderBy("draw", "id").limit(4 * sum(quota.values())).collect()
+        short = set(quota) - {r["grp"] for r in rows}
+        if short:
+            rows += able.where(F.col("grp").isin(*sorted(short)[:1000])).select("grp", "id", "vector", draw.alias("draw")).orderBy("draw", "id").limit(4 * sum(quota.values())).collect()
+    index = {}
+    for grp, most in quota.items():
+        own = [r for r in rows if r["grp"] == grp][: 4 * most]
+        if own:
+            at, unit = _unit(pa.array([r["vector"] for r in own], pa.list_(pa.float64())), width)
+            if len(at):
+                index[grp] = _Cells([own[i]["id"] for i in at], unit, most)
+    others = [r["n"] for r in largest if r["grp"] not in index]
+    if len(largest) == _GROUPS:
+        others.append(largest[-1]["n"])
+    if index:
+        measured = corpus.mapInArrow(_measured(index, width), "grp string, cell long, n long, radius double, top long, top_radius double, held long")
+        most = [F.max(c).alias(c) for c in ("radius", "top_radius")]
+        for r in measured.groupBy("grp", "cell", "top").agg(F.sum("n").alias("n"), *most, F.bit_or("held").alias("held")).collect():
+            index[r["grp"]].tell(r["cell"], r["top"], r["n"], r["radius"], r["top_radius"], r["held"], block_rows)
+    n_rows = sum(r["n"] for r in largest) if len(largest) < _GROUPS else corpus.count()
+    return index, width, max(1, -(-max(others, default=1) // block_rows)), n_rows
+
+
 def similar_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -155,55 +358,48 @@ def similar_topk(
     max_distance: float | None = MAX_DISTANCE,
     same_kpi_only: bool = False,
     block_rows: int = 8192,
-    pivots: int = 16,
+    pivots: int | None = None,
     visited: list | None = None,
 ) -> DataFrame:
     """The ``n`` nearest corpus rows by cosine distance for each query row, exactly.
 
-    Both sides carry ``(id, kpi_name, embedding)``; a row never retrieves itself. Corpus rows
-    belong to the cell of the nearest of a few pivots. A query first visits the cell that may
-    hold the nearest row; of the others it then visits those that can hold a row within
-    ``max_distance`` and within its n-th best so far, by the triangle inequality on angles. The
-    rows of a cell and its queries meet in blocks of about ``block_rows``, each pair of blocks in
-    its own task, which ships only its best ``n`` per query. ``visited`` takes, for inspection,
-    the frames of (query, cell) visits.
+    Both sides carry ``(id, kpi_name, embedding)``; a row never retrieves itself. Corpus rows lie
+    in cells of two levels, about twice the square root of their number (``pivots`` names another).
+    A query visits the cells that can hold a row within ``max_distance`` and within its n-th
+    nearest pivot, by the triangle inequality on angles; among rows in clusters that is about
+    n cells' worth of rows. A cell's rows and its visitors meet in blocks of about
+    ``block_rows``, each in its own task, which ships only its best ``n`` per query. The index
+    of pivots and radii is at most 32 MB. Vectors of another length count as filled with
+    zeros; those without a direction (null, zero, NaN) find nothing and are not found.
+    ``visited`` takes, for inspection, the frame of (query, cell) visits.
     """
-    group = F.col("kpi_name").cast("string") if same_kpi_only else F.lit("all")
+    group = F.coalesce(F.col("kpi_name").cast("string"), F.lit("")) if same_kpi_only else F.lit("all")
 
     def rows(df):
-        return df.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-
-    # NaN is the greatest number, a null element makes the sum null: neither has a direction
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    drawn = rows(corpus).where((squares > 0) & (squares < float("inf"))).select("vector").orderBy(F.xxhash64("id"), "id").limit(pivots)
-    directions = [v for v in (np.array(r["vector"], np.float64) for r in drawn.collect()) if np.isfinite(v).all() and np.linalg.norm(v) > 0]
-    if not directions:
-        return corpus.sparkSession.createDataFrame([], "query_id string, id string, distance double, rank int")
-    centres = np.array([v / np.linalg.norm(v) for v in directions])
-    schema = "grp string, id string, vector array<double>, angles array<double>, cell int"
-    c = stage(rows(corpus).mapInArrow(_placed(centres), schema), "placed_corpus")
-    q = stage(rows(queries).mapInArrow(_placed(centres), schema), "placed_queries").withColumnRenamed("id", "query_id")
-    cells = stage(
-        c.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.element_at("angles", F.col("cell") + 1)).alias("radius")), "cells"
-    )
-    listed = cells.groupBy("grp").agg(F.collect_list(F.struct("cell", "radius")).alias("cells"))
-    bounds = F.transform(
-        "cells", lambda x: F.struct((F.element_at("angles", x["cell"] + 1) - x["radius"]).alias("least"), x["cell"].alias("cell"))
-    )
-    q = q.join(listed, "grp").select("grp", "query_id", F.col("vector").alias("wanted"), F.sort_array(bounds).alias("bounds"))
-    q = stage(q, "bounded_queries")
+        known = df.where(F.col("kpi_name").isNotNull()) if same_kpi_only else df
+        return known.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
-    first = q.withColumn("cell", F.col("bounds")[0]["cell"])
-    near = stage(_search(first, c, cells, n, max_distance, block_rows), "first_cells")
+    spark = corpus.sparkSession
+    index, width, other_blocks, n_rows = _index(rows(corpus), block_rows, pivots)
+    if not width:
+        return spark.createDataFrame([], "query_id string, id string, distance double, rank int")
     reach = math.pi if max_distance is None else math.acos(max(-1.0, 1.0 - max_distance))
-    nth = near.where(F.col("rank") == n).select("query_id", F.acos(F.greatest(F.lit(-1.0), 1 - F.col("distance"))).alias("nth"))
-    limit = F.least(F.coalesce("nth", F.lit(reach)), F.lit(reach)) + _SLACK
-    rest = F.filter(F.slice("bounds", 2, pivots), lambda x: x["least"] <= F.col("limit"))
-    more = q.join(nth, "query_id", "left").withColumn("limit", limit).select("grp", "query_id", "wanted", F.explode(rest).alias("b"))
-    more = stage(more.select("grp", "query_id", "wanted", F.col("b.cell").alias("cell")), "further_cells")
+    any_queries = n_rows if queries is corpus else queries.count()
+    c = rows(corpus).mapInArrow(_stored(index, width, other_blocks), "grp string, id string, vector array<double>, cell long, block long")
+    ask = lambda vectors: _asked(index, width, other_blocks, n, reach, vectors)
+    place = "grp string, query_id string, cell long, block long"
+    q = rows(queries).mapInArrow(ask(True), f"{place}, wanted array<double>")
     if visited is not None:
-        visited += [first, more]
-    found = near.drop("rank").unionByName(_search(more, c, cells, n, max_distance, block_rows).drop("rank"))
+        visited.append(rows(queries).mapInArrow(ask(False), place))
+    key = ["grp", "cell", "block"]
+    # the visitors of a block are many only if the queries are
+    if any_queries > block_rows:
+        visits = rows(queries).mapInArrow(ask(False), place).groupBy("grp", "cell").agg(F.count_if(F.col("block") == 0).alias("visits"))
+        parts = stage(visits.select("grp", "cell", F.ceil(F.col("visits") / block_rows).cast("int").alias("parts")), "visitor_parts")
+        q = q.join(parts, ["grp", "cell"]).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int"))
+        c = c.join(parts, ["grp", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        key.append("part")
+    found = q.select(*key, "query_id", "wanted").groupBy(*key).cogroup(c.select(*key, "id", "vector").groupBy(*key)).applyInArrow(_block_neighbours(n, max_distance), _PAIRS)
     return _nearest(found, n).withColumn("distance", F.round("distance", 4))
 
 
