@@ -370,13 +370,13 @@ def similar_topk(
     n cells' worth of rows. A cell's rows and its visitors meet in blocks of about
     ``block_rows``, each in its own task, which ships only its best ``n`` per query. The index
     of pivots and radii is at most 32 MB. Vectors of another length count as filled with
-    zeros; those without a direction (null, zero, NaN) find nothing and are not found.
+    zeros; those without a direction (null, zero, NaN) or an id find nothing and are not found.
     ``visited`` takes, for inspection, the frame of (query, cell) visits.
     """
-    group = F.coalesce(F.col("kpi_name").cast("string"), F.lit("")) if same_kpi_only else F.lit("all")
+    group = F.col("kpi_name").cast("string") if same_kpi_only else F.lit("all")
 
     def rows(df):
-        known = df.where(F.col("kpi_name").isNotNull()) if same_kpi_only else df
+        known = df.where("id is not null and kpi_name is not null") if same_kpi_only else df.where("id is not null")
         return known.select(group.alias("grp"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
     spark = corpus.sparkSession
