@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 import math
 
 import numpy as np
@@ -112,16 +113,51 @@ def test_trend_statistics_against_all_pairs(make_series):
     assert row["var_s"] == pytest.approx(variance)
 
 
-@pytest.mark.parametrize("kind", ["walk", "ties", "constant"])
+SERIES = {
+    "walk": lambda rng, n: rng.normal(size=n).cumsum(),
+    "ties": lambda rng, n: rng.integers(0, 4, n).astype(float),
+    "tenths": lambda rng, n: np.round(rng.normal(size=n), 1),
+    "constant": lambda rng, n: np.ones(n),
+    "line": lambda rng, n: np.arange(n) * 0.1,
+    "outliers": lambda rng, n: np.where(rng.random(n) < 0.1, 1e9, rng.random(n)),
+    "offset": lambda rng, n: 1e6 + rng.normal(size=n),
+}
+
+
+def _all_slopes(values):
+    i, j = np.triu_indices(len(values), 1)
+    return (values[j] - values[i]) / (j - i)
+
+
+@pytest.mark.parametrize("kind", SERIES)
 def test_long_series_slope_is_exact(monkeypatch, kind):
     rng = np.random.default_rng(7)
-    values = {"walk": rng.normal(size=301).cumsum(), "ties": rng.integers(0, 4, 301).astype(float), "constant": np.ones(50)}[kind]
-    i, j = np.triu_indices(len(values), 1)
-    direct = np.median((values[j] - values[i]) / (j - i))
-    assert trend.median_slope(values) == direct
-    monkeypatch.setattr(trend, "_HELD", 500)
-    monkeypatch.setattr(trend, "_BINS", 16)
-    assert trend.median_slope(values) == direct
+    monkeypatch.setattr(trend, "_HELD", 60)
+    monkeypatch.setattr(trend, "_DRAWN", 300)
+    for n in (13, 40, 41, 301):
+        values = SERIES[kind](rng, n)
+        assert trend.median_slope(values) == pytest.approx(np.median(_all_slopes(values)), rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 200])
+def test_inversions_are_counted_and_listed(n):
+    rng = np.random.default_rng(n)
+    for ranks in (rng.permutation(n), rng.integers(0, 5, n), np.zeros(n, int)):
+        i, j = np.triu_indices(n, 1)
+        wrong = ranks[i] > ranks[j]
+        assert trend.inversions(ranks) == wrong.sum()
+        earlier, later = trend._inverted_pairs(ranks)
+        assert sorted(zip(earlier.tolist(), later.tolist())) == sorted(zip(i[wrong].tolist(), j[wrong].tolist()))
+
+
+def test_a_hundred_thousand_points_take_seconds():
+    rng = np.random.default_rng(1)
+    values = 0.01 * np.arange(100_000) + rng.normal(size=100_000)
+    start = time.perf_counter()
+    row = trend.series_statistics(values)
+    assert time.perf_counter() - start < 20
+    assert row["slope"] == pytest.approx(0.01, abs=1e-6)
+    assert row["concordant"] + row["discordant"] + row["tied"] == 100_000 * 99_999 // 2
 
 
 def test_detect_all_skips_two_series(make_series):

@@ -1,14 +1,15 @@
 import datetime as dt
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillscope.operators import monitoring, quality, retrieval
+from tillscope.operators import monitoring, quality, quantiles, retrieval
 from tillscope.plans import marts, precompute, reports
 from tillscope.schemas import CALL_LOG, NARRATIVE_ENTRY, ROOT_CAUSES_FLAT
-from tillscope.sources import files, tables
+from tillscope.sources import files, splitting, tables, versions
 from tillscope.sources import transactions as src
 
 DAY = dt.date(2021, 3, 28)
@@ -37,13 +38,142 @@ def test_dedupe(spark):
     assert tables.keep_last(df, ["k"], "seq").first()["confidence"] == 0.7
 
 
-def test_rewrite_table_read_from_itself(spark, tmp_path):
+def test_reload_of_a_table_read_from_itself(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).write.parquet(path)
-    tables.rewrite(spark.read.parquet(path).where("id > 6"), path)
-    assert tables.row_count(spark.read.parquet(path)).first()["n"] == 3
+    assert versions.read_table(spark, path).count() == 10
+    versions.reload_table(versions.read_table(spark, path).where("id > 6"), path)
+    assert tables.row_count(versions.read_table(spark, path)).first()["n"] == 3
     tables.append(spark.range(2), path)
-    assert spark.read.parquet(path).count() == 5
+    assert versions.read_table(spark, path).count() == 5
+    reader = versions.read_table(spark, path)
+    versions.reload_table(versions.read_table(spark, path).where("id > 100"), path)
+    assert versions.read_table(spark, path).count() == 0 and reader.count() == 5
+    for n in (1, 2, 3):
+        versions.reload_table(spark.range(n), path)
+    assert versions.read_table(spark, path).count() == 3
+    assert len([p for p in (tmp_path / "t").iterdir() if p.is_dir() and p.name != "versions"]) == 2
+
+
+def test_a_failed_reload_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    versions.reload_table(spark.range(4), path)
+    broken = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        versions.reload_table(broken, path)
+    assert versions.read_table(spark, path).count() == 4
+
+    def fails(*_):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(versions, "publish", fails)
+    with pytest.raises(OSError):
+        versions.reload_table(spark.range(7), path)
+    assert versions.read_table(spark, path).count() == 4
+
+
+def test_merge_writes_touched_folders_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(k, 2000 + k % 4, f"v{k}", "keep") for k in range(40)] + [(100, None, "none", "keep")]
+    spark.createDataFrame(rows, "k int, year int, v string, w string").write.partitionBy("year").parquet(path)
+
+    def written():
+        return {f.name: {p.name for p in f.glob("*.parquet")} for f in (tmp_path / "t").iterdir() if f.is_dir()}
+
+    before = written()
+    batch = [(1, 2001, "new", "lost"), (77, 2001, "added", "given"), (5, 1999, "old year", "given"), (None, 2003, "null key", "given")]
+    tables.merge_touched(path, spark.createDataFrame(batch, "k int, year int, v string, w string"), ["k", "year"], ["v"], ["year"])
+    after = written()
+    assert all(after[f] == before[f] for f in ("year=2000", "year=2002", "year=__HIVE_DEFAULT_PARTITION__"))
+    assert after["year=2001"].isdisjoint(before["year=2001"]) and "year=1999" in after
+    got = {(r["k"], r["year"], r["v"], r["w"]) for r in spark.read.parquet(path).collect()}
+    assert got == ({tuple(r) for r in rows} - {(1, 2001, "v1", "keep")}) | {(1, 2001, "new", "keep"), *batch[1:]}
+    tables.merge_touched(path, spark.createDataFrame([], "k int, year int, v string, w string"), ["k", "year"], ["v"], ["year"])
+    assert written() == after
+    tables.merge_touched(path, spark.createDataFrame([(200, None, "x", "y")], "k int, year int, v string, w string"), ["k", "year"], ["v"], ["year"])
+    assert spark.read.parquet(path).where("year is null").count() == 2
+    with pytest.raises(ValueError):
+        tables.merge_touched(path, spark.createDataFrame(batch, "k int, year int, v string, w string"), ["k"], ["v"], ["year"])
+
+
+# ------------------------------------------------------------- files cut anywhere
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of some hundred bytes."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def cut(size):
+        for k in keep:
+            spark.conf.set(k, size)
+
+    yield cut
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+FIELDS = ["plain", "", "two\nlines", 'a "quoted" word', "comma, inside", "é Latin", "\n\n", '"', "x" * 700, "many\n" * 90, "tab\t", " edges "]
+
+
+@pytest.mark.parametrize("size", [150, 1000, 10**8])
+def test_quoted_breaks_are_read_in_many_tasks(spark, tmp_path, small_ranges, size):
+    rng = np.random.default_rng(size)
+    want = []
+    for part in range(2):
+        rows = [(str(i), FIELDS[rng.integers(0, len(FIELDS))], FIELDS[rng.integers(0, len(FIELDS))]) for i in range(60)]
+        lines = [",".join('"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\n') else v for v in r) for r in [("id", "a", "b"), *rows]]
+        end = "\r\n" if part else "\n"
+        (tmp_path / f"f{part}.csv").write_bytes((end.join(lines) + (end if size != 150 else "")).encode("latin-1"))
+        want += rows
+    small_ranges(size)
+    records = splitting.csv_records(spark, str(tmp_path))
+    assert size == 10**8 or records.rdd.getNumPartitions() > 4
+    parsed = records.select(F.from_csv("value", "id string, a string, b string", {"escape": '"', "emptyValue": ""}).alias("r")).select("r.*")
+    assert sorted((r["id"], r["a"] or "", r["b"] or "") for r in parsed.collect()) == sorted(want)
+
+
+def test_csv_that_ends_inside_quotes(spark, tmp_path, small_ranges):
+    (tmp_path / "f.csv").write_text('id,a\n1,"x\ny"\n\n2,"open\nto the end' + "\nline" * 50)
+    small_ranges(40)
+    got = sorted(r["value"] for r in splitting.csv_records(spark, str(tmp_path)).collect())
+    assert got == ['1,"x\ny"', '2,"open\nto the end' + "\nline" * 50]
+    (tmp_path / "none.csv").write_text("")
+    assert splitting.csv_records(spark, str(tmp_path / "none.csv")).collect() == []
+
+
+ENTRY = "a string, n long, inner struct<x:string>, l array<string>"
+
+
+@pytest.mark.parametrize("size,indent", [(200, None), (300, 2), (10**8, None)])
+def test_one_json_object_is_read_in_many_tasks(spark, tmp_path, small_ranges, size, indent):
+    texts = ["", "a } brace", '{"not": "an entry"}', 'quote " and \\ slash', "line\nbreak", "é ü", "[,]", "x" * 500, '}"}', "\\"]
+    entries = {f"k{i} {texts[i % 10][:9]}": {"a": texts[i % 10], "n": i, "inner": {"x": texts[(i * 3) % 10]}, "l": [texts[(i * 7) % 10]] * (i % 3)} for i in range(30)}
+    mixed = dict(entries)
+    mixed["scalar"], mixed["list"], mixed["null"], mixed["text"] = 5, [1, [2]], None, "} {"
+    mixed["last one"] = {"a": "z", "n": 1000}
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "object.json").write_text(json.dumps(mixed, indent=indent, ensure_ascii=bool(indent)))
+    (tmp_path / "o" / "list.json").write_text("\n " + json.dumps([7, *entries.values(), "text"], indent=indent))
+    for name, text in (("empty", "{}"), ("none", "[]"), ("blank", " \n"), ("scalars", '{"a": 1}')):
+        (tmp_path / "o" / f"{name}.json").write_text(text)
+    small_ranges(size)
+    schema = spark.createDataFrame([], ENTRY).schema
+    got = files.read_keyed_json(spark, str(tmp_path / "o"), schema).collect()
+    full = lambda e: (e["a"], e["n"], (e.get("inner") or {}).get("x"), e.get("l"))
+    want = [(k, *full(e)) for k, e in mixed.items() if isinstance(e, dict)] + [(None, *full(e)) for e in entries.values()]
+    assert sorted((r["key"] or "", r["a"], r["n"]) for r in got) == sorted((k or "", a, n) for k, a, n, _, _ in want)
+    assert sorted(map(repr, ((r["key"], r["a"], r["n"], r["inner"] and r["inner"]["x"], r["l"]) for r in got))) == sorted(map(repr, want))
+
+
+def test_a_json_object_of_many_entries(spark, tmp_path, small_ranges):
+    path = tmp_path / "many.json"
+    with path.open("w") as out:
+        out.write("{" + ",".join(f'"k{i}": {{"a": "text }} {i}", "n": {i}}}' for i in range(200_000)) + "}")
+    small_ranges(1 << 20)
+    rows = files.read_keyed_json(spark, str(path), spark.createDataFrame([], "a string, n long").schema)
+    assert rows.rdd.getNumPartitions() > 4
+    assert rows.agg(F.count("*"), F.sum("n"), F.count_distinct("key")).first()[:] == (200_000, 199_999 * 100_000, 200_000)
 
 
 def test_resolve_and_default(spark):
@@ -198,6 +328,48 @@ def test_quantiles_match_the_builtin(spark, n):
     assert (row["q1"], row["q3"], row["n_values"]) == (q1, q3, n)
 
 
+@pytest.mark.parametrize("held,steps", [(20_000, 1000), (4, 10)])
+def test_quantiles_of_awkward_columns(spark, monkeypatch, held, steps):
+    monkeypatch.setattr(quantiles, "_HELD", held)
+    monkeypatch.setattr(quantiles, "_STEPS", steps)
+    rng = np.random.default_rng(2)
+    columns = {
+        "distinct": rng.normal(size=3000).tolist(),
+        "ties": rng.integers(0, 3, 500).astype(float).tolist(),
+        "range": (10.0 ** rng.integers(-300, 300, 400) * rng.choice([-1, 1], 400)).tolist(),
+        "one": [4.5],
+        "two": [1.0, None, 2.0],
+        "spike": [0.0] * 900 + rng.random(100).tolist(),
+    }
+    for name, values in columns.items():
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        known = np.array([v for v in values if v is not None])
+        got, n = quantiles.quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0])
+        assert n == len(known) and got == pytest.approx(np.quantile(known, [0, 0.25, 0.5, 0.75, 1]).tolist(), rel=1e-12, abs=0), name
+    nan = spark.createDataFrame([(v,) for v in (1.0, float("nan"), 3.0, 2.0)], "x double")
+    got, n = quantiles.quantiles(nan, "x", [0.0, 2 / 3, 1.0])
+    assert got[:2] == [1.0, 3.0] and math.isnan(got[2]) and n == 4
+    assert quantiles.quantiles(nan.limit(0), "x", [0.5]) == ([None], 0)
+
+
+@pytest.mark.parametrize("colliding", [False, True])
+def test_duplicates_are_compared_in_full_where_fingerprints_repeat(spark, monkeypatch, colliding):
+    if colliding:
+        monkeypatch.setattr(src, "fingerprint", lambda df: [F.crc32(F.col("c").cast("binary")) % 3, F.lit(0).cast("long")])
+    rows = [("a", None, "x"), (None, "a", "x"), ("a", None, "x"), ("ab", "c", "y"), ("a", "bc", "y"), (None, None, "z"), (None, None, "z"), ("q", "r", "w")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    assert sorted(map(tuple, src.dedupe_transactions(df).collect()), key=repr) == sorted(set(rows), key=repr)
+    row = quality.duplicate_rate(df).first()
+    assert (row["total_rows"], row["distinct_rows"]) == (8, 6)
+    assert quality.duplicate_rate(df.limit(0)).first()["duplicate_rate"] == 0.0
+
+
+def test_only_repeated_rows_are_shuffled_whole(spark):
+    df = spark.range(1000).select("id", F.repeat(F.lit("w"), 500).alias("wide"))
+    counts, repeated = src.repeated_rows(df.unionByName(df.where("id < 3")))
+    assert counts.columns == ["_h0", "_h1", "n"] and repeated.count() == 6
+
+
 def test_duplicates_gaps_and_counts(make_tx):
     row = ("1", "2021-03-01 10:00", "A", 1, 1, "c", "X")
     tx = make_tx([row, row, ("2", "2021-03-12 10:00", "A", 1, 1, "c", "X")])

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from tillscope import catalogue as cat
 from tillscope.functions import dates
-from tillscope.operators.quantiles import quantiles, value_histogram
+from tillscope.operators.quantiles import quantiles
+from tillscope.sources.transactions import repeated_rows
 from tillscope.schemas import TRANSACTIONS
 
 _FAMILIES = {
@@ -251,21 +252,15 @@ def zero_price_share(df: DataFrame, limit: float = cat.MAX_ZERO_PRICE_SHARE) ->
 
 
 def iqr_outliers(df: DataFrame, column: str = "Quantity", multiplier: float = cat.IQR_MULTIPLIER) -> DataFrame:
-    """Exact quartile fences and the rows outside them, from the value histogram."""
-    histogram = value_histogram(df, column)
-    # One row of quartiles, read back as a scalar subquery rather than joined.
-    quartiles = quantiles(histogram, [0.25, 0.75]).select(F.struct("q0", "q1")).scalar()
-    v, n, q1, q3 = F.col("v"), F.col("n"), F.col("q1"), F.col("q3")
-    fenced = (
-        histogram.withColumn("q", quartiles)
-        .withColumns({"q1": F.col("q")["q0"], "q3": F.col("q")["q1"]})
-        .withColumns({"lower_fence": q1 - multiplier * (q3 - q1), "upper_fence": q3 + multiplier * (q3 - q1)})
-    )
-    outside = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
-    return fenced.agg(
-        *[F.max(c).alias(c) for c in ("q1", "q3", "lower_fence", "upper_fence")],
-        F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("outliers"),
-        F.coalesce(F.sum(n), F.lit(0)).alias("n_values"),
+    """Exact quartile fences and the rows outside them, in counting passes over the column."""
+    (q1, q3), _ = quantiles(df, column, [0.25, 0.75])
+    fences = (None, None) if q1 is None else (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
+    v = F.col(column).cast("double")
+    low, high = (F.lit(f).cast("double") for f in fences)
+    return df.agg(
+        *[F.lit(x).cast("double").alias(n) for n, x in (("q1", q1), ("q3", q3), ("lower_fence", fences[0]), ("upper_fence", fences[1]))],
+        F.count_if((v < low) | (v > high)).alias("outliers"),
+        F.count(v).alias("n_values"),
     )
 
 
@@ -312,11 +307,17 @@ def _seams(edges: DataFrame, span: int) -> DataFrame:
 
 
 def duplicate_rate(df: DataFrame, limit: float = cat.MAX_DUPLICATE_RATE) -> DataFrame:
-    """Share of rows that repeat an earlier row in every column."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    rate = F.coalesce(_share(F.sum(F.col("_n") - 1), F.sum("_n")), F.lit(0.0))
-    return groups.agg(
-        F.sum("_n").alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"), rate.alias("duplicate_rate")
+    """Share of rows that repeat an earlier row in every column.
+
+    Rows are counted by fingerprint, so what is shuffled does not depend on their width; those
+    whose fingerprint repeats are then compared in full.
+    """
+    counts, repeated = repeated_rows(df)
+    groups = repeated.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.where("n = 1").select("n").unionByName(groups.select("n"))
+    rate = F.coalesce(_share(F.sum(F.col("n") - 1), F.sum("n")), F.lit(0.0))
+    return parts.agg(
+        F.sum("n").alias("total_rows"), F.count(F.lit(1)).alias("distinct_rows"), rate.alias("duplicate_rate")
     ).withColumn("passes", F.col("duplicate_rate") <= limit)
 
 

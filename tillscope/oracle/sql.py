@@ -81,6 +81,12 @@ Q["upsert_rows"] = f"""
 SELECT coalesce(t.CustomerID, b.CustomerID) AS CustomerID, CASE WHEN b.lines IS NOT NULL THEN b.units ELSE t.units END AS units,
        CASE WHEN t.lines IS NOT NULL THEN t.lines ELSE b.lines END AS lines, CASE WHEN b.lines IS NOT NULL THEN b.seen ELSE t.seen END AS seen
 FROM {_customers(0)} t FULL JOIN {_customers(1)} b ON t.CustomerID = b.CustomerID"""
+CHANGED = "SELECT kpi_name, date, value * 2 AS value FROM series WHERE value IS NOT NULL AND year(date) IN (1995, 1997) AND month(date) = 3"
+Q["upsert_touched_partitions"] = f"""
+SELECT kpi_name, date, CAST(year(date) AS INTEGER) AS year, round(value, 4) AS value, CAST(load AS INTEGER) AS load FROM (
+  SELECT s.kpi_name, s.date, coalesce(c.value, s.value) AS value, 1 AS load FROM series s
+  LEFT JOIN ({CHANGED}) c ON c.kpi_name = s.kpi_name AND c.date = s.date WHERE s.value IS NOT NULL
+  UNION ALL SELECT 'new_kpi', date, value / 2, 2 FROM ({CHANGED}) WHERE kpi_name = 'order_count')"""
 Q["table_row_count"] = "SELECT count(*) AS n FROM raw"
 Q["truncate_reload"] = (
     "SELECT country, count(*) AS n, CAST(2 * sum(quantity) AS BIGINT) AS units FROM raw GROUP BY 1"
@@ -500,10 +506,11 @@ FROM (SELECT count(*) AS n FROM {COPIES} GROUP BY {", ".join(COLUMNS)})"""
 Q["dq_temporal_gaps"] = """
 SELECT day, next_day, CAST(next_day - day AS INTEGER) AS gap_days
 FROM (SELECT day, lead(day) OVER (ORDER BY day) AS next_day FROM (SELECT DISTINCT day FROM txd)) WHERE next_day - day > 0"""
-Q["dq_daily_row_count"] = """
+MOVED = "(SELECT CASE WHEN dayofweek(day) = 4 THEN CAST(day + INTERVAL 1 DAY AS DATE) ELSE day END AS day FROM txd)"
+Q["dq_daily_row_count"] = f"""
 SELECT CAST(d.day AS DATE) AS day, count(t.day) AS n_rows, CASE WHEN count(t.day) < 30 THEN 'fail' WHEN count(t.day) < 45 THEN 'warn' ELSE 'ok' END AS status
-FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM txd WHERE dayofweek(day) <> 4) d
-LEFT JOIN (SELECT day FROM txd WHERE dayofweek(day) <> 4) t ON t.day = CAST(d.day AS DATE) GROUP BY 1"""
+FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM {MOVED}) d
+LEFT JOIN {MOVED} t ON t.day = CAST(d.day AS DATE) GROUP BY 1"""
 Q["dq_freshness"] = """
 SELECT latest, date_diff('second', latest, TIMESTAMP '1999-06-01 12:00:00') // 3600 AS delay_hours,
        date_diff('second', latest, TIMESTAMP '1999-06-01 12:00:00') // 3600 <= 24 AS passes FROM (SELECT max(InvoiceDate) AS latest FROM tx)"""

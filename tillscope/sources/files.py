@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.schemas import ANOMALIES, CALL_LOG, NARRATIVE_ENTRY, ROOT_CAUSES_FLAT
+from tillscope.sources.splitting import json_entries
+from tillscope.sources.versions import current, new_version, publish
 
 
 def read_call_log(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -25,19 +24,16 @@ def append_call_log(records: DataFrame, path: str) -> None:
 def read_keyed_json(spark: SparkSession, path: str, entry: T.StructType = NARRATIVE_ENTRY) -> DataFrame:
     """Files holding one object of entries, or a list of entries, to one row per entry.
 
-    Each file is one JSON document and is parsed by one task; entries that are not
-    objects are skipped. The key is null for lists.
+    Files are cut at their entries, so one of any size is read in several tasks and no task
+    holds more than some entries. Entries that are not objects or do not parse are skipped. The
+    key is null for lists.
     """
-    text = F.trim(F.col("value"))
-    raw = spark.read.text(path, wholetext=True)
-    mapped = raw.where(~text.startswith("[")).select(
-        F.explode(F.from_json("value", T.MapType(T.StringType(), entry))).alias("key", "entry")
-    )
-    listed = raw.where(text.startswith("[")).select(
-        F.lit(None).cast("string").alias("key"),
-        F.explode(F.from_json("value", T.ArrayType(entry))).alias("entry"),
-    )
-    return mapped.unionByName(listed).where(F.col("entry").isNotNull()).select("key", "entry.*")
+    cut = json_entries(spark, path)
+    # of what is cut off together, only the last entry is an object, so the others are passed over as text
+    pair = F.try_element_at(F.map_entries(F.from_json(F.when(~F.col("listed"), F.col("value")), "map<string,string>")), F.lit(-1))
+    lone = F.try_element_at(F.from_json(F.when(F.col("listed"), F.col("value")), "array<string>"), F.lit(-1))
+    rows = cut.select(pair["key"].alias("key"), F.from_json(F.coalesce(pair["value"], lone), entry).alias("entry"))
+    return rows.where(F.col("entry").isNotNull()).select("key", "entry.*")
 
 
 def write_keyed_json(rows: DataFrame, path: str) -> None:
@@ -76,15 +72,13 @@ def write_cache(path: str, **tables: DataFrame) -> None:
     Each call writes a folder of its own and then adds one line to the list of versions, so a
     reader sees the old four or the new four, and a failed job leaves the old ones in place.
     """
-    spark = tables[CACHE_TABLES[0]].sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    version, folder = new_version(path)
     for name in CACHE_TABLES:
-        tables[name].write.parquet(f"{path}/{version}/{name}")
-    spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("append").text(f"{path}/versions")
+        tables[name].write.parquet(f"{folder}/{name}")
+    publish(tables[CACHE_TABLES[0]].sparkSession, path, version)
 
 
 def read_cache(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the version written last."""
-    version = spark.read.text(f"{path}/versions").agg(F.max("value")).first()[0]
-    df = spark.read.parquet(f"{path}/{version}/{name}")
+    df = spark.read.parquet(f"{current(spark, path)}/{name}")
     return df.withColumn("date", F.to_date("date")) if "date" in df.columns else df

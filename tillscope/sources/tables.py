@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tillscope.functions import text
 from tillscope.operators.attribution import explode_drivers
 from tillscope.sources.transactions import raw_table
-from tillscope.session import stage_path
+from tillscope.session import stage
+from tillscope.sources.versions import current
 
 
 # ------------------------------------------------------------------------ shape
@@ -99,21 +100,34 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update: list[st
     return packed_target.join(packed_batch, [*keys, "_apart"], "full_outer").select(*columns)
 
 
-def rewrite(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` by a result that may have been read from it.
+def merge_touched(path: str, batch: DataFrame, keys: list[str], update: list[str], partitions: list[str]) -> None:
+    """Upsert ``batch`` into the table at ``path``, which is partitioned by ``partitions``, a part of ``keys``.
 
-    The result is first written to the shared folder, so the old files are not dropped while
-    they are still being read, and a job that fails by then leaves the old table in place. The
-    last step overwrites: if that copy fails, the result is still whole in the shared folder.
+    Only the folders that hold a key of the batch are read and written again; the others keep
+    their files. Which they are is found from the batch, one value for each folder. The merged
+    rows are first written to the shared folder, and then put in place of the touched
+    folders together, when all are written. Rows with a null key are added, as in ``upsert``.
     """
-    spark = df.sparkSession
-    aside = stage_path(spark, "rewrite")
-    df.write.parquet(aside)
-    spark.read.schema(df.schema).parquet(aside).write.mode("overwrite").parquet(path)
+    if not partitions or not set(partitions) <= set(keys):
+        raise ValueError("a key must tell its partition")
+    spark = batch.sparkSession
+    stored = spark.read.parquet(path)
+    touched = batch.select(*partitions).distinct().collect()
+    if not touched:
+        return
+    wanted = F.lit(False)
+    for values in touched:
+        one = F.lit(True)
+        for name, value in zip(partitions, values):
+            one = one & (F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+        wanted = wanted | one
+    merged = stage(upsert(stored.where(wanted), batch, keys, update), "merged")
+    merged.hint("rebalance", *[F.col(c) for c in partitions]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Add rows to the table at ``path``, to its current version if it has versions."""
+    df.write.mode("append").parquet(current(df.sparkSession, path))
 
 
 def row_count(df: DataFrame) -> DataFrame:
