@@ -305,6 +305,37 @@ def test_edited_copies_go_beyond_three_bits(spark):
     assert reached == set(texts)
 
 
+def test_a_family_that_shares_a_passage_costs_sketches_not_texts(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    passage = [f"p{n}" for n in rng.integers(0, 5000, 100)]
+    rows = []
+    for i in range(300):
+        # about 0.55 of the shingles are common to every two of them
+        rows.append((i, " ".join(passage + [f"x{n}" for n in rng.integers(0, 5000, 38)])))
+    compared = []
+    real = simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: (compared.append(real(df, name)) or compared[-1]) if name == "candidates" else real(df, name))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), alike=0.8)
+    assert kept.count() == 300
+    assert sum(c.count() for c in compared) < 300 * 299 / 2 / 4
+
+
+def test_sketches_find_all_alike(spark):
+    rng = np.random.default_rng(13)
+    missed = 0
+    for _ in range(300):
+        words = [f"w{n}" for n in rng.integers(0, 100_000, 400)]
+        own = list(words)
+        # each changed word changes five shingles, so about 0.8 stay common
+        for at in rng.choice(400, 9, replace=False):
+            own[at] = f"x{rng.integers(0, 100_000)}"
+        a, b = (simhash.sketch(" ".join(w)) for w in (words, own))
+        if simhash.jaccard(simhash.shingles(" ".join(words)), simhash.shingles(" ".join(own))) >= 0.8:
+            apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(simhash.low_bits(a), simhash.low_bits(b)))
+            missed += not (set(simhash.bands(a).tolist()) & set(simhash.bands(b).tolist())) or apart > simhash._APART
+    assert missed <= 1
+
+
 def test_the_pipeline_leaves_no_like_texts(spark, docs):
     texts = [r["text"] for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect() if r["text"]]
     assert not any(_alike(a, b) for i, a in enumerate(texts) for b in texts[:i])

@@ -7,9 +7,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tillscope.llm.common import by_batch
 from tillscope.session import stage
@@ -202,9 +205,13 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
-#: Words of a shingle where texts are compared by their shingles, and the rows and bands of their sketches.
-_ALIKE_WORDS, _ROWS, _BANDS = 5, 5, 32
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _ROWS * _BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of a shingle where texts are compared by their shingles; least hashes of a sketch, and of a band; bands.
+_ALIKE_WORDS, _SKETCH, _ROWS, _BANDS = 5, 160, 7, 48
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, _SKETCH), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Every band is of other hashes of the sketch.
+_MEMBERS = np.array([np.random.default_rng(SEED + b).permutation(_SKETCH)[:_ROWS] for b in range(_BANDS)])
+#: Bits of two sketches that may differ: 16 do at a similarity of 0.8, with a deviation of 4, and 40 at 0.5.
+_APART = 34
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -218,41 +225,59 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def bands(text: str | None, block: int = 512) -> np.ndarray:
-    """Keys of a text's MinHash bands; two texts of Jaccard 0.8 share none in 3 of a million cases."""
-    least, some = np.full(_ROWS * _BANDS, np.iinfo(np.uint64).max, np.uint64), False
+def sketch(text: str | None, block: int = 512) -> np.ndarray:
+    """The least hash of a text's shingles under each of 160 permutations; none without a word."""
+    least, some = np.full(_SKETCH, np.iinfo(np.uint64).max, np.uint64), False
     for hashes in _hashes(text, _ALIKE_WORDS, block):
         least = np.minimum(least, (hashes[:, None] * _FACTORS[0] + _FACTORS[1]).min(axis=0))
         some = True
-    if not some:
+    return least if some else np.zeros(0, np.uint64)
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """Keys of a sketch's bands; two texts of Jaccard 0.8 share none in about 2 of 10,000 cases."""
+    if not len(least):
         return np.zeros(0, np.int64)
     keys = np.arange(1, _BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(_BANDS, _ROWS).T:
+    for row in least[_MEMBERS].T:
         keys = (keys ^ (row >> np.uint64(17)) ^ row) * np.uint64(0x9E3779B97F4A7C15)
     return keys.view(np.int64)
 
 
-def alike_to_smaller(docs: DataFrame, least: float = 0.8, per_part: int = 256) -> DataFrame:
+def low_bits(least: np.ndarray) -> list[int]:
+    """One bit of each hash of a sketch, in three numbers."""
+    bits = np.zeros(192, np.uint8)
+    bits[: len(least)] = (least >> np.uint64(40)) & np.uint64(1)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _near() -> Column:
+    """Whether the sketches of ``a`` and ``b`` allow a similarity of 0.8."""
+    apart = F.lit(0)
+    for i in range(3):
+        apart = apart + F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i]))
+    return apart <= _APART
+
+
+def alike_to_smaller(docs: DataFrame, sketched: DataFrame, least: float = 0.8, small: int = 64, block: int = 1024, per_part: int = 256) -> DataFrame:
     """``doc_id`` of documents that a chain of like texts leads to a smaller id that is not among them.
 
     Two texts are alike if the Jaccard similarity of their 5-word shingles is ``least`` or more,
-    which is computed for all candidates: ids that share a MinHash band. In every round each
-    band names a few heads (1, 2, 4, ...), which all its ids are compared with; the greater id
-    of an alike pair is done, and so are the heads. So a large family of copies takes about one
-    comparison for each of its members, and no two ids outside the result were left uncompared
-    in a band they share. Rows without an id take no part.
+    which is computed for all candidates: ids that share a MinHash band and whose sketches (the
+    ``keys`` and ``bits`` of ``sketched``, one row an id) are near enough. First the least id of
+    every band is compared with the others in it, and those alike to it are done, over again
+    while that finds any: a family of copies takes about one comparison for each of its
+    members. Then all that are left in a band meet, directly or, in a band of more than ``small``,
+    in blocks that each have a task of their own; only those with near sketches leave it, so
+    a family that shares a passage, but is not alike, costs sketches and not texts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def make_keys():
-        return lambda batch: {"doc_id": batch.column("doc_id"), "keys": [bands(t.as_py()) for t in batch.column("text")]}
-
-    known = docs.where("doc_id is not null").select("doc_id", "text")
-    keyed = stage(by_batch(known, make_keys, f"doc_id {kind}, keys array<long>").select("doc_id", F.explode("keys").alias("key")).distinct(), "bands")
+    item = f"struct<doc_id:{kind},bits:array<bigint>>"
+    keyed = sketched.select(F.struct("doc_id", "bits").alias("b"), F.explode("keys").alias("key"))
 
     def shared(keyed):
         # planned sizes do not tell which keys are shared, so the join must not be left to them
-        return keyed.join(keyed.groupBy("key").count().where("count > 1").hint("merge").select("key"), "key").select("doc_id", "key")
+        return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "key")
 
     def make_verdicts():
         held = [None, None]
@@ -267,27 +292,66 @@ def alike_to_smaller(docs: DataFrame, least: float = 0.8, per_part: int = 256) -
 
         return work
 
-    live = stage(shared(keyed), "shared-bands")
-    texts = stage(known.join(live.select("doc_id").distinct(), "doc_id", "left_semi"), "band-texts")
-    gone, heads = None, 1
-    while live.head(1):
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(heads))
-        named = live.groupBy("key", part.alias("part")).agg(F.min("doc_id").alias("head")).groupBy("key").agg(F.collect_list("head").alias("heads"))
-        met = stage(live.join(named.hint("merge"), "key"), "heads")
-        pairs = met.select("doc_id", F.explode("heads").alias("head")).where("doc_id <> head")
-        pairs = stage(pairs.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
-        # a head's pairs are cut into parts, so that no task has all of a family
+    live = stage(shared(keyed).select("key", "b", "n"), "shared-bands")
+    in_bands = live.select("b.doc_id").distinct()
+    texts = stage(docs.join(in_bands, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "band-texts")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """The greater ids of the pairs (a, b) that are alike."""
+        pairs = stage(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct(), "candidates")
+        # an id's pairs are cut into parts, so that no task has all of a family
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_part).cast("int").alias("parts"))
         cut = stage(pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts"), "candidate-parts")
         left = cut.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a")
         right = cut.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        judged = by_batch(left.join(right, ["a", "part"]).select("a", "b", "text", "other"), make_verdicts, f"a {kind}, b {kind}, alike boolean")
-        found = stage(judged.where("alike").select(F.greatest("a", "b").alias("doc_id")).distinct(), "alike")
-        gone = found if gone is None else gone.unionByName(found)
-        rest = met.where(~F.array_contains("heads", F.col("doc_id"))).select("doc_id", "key").join(found, "doc_id", "left_anti")
-        live = stage(shared(stage(rest, "rest")), "shared-bands")
-        heads *= 2
-    return live.select("doc_id").limit(0) if gone is None else gone.distinct()
+        verdicts = by_batch(left.join(right, ["a", "part"]).select("a", "b", "text", "other"), make_verdicts, f"a {kind}, b {kind}, alike boolean")
+        return stage(verdicts.where("alike").select(F.col("b").alias("doc_id")).distinct(), "alike")
+
+    gone = []
+    while live.head(1):
+        heads = live.groupBy("key").agg(F.min("b").alias("a"))
+        met = live.join(heads.hint("merge"), "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & _near())
+        found = judged(met)
+        if not found.head(1):
+            break
+        gone.append(found)
+        rest = live.join(found, live["b.doc_id"] == found["doc_id"], "left_anti").select("key", "b")
+        live = stage(shared(stage(rest, "rest")).select("key", "b", "n"), "shared-bands")
+    few = live.where(F.col("n") <= small)
+    pairs = few.select("key", F.col("b").alias("a")).join(few.select("key", "b").hint("merge"), "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & _near())
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    many = (
+        live.where(F.col("n") > small)
+        .withColumn("own", F.pmod(F.xxhash64("b.doc_id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", "b", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+    target = to_arrow_schema(StructType.fromDDL(f"a {item}, b {item}"))
+
+    def near_pairs(key, table):
+        own, items = table.column("own").to_numpy(), table.column("b").combine_chunks()
+        ids = items.field("doc_id").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: tuple(ids[k].values()) if isinstance(ids[k], dict) else ids[k])
+        bits = items.field("bits").flatten().to_numpy().reshape(-1, 3)[order].view(np.uint64)
+        own, (i, j) = own[order], (key[1].as_py(), key[2].as_py())
+        first, second = [], []
+        for at in range(len(order) - 1):
+            near = np.bitwise_count(bits[at + 1 :] ^ bits[at]).sum(axis=1) <= _APART
+            if i != j:
+                near &= own[at + 1 :] != own[at]
+            hits = at + 1 + np.flatnonzero(near)
+            first.append(np.full(len(hits), at))
+            second.append(hits)
+        order = np.array(order)
+        picked = [pa.array(order[np.concatenate(x)] if x else [], pa.int64()) for x in (first, second)]
+        return pa.Table.from_arrays([items.take(p).cast(f.type) for p, f in zip(picked, target)], schema=target)
+
+    pairs = pairs.select("a", "b").unionByName(many.groupBy("key", "i", "j").applyInArrow(near_pairs, f"a {item}, b {item}"))
+    gone.append(judged(pairs))
+    made = gone[0]
+    for more in gone[1:]:
+        made = made.unionByName(more)
+    return made.distinct()
 
 
 def _document(docs: DataFrame):
@@ -306,17 +370,30 @@ def keep_one(docs: DataFrame, most: int = 3, alike: float | None = None) -> Data
     apart than ``most`` bits. An empty table gives an empty result.
     """
     known = docs.where("doc_id is not null")
-    prints = stage(fingerprints(known.select(_document(docs).alias("doc_id"), "text")), "fingerprints")
-    codes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    lead = stage(_roots(codes, most).groupBy("root").agg(F.min("least").alias("lead")).select("lead"), "leads")
+    named = known.select(_document(docs).alias("doc_id"), "text")
 
-    def led(lead: DataFrame) -> DataFrame:
-        named = lead.select(F.col("lead.doc_id").alias("__id"), F.col("lead.h").alias("__h"))
-        rows = known.withColumn("__own", _document(docs)["h"])
-        return rows.join(named, (rows["doc_id"] == named["__id"]) & (rows["__own"] == named["__h"]), "left_semi")
+    def make():
+        def work(batch):
+            texts = [t.as_py() for t in batch.column("text")]
+            sketches = [sketch(t) if alike is not None else np.zeros(0, np.uint64) for t in texts]
+            return {
+                "doc_id": batch.column("doc_id"),
+                "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64),
+                "keys": [bands(k) for k in sketches],
+                "bits": [low_bits(k) for k in sketches],
+            }
 
+        return work
+
+    kind = named.schema["doc_id"].dataType.simpleString()
+    prints = stage(by_batch(named, make, f"doc_id {kind}, fp long, keys array<long>, bits array<long>"), "fingerprints")
+    codes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    lead = stage(_roots(codes, most).groupBy("root").agg(F.min("least").alias("doc_id")).select("doc_id"), "leads")
     if alike is not None:
-        gone = alike_to_smaller(led(lead).select(_document(docs).alias("doc_id"), "text").dropDuplicates(["doc_id"]), alike)
-        lead = lead.join(gone.withColumnRenamed("doc_id", "lead"), "lead", "left_anti")
-    kept = led(lead).dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+        sketched = prints.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        lead = stage(lead.join(alike_to_smaller(named, sketched, alike), "doc_id", "left_anti"), "leads")
+    named = lead.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.h").alias("__h"))
+    rows = known.withColumn("__own", _document(docs)["h"])
+    kept = rows.join(named, (rows["doc_id"] == named["__id"]) & (rows["__own"] == named["__h"]), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
