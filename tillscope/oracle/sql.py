@@ -83,7 +83,7 @@ SELECT coalesce(t.CustomerID, b.CustomerID) AS CustomerID, CASE WHEN b.lines IS
 FROM {_customers(0)} t FULL JOIN {_customers(1)} b ON t.CustomerID = b.CustomerID"""
 CHANGED = "SELECT kpi_name, date, value * 2 AS value FROM series WHERE value IS NOT NULL AND year(date) IN (1995, 1997) AND month(date) = 3"
 Q["upsert_touched_partitions"] = f"""
-SELECT kpi_name, date, CAST(year(date) AS INTEGER) AS year, round(value, 4) AS value, CAST(load AS INTEGER) AS load FROM (
+SELECT kpi_name, date, CAST(year(date) AS INTEGER) AS year, value, CAST(load AS INTEGER) AS load FROM (
   SELECT s.kpi_name, s.date, coalesce(c.value, s.value) AS value, 1 AS load FROM series s
   LEFT JOIN ({CHANGED}) c ON c.kpi_name = s.kpi_name AND c.date = s.date WHERE s.value IS NOT NULL
   UNION ALL SELECT 'new_kpi', date, value / 2, 2 FROM ({CHANGED}) WHERE kpi_name = 'order_count')"""

@@ -432,7 +432,7 @@ def upsert_touched_partitions(x):
     month = stored.where(F.col("year").isin(1995, 1997) & (F.month("date") == 3))
     changed = month.withColumn("value", F.col("value") * 2).unionByName(month.where("kpi_name = 'order_count'").withColumn("kpi_name", F.lit("new_kpi")))
     tables.merge_touched(path, changed.withColumn("load", F.lit(2)), ["kpi_name", "date", "year"], ["value"], ["year"])
-    return rounded(x.spark.read.parquet(path).select("kpi_name", "date", "year", "value", "load"))
+    return x.spark.read.parquet(path).select("kpi_name", "date", "year", "value", "load")
 
 
 @query
