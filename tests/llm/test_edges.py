@@ -123,6 +123,17 @@ def test_vectors(spark):
     assert hamming_topk.every_hundredth(spark.createDataFrame([], schema)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "bigint"])
+def test_ids_of_any_type_are_searched(spark, kind):
+    rows = [(i, (i * 2654435761) % 2**62) for i in range(60)] + [(None, 5)]
+    coded = spark.createDataFrame(rows, "id long, code long").selectExpr(f"cast(id as {kind}) as id", "code")
+    got = hamming_topk.top_k(coded, coded.where("cast(id as int) in (3, 30)"), 4).collect()
+    plain = {i: c for i, c in rows if i is not None}
+    for q in (3, 30):
+        order = sorted(((plain[q] ^ c).bit_count(), str(i) if kind == "string" else i) for i, c in plain.items() if i != q)[:4]
+        assert [(r["distance"], r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if str(r["query_id"]) == str(q)] == order
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(name, stage, spark, odd, empty, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")

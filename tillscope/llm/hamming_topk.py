@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tillscope.session import stage
 
@@ -17,7 +19,7 @@ BITS = 64
 def codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``id`` and ``code``: the signs of the first 64 numbers of a vector, the first in the lowest bit.
 
-    A positive number sets its bit; null, missing and other numbers do not. A null vector has
+    Numbers beyond the 64th play no part. A positive number sets its bit; null, missing and other numbers do not. A null vector has
     code 0. Rows without an id are left out, for no result could name them.
     """
     bit = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.when(F.get(vector, i) > 0, F.expr("1L")).otherwise(F.expr("0L")))
@@ -46,26 +48,30 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, segments: int = 8,
     values that differ from its own in exactly r bits; whatever was not met by then differs in
     at least r + 1 bits in every segment. A query is done once its k-th distance is below
     ``segments * (r + 1)``, so the result is exact; it only takes codes that can still enter.
+    Ids are whole numbers or strings, of one type on both sides; rows without one are left out.
     Returns query_id, rank (from 1), id and distance. A query is not its own result; equal codes
     under other ids are. Fewer than k others give as many rows as there are. Repeated rows count once.
     """
     width = BITS // segments
     # copies of a row would fill the places that a bundle has for its best k
-    each = stage(corpus.select("id", "code").distinct(), "distinct-codes")
+    each = stage(corpus.where("id is not null").select("id", "code").distinct(), "distinct-codes")
     index = stage(_bundles(_segments(each, segments, "s"), ["id", "code"], bundle, "held"), "hamming-index")
-    active = stage(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(BITS + 1).alias("bound")).distinct(), "queries")
+    active = stage(queries.where("id is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), F.lit(BITS + 1).alias("bound")).distinct(), "queries")
     best = None
     done = []
     kind = corpus.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, query_code long, id {kind}, distance int"
-    target = pa.schema([("query_id", pa.int64()), ("query_code", pa.int64()), ("id", pa.int64()), ("distance", pa.int32())])
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def sortable(ids):
+        return np.array(ids.to_pylist()) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
 
     def meet(batches):
         for batch in batches:
             for held, asked in zip(batch.column("held"), batch.column("asked")):
                 held, asked = held.values.flatten(), asked.values.flatten()
-                ids, have = held[0].to_numpy(), held[1].to_numpy().view(np.uint64)
-                query, code, bound = asked[0].to_numpy(), asked[1].to_numpy(), asked[2].to_numpy()
+                ids, have = sortable(held[0]), held[1].to_numpy().view(np.uint64)
+                query, code, bound = sortable(asked[0]), asked[1].to_numpy(), asked[2].to_numpy()
                 rows = [[], [], [], []]
                 for q, c, b in zip(query, code, bound):
                     distance = np.bitwise_count(have ^ c.view(np.uint64))

@@ -21,17 +21,21 @@ _PIECE = 1 << 18
 def grams(text: str):
     """The hashed character n-grams of a whole text, in pieces of bounded size.
 
-    Lower case; ASCII characters that are no letters count as a space.
+    Lower case; ASCII characters that are no letters count as a space. Each n-gram is in the
+    piece that holds its last character, so it comes once whatever the pieces are.
     """
+    text = text.lower()
     for at in range(0, max(len(text), 1), _PIECE):
-        piece = text[max(0, at - max(ORDERS) + 1) : at + _PIECE]
-        chars = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        lead = min(at, max(ORDERS) - 1)
+        piece = text[at - lead : at + _PIECE]
+        chars = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
         chars = np.where(chars < 128, _SPACE[np.minimum(chars, 127)], chars)
         hashed = np.zeros(len(chars), np.uint32)
         for order in range(1, max(ORDERS) + 1):
             hashed = hashed[: len(chars) - order + 1] * np.uint32(0x9E3779B1) + chars[order - 1 :] + np.uint32(order)
-            if order in ORDERS and len(hashed):
-                yield ((hashed * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.int64)
+            own = hashed[max(0, lead - order + 1) :]
+            if order in ORDERS and len(own):
+                yield ((own * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.int64)
 
 
 def has_letter(text: str | None) -> bool:
