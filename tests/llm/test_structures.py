@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import public_tokenizers
@@ -151,6 +152,85 @@ def test_mix_meets_its_targets(spark, docs):
         assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= 64
 
 
+def _slow_permutation(size, key):
+    """The Feistel permutation of 0 .. size - 1, number by number."""
+    mask64 = (1 << 64) - 1
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    keys = [(key * 0x9E3779B97F4A7C15 + r * 0xC2B2AE3D27D4EB4F) & mask64 for r in range(1, 5)]
+    made = []
+    for x in range(size):
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for k in keys:
+                mixed = (((right + k) & mask64) * 0xBF58476D1CE4E5B9) & mask64
+                mixed ^= mixed >> 31
+                mixed = (mixed * 0x94D049BB133111EB) & mask64
+                left, right = right, left ^ (mixed >> 33) & ((1 << half) - 1)
+            x = (left << half) | right
+            if x < size:
+                break
+        made.append(x)
+    return made
+
+
+@pytest.mark.parametrize("good, bad, taken", [(5, 7, 6), (30, 2, 16), (1, 0, 1), (40, 60, 20)])
+def test_the_draws_follow_the_hypergeometric_law(good, bad, taken):
+    rng = np.random.default_rng(5)
+    seen = Counter(mixing.hypergeometric(rng, good, bad, taken) for _ in range(20_000))
+    for x in range(good + 1):
+        ways = comb(good, x) * comb(bad, taken - x) if x <= taken else 0
+        assert abs(seen[x] / 20_000 - ways / comb(good + bad, taken)) < 0.02
+
+
+def test_the_law_holds_at_any_size():
+    rng = np.random.default_rng(6)
+    good, bad, taken = 3 * 10**11, 10**12, 10**11
+    p, n = good / (good + bad), good + bad
+    spread = (taken * p * (1 - p) * (n - taken) / (n - 1)) ** 0.5
+    z = (np.array([mixing.hypergeometric(rng, good, bad, taken) for _ in range(4000)]) - taken * p) / spread
+    assert abs(z.mean()) < 0.07 and abs(z.std() - 1) < 0.05 and abs((z**4).mean() - 3) < 0.5
+
+
+def test_mix_by_brute_force(spark, docs):
+    """The words that the recipe's places name, place by place, against what is taken of every document."""
+    ahead, _, recipe = mixing.mix(docs, slots=64)
+    counted = Counter()
+    for s, (blocks, places) in enumerate(zip(recipe.blocks, recipe.places)):
+        order = [_slow_permutation(blocks, recipe.seed + 2 * s + c) for c in range(2)]
+        for rank in range(places):
+            counted[s, order[rank // blocks][rank % blocks]] += 1
+    want = {}
+    ends = defaultdict(int)
+    for r in sorted(ahead.collect(), key=lambda r: (r["source_no"], r["start"])):
+        s = r["source_no"]
+        assert r["start"] == ends[s]
+        ends[s] += r["size"]
+        want[r["doc_id"]] = sum(counted[s, w // recipe.widths[s]] for w in range(r["start"], r["start"] + r["size"]))
+    got = {r["doc_id"]: r["taken"] for r in mixing.mixed_documents(docs, slots=64).collect()}
+    assert got == want and sum(got.values()) > 0
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Sources of 6 to 5,000 words: within half a percent of the target, or a word."""
+    rows = [(i, f"s{i % 45:02}", " ".join(["w"] * (6 + i % 13 if i % 45 < 40 else 700 + i % 11 * 90))) for i in range(225)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    source = {i: s for i, s, _ in rows}
+    taken, target = Counter(), {}
+    for r in mixing.mixed_documents(docs).collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len(target) == 45 and all(abs(taken[s] - t) <= max(1, 0.006 * t) for s, t in target.items())
+
+
+def test_shards_one_by_one_and_by_range_agree():
+    recipe = mixing.plan({"a": 90_000, "b": 40_000, None: 500, "e": 0}, (5, 2, 1), 1.5, 4, 32, 7)
+    for shard, counts, before in mixing.counts_between(recipe, 700, 720):
+        alone = mixing.shard_counts(recipe, shard)
+        assert (alone[0] == counts).all() and (alone[1] == before).all()
+    assert [s for s, _, _ in mixing.counts_between(recipe, 700, 720)] == list(range(700, 720))
+
+
 def test_mixed_texts_hold_the_words_taken(spark, docs):
     rows = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mixed_documents(docs).collect()}
     words = Counter()

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.common import WORD, by_batch, n_words, placed
 from tillscope.session import stage
 
+#: Words of a block, and the blocks that a source's target or size has at least, in narrower ones if need be.
 BLOCK = 64
+LEAST_BLOCKS = 256
 SLOTS = 8192
-_EXACT = 500_000_000
+_SHARDS_A_TASK = 256
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -42,14 +46,14 @@ def text_crc(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Plan:
-    """The recipe: per source (by code point, null last) its size, target, blocks and places."""
+    """The recipe: per source (by code point, null last) its size, target, words of a block, blocks and places."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
+    widths: list[int]
     blocks: list[int]
     places: list[int]
-    block: int
     slots: int
     seed: int
 
@@ -59,53 +63,81 @@ class Plan:
 
 
 def plan(sizes: dict[str | None, int], weights: Sequence[float], share: float, block: int, slots: int, seed: int) -> Plan:
+    """Blocks have ``block`` words, in small sources fewer, so that half a block is never much of a target."""
     sources = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     held = [int(sizes[s]) for s in sources]
     goal = targets(held, [weights[i % len(weights)] for i in range(len(sources))], share)
-    blocks = [-(-n // block) for n in held]
-    places = [min(2 * b, round(t * b / n)) if n else 0 for t, b, n in zip(goal, blocks, held)]
-    return Plan(sources, held, goal, blocks, places, block, slots, seed)
+    widths = [max(1, min(block, int(min(n, t)) // LEAST_BLOCKS)) for n, t in zip(held, goal)]
+    blocks = [-(-n // w) for n, w in zip(held, widths)]
+    places = []
+    for n, t, w, b in zip(held, goal, widths, blocks):
+        # whole passes take every word; what is left of the target is taken in full blocks
+        passes = min(2, int(t // n)) if n else 0
+        places.append(min(2 * b, passes * b + min(b, round((t - passes * n) / w))))
+    return Plan(sources, held, goal, widths, blocks, places, slots, seed)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """How many of ``taken`` draws without replacement are among the ``good``, for numbers of any size.
+
+    The law is log-concave, so beside its mode it lies under a flat piece and two exponential
+    tails of the mode's own height; points under these are drawn until one lies under the law.
+    """
+    low, high = max(0, taken - bad), min(good, taken)
+    if low == high:
+        return low
+    mode = min(high, max(low, (taken + 1) * (good + 1) // (good + bad + 2)))
+
+    def log_weight(x: int) -> float:
+        return -sum(math.lgamma(k + 1.0) for k in (x, good - x, taken - x, bad - taken + x))
+
+    top = log_weight(mode)
+    whole = sum(math.lgamma(k + 1.0) for k in (good, bad, taken, good + bad - taken)) - math.lgamma(good + bad + 1.0)
+    height = min(1.0, math.exp(whole + top))
+    flat = 1.0 + height / 2
+    while True:
+        side, across, up, sign = rng.random(4)
+        far = 0.0 if side * (1.0 + flat) <= flat else rng.standard_exponential()
+        at = (across * flat if far == 0.0 else flat + far) / height
+        x = mode + (1 if sign < 0.5 else -1) * round(at)
+        if low <= x <= high and math.log(up or 5e-324) - far <= log_weight(x) - top:
+            return x
 
 
 def _left_half(rng: np.random.Generator, counts: np.ndarray, taken: int) -> np.ndarray:
     """How many of ``taken`` places fall to every source when ``counts`` are dealt at random."""
     made, rest = np.zeros_like(counts), int(counts.sum())
     for i, n in enumerate(counts.tolist()):
-        others = rest - n
-        low, high = max(0, taken - others), min(n, taken)
-        if low == high:
-            draw = low
-        elif max(n, others) < _EXACT:
-            draw = int(rng.hypergeometric(n, others, taken))
-        else:
-            # far above a billion places the normal law stands for the hypergeometric one
-            p = n / rest
-            spread = (taken * p * (1 - p) * max(rest - taken, 0) / max(rest - 1, 1)) ** 0.5
-            draw = min(high, max(low, round(taken * p + spread * rng.standard_normal())))
-        made[i] = draw
-        rest, taken = others, taken - draw
+        made[i] = hypergeometric(rng, n, rest - n, taken)
+        rest, taken = rest - n, taken - int(made[i])
     return made
 
 
-def shard_counts(recipe: Plan, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multinomial source counts of one output shard, and those of all shards before it.
+def counts_between(recipe: Plan, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the shards from ``first`` to ``last`` (exclusive): the number, its multinomial source counts, those of all before it.
 
     The draws are conditioned on the whole mix meeting its places exactly. They descend a
-    binary tree over the shards whose nodes have their own seeds, so any task gets any shard's
-    counts in a logarithm of steps, without knowing the others and alike on every run.
+    binary tree over the shards whose nodes have their own seeds, so any task gets the counts
+    of its shards without knowing the others, and alike on every run.
     """
     counts = np.array(recipe.places, np.int64)
-    before = np.zeros_like(counts)
-    low, high = 0, recipe.shards
-    while high - low > 1:
+    open_ = [(0, recipe.shards, counts, np.zeros_like(counts))]
+    while open_:
+        low, high, counts, before = open_.pop()
+        if high <= first or low >= last:
+            continue
+        if high - low == 1:
+            yield low, counts, before
+            continue
         middle = (low + high) // 2
         rng = np.random.default_rng([recipe.seed, low, high])
         half = _left_half(rng, counts, (middle - low) * recipe.slots)
-        if shard < middle:
-            counts, high = half, middle
-        else:
-            before, counts, low = before + half, counts - half, middle
-    return counts, before
+        open_ += [(middle, high, counts - half, before + half), (low, middle, half, before)]
+
+
+def shard_counts(recipe: Plan, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """The source counts of one output shard, and those of all shards before it."""
+    return next(counts_between(recipe, shard, shard + 1))[1:]
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -130,32 +162,43 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return made.astype(np.int64)
 
 
-def draws(spark, recipe: Plan) -> DataFrame:
-    """Every place of the mix: shard, slot, source_no, copy (0 or 1) and the block that fills it."""
+def _shard(recipe: Plan, shard: int, counts: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """The places of one shard: source, copy and block of every slot."""
+    held = np.flatnonzero(counts)
+    source = np.repeat(held, counts[held])
+    copies, blocks = [], []
+    for s in held.tolist():
+        copy, at = np.divmod(np.arange(before[s], before[s] + counts[s]), recipe.blocks[s])
+        block = np.empty_like(at)
+        for c in np.unique(copy).tolist():
+            of = copy == c
+            block[of] = permuted(at[of], recipe.blocks[s], recipe.seed + 2 * s + c)
+        copies.append(copy)
+        blocks.append(block)
+    mixed = np.random.default_rng([recipe.seed, shard]).permutation(len(source))
+    return [x[mixed] for x in (source, np.concatenate(copies), np.concatenate(blocks))]
 
-    def make():
-        def work(batch):
-            parts = []
-            for shard in batch.column("id").to_pylist():
-                counts, before = shard_counts(recipe, shard)
-                source = np.repeat(np.arange(len(counts)), counts)
-                rank = np.concatenate([np.arange(b, b + c) for b, c in zip(before, counts)]) if len(counts) else source
-                copy, block = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-                for s in np.unique(source):
-                    rows = source == s
-                    copy[rows] = rank[rows] // recipe.blocks[s]
-                    for c in np.unique(copy[rows]):
-                        of = rows & (copy == c)
-                        block[of] = permuted(rank[of] % recipe.blocks[s], recipe.blocks[s], recipe.seed + 2 * int(s) + int(c))
-                mixed = np.random.default_rng([recipe.seed, shard]).permutation(len(rank))
-                parts.append((np.full(len(rank), shard), np.arange(len(rank)), source[mixed], copy[mixed], block[mixed]))
-            return dict(zip(("shard", "slot", "source_no", "copy", "block"), map(np.concatenate, zip(*parts))))
 
-        return work
+def draws(spark, recipe: Plan) -> DataFrame:
+    """Every place of the mix: shard, slot, source_no, copy (0 or 1) and the block that fills it.
 
-    tasks = max(1, min(recipe.shards, spark.sparkContext.defaultParallelism * 4))
+    A task has at most some hundred shards and holds the places of one at a time.
+    """
+    kinds = {"shard": pa.int64(), "slot": pa.int64(), "source_no": pa.int32(), "copy": pa.int32(), "block": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            if not len(ids):
+                continue
+            for shard, counts, before in counts_between(recipe, int(ids[0]), int(ids[-1]) + 1):
+                source, copy, block = _shard(recipe, shard, counts, before)
+                made = (np.full(len(source), shard), np.arange(len(source)), source, copy, block)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, kinds.values())], names=list(kinds))
+
+    tasks = max(1, min(recipe.shards, max(spark.sparkContext.defaultParallelism * 4, -(-recipe.shards // _SHARDS_A_TASK))))
     schema = "shard long, slot long, source_no int, copy int, block long"
-    return by_batch(spark.range(0, recipe.shards, 1, tasks), make, schema)
+    return spark.range(0, recipe.shards, 1, tasks).mapInArrow(run, schema)
 
 
 def mix(
@@ -174,22 +217,26 @@ def mix(
     The first frame has doc_id, source, size, source_no and ``start`` (words before it in its
     source); the second has, for every part of a document that a place takes, shard, slot,
     copy, source_no, start, ``first`` (word within the document) and ``words``. A null text has
-    no words. Sources are the recipe's entries and are listed on the driver.
+    no words. Sources are the recipe's entries and are listed on the driver. Every source's
+    words come within one and a half of its blocks of its target: half a percent, or a word.
     """
     spark = docs.sparkSession
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_crc(F.col("text")).alias("crc")), "sized")
     sizes = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     recipe = plan(sizes, weights, share, block, slots, seed)
     ahead = stage(placed(sized, ["source"], ["doc_id", "crc", "size"], "start", size="size"), "places")
-    numbers = spark.createDataFrame([(s, i) for i, s in enumerate(recipe.sources)], "name string, source_no int")
+    rows = [(s, i, w) for i, (s, w) in enumerate(zip(recipe.sources, recipe.widths))]
+    numbers = spark.createDataFrame(rows, "name string, source_no int, width long")
     ahead = ahead.join(numbers, ahead["source"].eqNullSafe(numbers["name"])).drop("name")
-    block_no = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    width, end = F.col("width"), F.col("start") + F.col("size")
+    block_no = F.explode(F.sequence(F.expr("start div width"), F.expr("(start + size - 1) div width")))
+    low, high = F.greatest(F.col("start"), F.col("block") * width), F.least(end, (F.col("block") + 1) * width)
     parts = (
         ahead.where("size > 0")
-        .select("source_no", "start", "size", block_no.alias("block"))
+        .select("source_no", "start", "size", "width", block_no.alias("block"))
         .select("source_no", "start", "block", (low - F.col("start")).alias("first"), (high - low).alias("words"))
     )
+    ahead = ahead.drop("width")
     # the planner takes the places for as small as the list of shards they come from; both sides grow
     taken = draws(spark, recipe).hint("merge").join(parts, ["source_no", "block"])
     return ahead, taken.select("shard", "slot", "copy", "source_no", "start", "first", "words"), recipe
