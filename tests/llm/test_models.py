@@ -1,6 +1,7 @@
 """Language identification, quality network, rules and secret models against held-out rows and brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -165,6 +166,35 @@ def test_markov_finds_random_strings_and_spares_words(spark, docs):
     assert got == {0: "markov:4:28", 1: "", 2: "markov:0:36", 3: ""}
 
 
+def test_texts_of_many_spans(spark, docs):
+    """Over 10,000 strings of every kind in one text, in odd orders, beside short texts; all spans and what redaction leaves."""
+    draw = random.Random(4)
+    parts = [
+        lambda: "".join(draw.choices("0123456789abcdef", k=draw.randrange(14, 24))),
+        lambda: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=26)),
+        lambda: "token=" + "".join(draw.choices("0123456789abcdef", k=20)) + draw.choice(["", "/x", " "]),
+        lambda: "AKIA" + "".join(draw.choices("ABCDEFGHIJ0123456789", k=draw.randrange(12, 18))),
+        lambda: draw.choice(["é", "😀 word", "plain text", "\n"]),
+    ]
+    make = lambda n: " ".join(draw.choice(parts)() for _ in range(n))
+    texts = {0: make(20_000), **{i: make(draw.randrange(0, 300)) for i in range(1, 30)}}
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    models = secrets.fit(docs)
+    rows = secrets.secret_spans(given, models).collect()
+    _check(rows, texts)
+    left = {r["doc_id"]: r["text"] for r in secrets.redact(given, models).collect()}
+    for r in rows:
+        text, at, kept = texts[r["doc_id"]], 0, []
+        for kind, a, b in (x.split(":") for x in filter(None, r["spans"].split(","))):
+            a, b = int(a), int(b)
+            assert kind != "markov" or not any(map(re.compile("AKIA[A-Z0-9]{14}|[0-9a-f]{16}").fullmatch, [text[a:b]]))
+            if a >= at:
+                kept.append(text[at:a])
+            at = max(at, b)
+        assert left[r["doc_id"]] == "[SECRET]".join([*kept, text[at:]])
+    assert sum(r["spans"].count("markov") for r in rows) > 3000
+
+
 def test_redaction_takes_effect(spark, docs):
     models = secrets.fit(docs)
     rows = [(1, "é token = \"0123456789abcdef0123\" end", 36), (2, "nothing", 7), (3, None, None)]

@@ -16,13 +16,47 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _TOKEN = r"[A-Za-z0-9+/_=-]"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Values that a running fold takes in one go, and characters of the pieces that a text is cut into to reach its middle.
+_PART = 128
+_CHUNK = 1024
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+def _named(x: Column, body) -> Column:
+    """``body`` of ``x``, which is then worked out once however often the body names it."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+def _running(values: Column, step) -> Column:
+    """For every one of ``values`` (int) the fold by ``step`` of those before it, from 0.
+
+    Arrays cannot be added to in place, so the fold first meets blocks of ``_PART`` as a whole and
+    then the values within each block: no array that grows with the text is copied value by value.
+    """
+
+    def of(v: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor(F.size(v) / _PART).cast("int"))
+        return _named(F.transform(at, lambda i: F.slice(v, i * _PART + 1, F.lit(_PART))), blocks)
+
+    def blocks(b: Column) -> Column:
+        heads = F.aggregate(b, F.array(F.lit(0)), lambda s, x: F.array_append(s, F.aggregate(x, F.element_at(s, -1), step)))
+        return F.flatten(F.zip_with(b, F.slice(heads, F.lit(1), F.size(b)), within))
+
+    def within(x: Column, head: Column) -> Column:
+        made = F.aggregate(x, F.array(head), lambda s, y: F.array_append(s, step(F.element_at(s, -1), y)))
+        return F.slice(made, F.lit(1), F.size(x))
+
+    return _named(values, of)
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, keep: bool = False) -> Column:
     """Start and end (code points) of the leftmost non-overlapping matches whose ``group`` has ``least`` characters.
 
     The matches and the pieces between them alternate, so places are running sums of their
-    lengths. Texts without a match are not cut.
+    lengths. Texts without a match are not cut. With ``keep`` a span has its ``token`` too.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
@@ -30,18 +64,45 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
         F.transform(whole, F.length).alias("size"),
         F.transform(part, F.length).alias("held"),
+        *([whole.alias("token")] if keep else []),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("made"))
+    kind_of = _SPAN.replace(">>", ",token:string>>") if keep else _SPAN
 
-    def step(state: Column, x: Column) -> Column:
-        at = state["at"] + x["gap"]
-        end = at + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        made = F.when(x["held"] >= least, F.array_append(state["made"], span)).otherwise(state["made"])
-        return F.struct(end.alias("at"), made.alias("made"))
+    def found(c: Column) -> Column:
+        before = _running(F.transform(c, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))), lambda a, b: a + b)
+        placed = F.filter(F.zip_with(c, before, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), lambda m: m["x"]["held"] >= least)
+        return F.transform(placed, span)
 
-    found = F.aggregate(cut, start, step, lambda s: s["made"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    def span(m: Column) -> Column:
+        start = m["at"] + m["x"]["gap"]
+        token = [m["x"]["token"].alias("token")] if keep else []
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["x"]["size"]).alias("end"), *token)
+
+    return F.when(text.rlike(pattern), _named(cut, found)).otherwise(F.array().cast(kind_of))
+
+
+def _apart(runs: Column, base: Column) -> Column:
+    """The ``runs`` that overlap no span of ``base``.
+
+    A run overlaps one if, of the spans that start before its end, one ends after its start. So
+    both are put in one order, by start and by last character, with the greatest end so far.
+    """
+    event = lambda at, run, end, r: F.struct(at.alias("at"), F.lit(run).alias("run"), end.alias("end"), r.alias("r"))
+
+    def of(rs: Column) -> Column:
+        none = F.get(rs, F.size(rs))
+        marks = F.concat(
+            F.transform(base, lambda b: event(b["start"], False, b["end"], none)),
+            F.transform(rs, lambda r: event(r["end"] - 1, True, F.lit(0), r)),
+        )
+        return _named(F.sort_array(marks), swept)
+
+    def swept(e: Column) -> Column:
+        ends = _running(F.transform(e, lambda x: x["end"]), _later)
+        met = F.zip_with(e, ends, lambda x, end: F.struct(x["run"].alias("run"), x["r"].alias("r"), end.alias("end")))
+        return F.transform(F.filter(met, lambda m: m["run"] & (m["end"] <= m["r"]["start"])), lambda m: m["r"])
+
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), _named(runs, of)).otherwise(runs)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -109,18 +170,17 @@ def scan(docs: DataFrame, models: Models | None = None, least: int = 20, margin:
 
     ``base`` holds what the stated patterns find. ``found`` adds the runs of ``least`` or more
     token characters that overlap no base span and are more likely random than ordinary by
-    ``margin`` nats. A null text has none.
+    ``margin`` nats. A null or empty text has none, an empty table no rows, and repeated rows are
+    judged each on its own. The work grows with a text as its length and spans do.
     """
     models = models or fit(docs)
     text = F.coalesce("text", F.lit(""))
     kinds = base_spans(F.col("__text"))
     based = docs.withColumn("__text", text).withColumn("base", F.sort_array(F.concat(*kinds.values())))
-    runs = spans(F.col("__text"), _TOKEN + f"{{{least},}}", 3)
-    offered = based.withColumn(
-        "__runs", F.filter(runs, lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    )
-    said = lambda r: models.score(F.substring(F.col("__text"), r["start"] + 1, r["end"] - r["start"]))
-    added = F.filter("__runs", lambda r: said(r) >= margin)
+    runs = spans(F.col("__text"), _TOKEN + f"{{{least},}}", 3, keep=True)
+    offered = based.withColumn("__runs", runs).withColumn("__runs", _apart(F.col("__runs"), F.col("base")))
+    likely = F.filter("__runs", lambda r: models.score(r["token"]) >= margin)
+    added = F.transform(likely, lambda r: F.struct(*[r[c].alias(c) for c in ("start", "kind", "end")]))
     found = F.when(F.size("__runs") > 0, F.sort_array(F.concat("base", added))).otherwise(F.col("base"))
     return offered.withColumn("found", found).drop("__text", "__runs")
 
@@ -147,20 +207,24 @@ def secret_spans(docs: DataFrame, models: Models | None = None) -> DataFrame:
 def redact(docs: DataFrame, models: Models | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span found (overlapping ones as one) replaced by ``mark``; n_chars follows."""
     scanned = scan(docs.select(F.struct(*docs.columns).alias("row"), "text"), models)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        parts = F.when(inside, state["parts"]).otherwise(F.concat(state["parts"], F.array(gap)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    def finish(state: Column) -> Column:
-        rest = F.substring(F.col("text"), state["at"] + 1, F.length("text"))
-        return F.array_join(F.concat(state["parts"], F.array(rest)), mark)
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+    def kept(found: Column, chunk: Column) -> Column:
+        """What lies between the spans, joined by the mark; a span that starts within those before it adds none."""
+        ends = F.concat(F.transform(found, lambda s: s["end"]), F.array(F.lit(0)))
+        starts = F.concat(F.transform(found, lambda s: s["start"]), F.array(F.length("text")))
+        gaps = F.zip_with(_running(ends, _later), starts, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.array_join(F.transform(F.filter(gaps, lambda g: g["a"] <= g["b"]), lambda g: piece(chunk, g["a"], g["b"])), mark)
+
+    def piece(chunk: Column, a: Column, b: Column) -> Column:
+        numbers = F.sequence((a / _CHUNK).cast("int"), ((b - 1) / _CHUNK).cast("int"))
+        part = lambda i: F.substring(
+            F.get(chunk, i), F.greatest(a - i * _CHUNK, F.lit(0)) + 1, F.least(b - i * _CHUNK, F.lit(_CHUNK)) - F.greatest(a - i * _CHUNK, F.lit(0))
+        )
+        return F.when(a < b, F.array_join(F.transform(numbers, part), "")).otherwise(F.lit(""))
 
     hit = F.size("found") > 0
-    made = {"text": F.when(hit, F.aggregate("found", start, step, finish)).otherwise(F.col("text"))}
+    made = {"text": F.when(hit, _named(chunks, lambda c: kept(F.col("found"), c))).otherwise(F.col("text"))}
     redone = scanned.select("row", "found", made["text"].alias("text"))
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(hit, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
