@@ -53,6 +53,8 @@ Q["cache_materialise"] = (
     "SELECT 'kpi_timeseries' AS table_name, count(*) AS n FROM weekly UNION ALL SELECT 'kpi_latest', count(*) FROM alltime "
     "UNION ALL SELECT 'anomalies', count(*) FROM anomalies UNION ALL SELECT 'root_causes', count(*) FROM flat"
 )
+_REFRESHED = "total_revenue, order_count, active_customers, repeat_customer_rate, product_revenue_concentration"
+Q["cache_refresh"] = f"SELECT date, {_REFRESHED} FROM weekly UNION ALL SELECT NULL, {_REFRESHED} FROM alltime"
 Q["cache_read"] = "SELECT date, total_revenue, order_count FROM weekly"
 Q["scan_call_log_jsonl"] = "SELECT status, count(*) AS n, CAST(sum(latency_ms) AS BIGINT) AS latency FROM calls GROUP BY 1"
 Q["append_call_log"] = "SELECT prompt_version, count(*) AS n FROM calls GROUP BY 1"

@@ -67,13 +67,15 @@ CACHE_TABLES = ("kpi_timeseries", "kpi_latest", "anomalies", "root_causes")
 
 
 def write_cache(path: str, **tables: DataFrame) -> None:
-    """The four result tables behind the dashboards, replaced as a set.
+    """The four result tables behind the dashboards, and further ones if given, replaced as a set.
 
     Each call writes a folder of its own and then adds one line to the list of versions, so a
     reader sees the old four or the new four, and a failed job leaves the old ones in place.
     """
+    if missing := set(CACHE_TABLES) - set(tables):
+        raise ValueError(f"a cache needs {sorted(missing)} too")
     version, folder = new_version(path)
-    for name in CACHE_TABLES:
+    for name in tables:
         tables[name].write.parquet(f"{folder}/{name}")
     publish(tables[CACHE_TABLES[0]].sparkSession, path, version)
 

@@ -73,15 +73,16 @@ def write_transactions_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_CSV).csv(path)
 
 
-def write_transactions(df: DataFrame, path: str) -> None:
+def write_transactions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet by week: a baseline or a filter on ``week_end`` then reads only its folders.
 
-    Rebalancing by week merges small weeks and splits a heavy one by its real size.
+    Rebalancing by week merges small weeks and splits a heavy one by its real size. ``mode`` is
+    "overwrite" or "append".
     """
     (
         df.withColumn("week_end", dates.week_end(F.col("InvoiceDate")))
         .hint("rebalance", F.col("week_end"))
-        .write.mode("overwrite")
+        .write.mode(mode)
         .partitionBy("week_end")
         .parquet(path)
     )

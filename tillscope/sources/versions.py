@@ -30,6 +30,17 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return [r["value"] for r in spark.read.text(f"{path}/{_LIST}").distinct().orderBy("value").collect()]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _files(spark, path)
+    return system.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a folder with all in it; False if there was none."""
+    system, at = _files(spark, path)
+    return system.delete(at, True)
+
+
 def publish(spark: SparkSession, path: str, name: str) -> None:
     """From here on ``name`` is the version that is read. One line is added, so it happens or it does not."""
     spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.mode("append").text(f"{path}/{_LIST}")
@@ -59,5 +70,4 @@ def reload_table(df: DataFrame, path: str, partition_by: list[str] = (), keep: i
     df.write.partitionBy(*partition_by).parquet(folder)
     publish(spark, path, name)
     for old in versions(spark, path)[: -max(1, keep)]:
-        system, at = _files(spark, f"{path}/{old}")
-        system.delete(at, True)
+        delete(spark, f"{path}/{old}")
