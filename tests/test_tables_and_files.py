@@ -545,6 +545,25 @@ def test_similar_topk_visits_grow_slower_than_the_corpus(spark):
     assert rates[1] < 6 * rates[0] and rates[1] < 0.05 * 6400, rates  # sixteen times the rows
 
 
+def test_similar_topk_ships_a_row_to_few_regions(spark):
+    """Without clusters a query visits all cells, of which there are hundreds; it goes to about 64 regions at most, in small batches."""
+    points = np.random.default_rng(3).normal(size=(1500, 24))
+    corpus = vectors(spark, [(f"id{i:04d}", "k", v.tolist()) for i, v in enumerate(points)]).repartition(1)
+    rows = corpus.selectExpr("'all' as grp", "id", "cast(embedding as array<double>) as vector")
+    index, width, others, _ = retrieval._index(rows, 5, None)
+    shipped = rows.mapInArrow(retrieval._asked(index, width, others, 2, math.pi), "grp string, query_id string, region long, wanted array<double>")
+    most = shipped.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("region").alias("regions")).selectExpr("max(n) as n", "max(regions) as regions").first()
+    assert most["n"] == most["regions"] <= 65
+    assert max(retrieval._asked(index, width, others, 2, math.pi)([rows.toArrow().to_batches()[0]]), key=len).num_rows <= 512 * 65
+    got = {}
+    for r in retrieval.similar_topk(corpus, corpus, 2, None, block_rows=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    unit = points.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    far = np.round(1 - unit @ unit.T, 12) + np.diag(np.full(len(unit), np.inf))
+    assert all(got[f"id{i:04d}"] == [f"id{j:04d}" for j in np.argsort(far[i], kind="stable")[:2]] for i in range(len(unit)))
+
+
 def test_vectors_of_another_length_count_as_filled_with_zeros(spark):
     corpus = vectors(spark, [("a", "k", [1.0, 0.0]), ("b", "k", [1.0]), ("c", "k", [1.0, 0.0, 1.0]), ("e", "k", []), (None, "k", [0.5, 0.1])])
     got = retrieval.similar_topk(corpus.where("id in ('a', 'c')"), corpus.where("id <> 'c'"), 3, None).orderBy("query_id", "rank").collect()
