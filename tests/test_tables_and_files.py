@@ -239,6 +239,45 @@ def test_csv_dates_breaks_and_rejects(spark, tmp_path):
     assert src.read_csv_rejects(spark, path).count() == 5
 
 
+def test_csv_fields_are_parsed_once(spark, tmp_path):
+    """Neither the filter on rejects nor the columns repeat the parsing, and only formats that a text can have are tried."""
+    (tmp_path / "t.csv").write_text("header\n1,12/1/2010 8:26,A,x,1,2.0,,N\n")
+    rows = src.read_transactions_csv(spark, str(tmp_path / "t.csv"), multiline=True, on_reject="skip")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and plan.count("gettimestamp(") == len(src.DATE_FORMATS)
+    texts = [
+        "2010-12-01 08:26:00", "2010-12-01 08:26", "2010-12-01", "12/1/2010 8:26", "12/01/2010 08:26", " 2010-12-01", "2010-12-01\n", "+20100-12-01",
+        "-2010-12-01", "2010-1-1", "12/1/10 8:26", "12/1/+2010 8:26", "00012/1/2010 8:26", "2010-02-30", "some day", "", "2010-12-01T08:26:00", None,
+    ]
+    given, text = spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")
+    for form in [*src.DATE_FORMATS, "d MMM yyyy"]:
+        plain = F.try_to_timestamp(text, F.lit(form)).cast("string")
+        assert given.where(~F.when(src._looks_like(text, form), plain).eqNullSafe(plain)).collect() == []
+
+
+def test_lineitem_is_shuffled_before_it_is_wide(spark, tmp_path):
+    """Orders meet customers on their own, so lineitem goes through two joins with large tables; orders without customer or nation drop out."""
+    tables_ = {
+        "nation": ("n_nationkey int, n_name string", [(0, "A"), (1, "B")]),
+        "customer": ("c_custkey long, c_nationkey int", [(1, 0), (2, 1), (2, 1), (3, 9)]),
+        "part": ("p_partkey long, p_name string, p_retailprice double", [(7, "bolt", 1.5), (8, "nut", 2.0)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz", [(k, c, dt.datetime(1996, 1, k)) for k, c in ((1, 1), (2, 2), (3, 3), (4, None), (5, 1))]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_quantity double, l_returnflag string", [(1, 7, 1.0, "N"), (2, 8, 2.0, "R"), (3, 7, 1.0, "N"), (4, 7, 1.0, "N"), (5, 9, 1.0, "N"), (5, 8, 3.0, None)]),
+    }
+    for name, (schema, rows) in tables_.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    tx = src.from_order_tables(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in tx.select("InvoiceNo", "Description", "Quantity", "Country").collect())
+    assert got == [("000001", "bolt", 1, "A"), ("000005", "nut", 3, "A"), ("C000002", "nut", -2, "B"), ("C000002", "nut", -2, "B")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = src.from_order_tables(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 4 and "l_orderkey" in joins[0] and sum("l_" in j for j in joins) == 2
+
+
 def test_week_folders_prune(spark, make_tx, tmp_path):
     rows = [(str(i), f"2021-03-{1 + i:02d} 10:00", "A", 1, 1, "c", "X") for i in range(20)]
     src.write_transactions(make_tx(rows), str(tmp_path / "tx"))
