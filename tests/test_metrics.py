@@ -173,3 +173,19 @@ def test_every_kpi_is_watched():
     assert list(cat.WATCHES) == cat.KPI_NAMES
     assert all(0 < w.sensitivity < 1 for w in cat.WATCHES.values())
     assert all(k.owner for k in cat.KPIS) and cat.WATCHES["product_return_rate"].critical_spike == 0.15
+
+
+def test_sums_are_not_shuffled_with_invoices(spark, tx):
+    """Only counts need invoices and customers; the sums of a week are made apart, over rows of null ids too."""
+    loose = tx.limit(1).withColumns({"InvoiceNo": F.lit(None).cast("string"), "CustomerID": F.lit(None).cast("string")})
+    rows = tx.unionByName(loose)
+    plan = kpis.kpi_windowed(rows)._jdf.queryExecution().optimizedPlan().toString()
+    by_invoice = [line for line in plan.splitlines() if "Aggregate [" in line and "InvoiceNo" in line]
+    assert by_invoice and not any("sum(" in line for line in by_invoice)
+    got = kpis.kpi_windowed(rows).agg(F.sum("total_revenue"), F.sum("units_sold"), F.sum("order_count")).first()
+    extra = loose.select(F.sum(F.col("Quantity") * F.col("UnitPrice")).cast("double"), F.sum("Quantity").cast("double")).first()
+    assert tuple(got) == (90.0 + extra[0], 10.0 + extra[1], 5.0)
+    facts = kpis.kpi_facts(rows)
+    assert kpis.kpis_of_facts(facts, True).orderBy("date").collect() == kpis.kpi_windowed(rows).orderBy("date").collect()
+    assert kpis.kpis_of_facts(facts, False).collect() == kpis.kpi_all(rows).collect()
+    assert kpis.kpi_all(rows.limit(0)).first()["total_revenue"] == 0.0
