@@ -158,3 +158,28 @@ def test_stored_weeks_are_pruned_and_agree(spark, tx, tmp_path):
     assert att.anomaly_transactions(stored, found).count() == att.anomaly_transactions(tx, found).count() > 0
     same = [att.root_cause_all(t, found, BASELINE).first()["drivers"] for t in (tx, stored)]
     assert same[0] == same[1] and len(same[0]) > 0
+
+
+def test_sums_of_segments_are_not_shuffled_with_invoices(spark, tx):
+    """Rows of null ids, and of a null country, hour or product, count in the sums as before."""
+    loose = tx.limit(1).withColumns({c: F.lit(None).cast("string") for c in ("InvoiceNo", "CustomerID", "Country")})
+    undated = tx.limit(1).withColumn("InvoiceDate", F.lit(None).cast("timestamp_ntz"))
+    rows = tx.unionByName(loose).unionByName(undated)
+    ranked = spark.createDataFrame([("A", 1)], "StockCode string, product_rank int")
+    for products in (None, ranked):
+        metrics = att.segment_metrics(rows, [], products)
+        plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+        by_invoice = [line for line in plan.splitlines() if "Aggregate [" in line and "InvoiceNo" in line]
+        assert by_invoice and not any("sum(" in line for line in by_invoice)
+        got = {(r["dimension"], r["segment"]): (r["revenue"], r["units"], r["orders"], r["customers"]) for r in metrics.collect()}
+        want = {}
+        for dimension, segment in (("Country", "Country"), ("StockCode", "StockCode"), ("HourOfDay", "cast(hour(InvoiceDate) as string)")):
+            kept = rows if dimension != "StockCode" or products is None else rows.where("StockCode = 'A'")
+            for r in kept.groupBy(F.expr(segment).alias("s")).agg(
+                F.sum(F.col("Quantity") * F.col("UnitPrice")).cast("double"),
+                F.sum("Quantity").cast("double"),
+                F.count_distinct("InvoiceNo").cast("double"),
+                F.count_distinct("CustomerID").cast("double"),
+            ).collect():
+                want[dimension, r["s"]] = tuple(r[1:])
+        assert got == want

@@ -59,3 +59,20 @@ def test_staged_result_is_broadcast_by_its_size(spark):
     small = session.stage(spark.range(5), "small")
     plan = spark.range(10_000_000).join(small, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_a_task_reads_no_more_than_it_can_hold():
+    """Larger sizes are lowered, in whatever unit they are given; smaller ones are the cluster's and stay."""
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.sql.files.maxPartitionBytes": "134217728b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB"})
+
+    session.configure(Session())
+    assert {k: Session.conf[k] for k in session.TASK_SIZES} == session.TASK_SIZES
+    small = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1048576"}
+    Session.conf.update(small)
+    session.configure(Session())
+    assert {k: Session.conf[k] for k in small} == small

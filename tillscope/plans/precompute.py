@@ -18,7 +18,7 @@ def weekly_series(tx: DataFrame, home_country: str = cat.HOME_COUNTRY) -> DataFr
 
 
 def precompute_all(tx: DataFrame, path: str, home_country: str = cat.HOME_COUNTRY, baseline=None) -> None:
-    """Three passes over the rows: the facts of both KPI tables, the baseline profile, the segments."""
+    """Six narrow passes over the rows: three for the facts of both KPI tables, one for the baseline profile, two for the segments."""
     facts = stage(kpi_facts(tx, "W", home_country), "kpi_facts")
     wide = stage(kpis_of_facts(facts, True, home_country), "kpi_timeseries")
     anomalies = stage(detect_all(unpivot_kpis(wide), baseline), "anomalies")
