@@ -529,6 +529,25 @@ def test_near_copies_keep_their_text(spark, per_part):
     assert got[3] == "Something else that is told here."
 
 
+def test_differencing_decides_on_pages_with_marks_too(spark):
+    """An element that all pages repeat is frame; one with a part of the page's own text is text; an article stays whole."""
+    card = "<div>Our site</div><article><p>Read this first, as on any page.</article>{}<div>All rights reserved</div>"
+    part = "<div>Our site</div><article><p>Part {0}<p>See below.</article><p>Most of story {0} is told beside its element.<div>All rights reserved</div>"
+    held = "<div>Our site</div><div>Page {0}</div><article><p>Story {0} is all inside its element.<p>The end, as in any story.</article><div>All rights reserved</div>"
+    rows = []
+    for i in range(6):
+        rows.append((i, f"http://a/{i}", card.format(f"<p>Story {i} is told beside the card.<p>And page {i} ends.")))
+        rows.append((10 + i, f"http://b/{i}", part.format(i)))
+        rows.append((20 + i, f"http://c/{i}", held.format(i)))
+    rows.append((30, "http://d/1", held.format(9)))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Story {i} is told beside the card.\nAnd page {i} ends."
+        assert got[10 + i] == f"Part {i}\nSee below.\nMost of story {i} is told beside its element."
+        assert got[20 + i] == f"Story {i} is all inside its element.\nThe end, as in any story."
+    assert got[30] == "Story 9 is all inside its element.\nThe end, as in any story."
+
+
 def test_all_pages_are_answered(spark):
     rows = QUERIES["op8_nearest_url_text"](spark, FOLDER).collect()
     pages = {r["page_id"]: r for r in read(spark, FOLDER, "pages").collect()}

@@ -1,4 +1,4 @@
-"""Main text of web pages: marked boilerplate is left out, the rest is differenced with the nearest URL."""
+"""Main text of web pages: differenced with the nearest URL, then held against what elements say they are."""
 
 from __future__ import annotations
 
@@ -214,22 +214,27 @@ FAIR = 0.2
 def main_text(lines: list[tuple[int, str]], *others: list[tuple[int, str]] | None) -> str:
     """The text of a page, given the lines of the pages near it, the nearest first.
 
-    Lines inside article and main elements are the text: one that two pages share is their text
-    and not their frame. Of other pages the lines shared with the nearest
-    page that is no near copy go; a near copy leaves less than ``FAIR`` of the text unshared. If
-    all are near copies, the unmarked lines stay.
+    Every page is differenced with the nearest page that is no near copy; a near copy leaves
+    less than ``FAIR`` of the unmarked text unshared. The lines they do not share are the page's
+    own and tell where its text is. If at least half of it is inside article and main elements,
+    these hold the text, whole: a line that two articles share is their text and not their frame.
+    If not, they are a part of it at most: the own lines beside them are text, and they too, unless
+    all that they hold is shared and so frame. If all pages near are near copies, or there is none,
+    nothing can be told from a frame, and the elements decide alone. Marked lines are never text.
     """
     inside = [t for mark, t in lines if mark in (ARTICLE, MAIN)]
-    if inside:
-        return "\n".join(inside)
-    own = [t for mark, t in lines if mark == PLAIN]
+    whole = sum(len(t) for mark, t in lines if mark != MARKED)
     for other in others:
         if other:
             gone = shared([t for _, t in lines], [t for _, t in other])
-            left = [t for i, (mark, t) in enumerate(lines) if mark == PLAIN and i not in gone]
-            if left and sum(map(len, left)) >= FAIR * sum(map(len, own)):
-                return "\n".join(left)
-    return "\n".join(own)
+            own = [(mark, t) for i, (mark, t) in enumerate(lines) if mark != MARKED and i not in gone]
+            within = sum(len(t) for mark, t in own if mark != PLAIN)
+            beside = sum(len(t) for mark, t in own if mark == PLAIN)
+            if own and within + beside >= FAIR * whole:
+                if within >= beside:
+                    return "\n".join(inside)
+                return "\n".join(t for i, (mark, t) in enumerate(lines) if mark == PLAIN and i not in gone or within and mark in (ARTICLE, MAIN))
+    return "\n".join(inside or [t for mark, t in lines if mark == PLAIN])
 
 
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
